@@ -54,3 +54,9 @@ def seconds_after(ts: Column, seconds: Column | int) -> Column:
 
 def count_where(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
+
+
+def floor_div(value: Column, width: int) -> Column:
+    """Whole-number division rounding down, exact for large longs."""
+    step = F.lit(int(width)).cast("long")
+    return F.call_function("div", value - F.pmod(value, step), step)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import bind, first_true
+from tarifflens.functions.columns import bind, computed_once, first_true
 from tarifflens.functions.numbers import fixed2
 from tarifflens.operators.history import day_slice, with_previous
 
@@ -179,15 +179,19 @@ def diff_snapshots(snapshots: DataFrame, slice_by: Column | None = None) -> Data
     paired = snapshots_with_previous(snapshots, slice_by=slice_by).where(
         F.col("previous_snapshot_id").isNotNull()
     )
-    diffed = paired.select(
+    named = paired.select(
         *[c for c in ("user_id",) if c in snapshots.columns],
         "company_id",
         "previous_snapshot_id",
         F.col("snapshot_id").alias("current_snapshot_id"),
         F.col("captured_at").alias("detected_at"),
         verification("is_verified"),
-        F.inline(F.array(F.struct(pricing_diff(F.col("previous_payload"), F.col("payload")).alias("normalized_diff")))),
+        "previous_payload",
+        "payload",
     )
+    diffed = computed_once(
+        named, normalized_diff=pricing_diff(F.col("previous_payload"), F.col("payload"))
+    ).drop("previous_payload", "payload")
     return diffed.where(F.col("normalized_diff").isNotNull()).withColumn(
         "severity", F.col("normalized_diff.severity")
     )

@@ -56,3 +56,40 @@ def changed_only(
     """Rows whose value differs from the row before (W7); the first row counts as changed."""
     seen = with_previous(df, keys, order, [value], slice_by)
     return seen.withColumn("changed", ~F.col(value).eqNullSafe(F.col("previous_" + value)))
+
+
+def _spread_over_slices(
+    df: DataFrame, keys: list[str], order: list[str], slice_by: Column, near: Column, per_slice: Column, far: Column
+) -> DataFrame:
+    """``_near``: result inside the slice; ``_far``: what all earlier slices contribute."""
+    sliced = df.withColumn("_slice", slice_by)
+    so_far = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn("_near", near.over(so_far))
+    summary = sliced.groupBy(*keys, "_slice").agg(per_slice.alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("_far", far.over(earlier)).drop("_sum")
+    return local.join(carried, [*keys, "_slice"], "left").drop("_slice")
+
+
+def carry_forward(
+    df: DataFrame, keys: list[str], order: list[str], value: str, slice_by: Column, into: str
+) -> DataFrame:
+    """The latest non-null ``value`` up to each row, spread over slices like ``with_previous``."""
+    present = F.when(F.col(value).isNotNull(), F.struct(*order))
+    out = _spread_over_slices(
+        df, keys, order, slice_by,
+        near=F.last(value, ignorenulls=True),
+        per_slice=F.max_by(value, present),
+        far=F.last("_sum", ignorenulls=True),
+    )
+    return out.withColumn(into, F.coalesce("_near", "_far")).drop("_near", "_far")
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: list[str], value: str, slice_by: Column, into: str
+) -> DataFrame:
+    """Sum of ``value`` up to each row, spread over slices."""
+    out = _spread_over_slices(
+        df, keys, order, slice_by, near=F.sum(value), per_slice=F.sum(value), far=F.sum("_sum")
+    )
+    return out.withColumn(into, F.col("_near") + F.coalesce(F.col("_far"), F.lit(0))).drop("_near", "_far")

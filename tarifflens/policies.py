@@ -137,6 +137,7 @@ TEXT_INVALID_URL = "Invalid pricing URL"
 TEXT_NOT_HTML = "Pricing URL did not return HTML content"
 TEXT_BOT_PREFIX = "Bot protection detected: "
 TEXT_NO_SIGNALS = "Pricing signals not detected on the page"
+TEXT_NO_FETCH = "Unknown fetch error"
 TEXT_NO_URL = "No crawl URL is available"
 TEXT_NO_USER = "User not found for company"
 TEXT_NOT_ELIGIBLE = "User is not eligible for competitor crawling"
