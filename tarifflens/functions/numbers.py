@@ -13,9 +13,14 @@ def fixed2(value: Column) -> Column:
     1.01); prices are compared on the exact value (1.005 gives 1.00).  Real ties only
     occur on multiples of 1/8, where ``round`` is exact.
     """
+    hundredths = value * 100
+    whole = (hundredths == F.rint(hundredths)) & (F.abs(value) < 1e12)
     is_tie = value * 8 == F.floor(value * 8)
-    return F.when(is_tie, F.round(value, 2)).otherwise(
-        F.call_function("format_number", value, F.lit("0.00")).cast("double")
+    # Amounts read from a page have two decimals already, so the first branch is the usual one.
+    return (
+        F.when(whole, hundredths / 100)
+        .when(is_tie, F.round(value, 2))
+        .otherwise(F.call_function("format_number", value, F.lit("0.00")).cast("double"))
     )
 
 

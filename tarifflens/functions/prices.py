@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import blank_to_null, first_true, lookup
+from tarifflens.functions.columns import bind, blank_to_null, first_true, lookup
 from tarifflens.functions.numbers import fixed2
 from tarifflens.functions.text import NOT_WORD_BEFORE, SPACE, squeeze, unique_lower
 
@@ -141,13 +141,15 @@ def _is_number(v: Column) -> Column:
 
 def _as_number(v: Column) -> Column:
     """Loose number reading: numbers, numeric text, booleans; anything else is NULL."""
-    kind = F.schema_of_variant(v)
-    text = squeeze(F.try_variant_get(v, "$", "string"))
-    numeric_text = text.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$")
+    numeric_text = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
+    from_text = bind(
+        squeeze(F.try_variant_get(v, "$", "string")),
+        lambda t: F.when(t.rlike(numeric_text), t.try_cast("double")),
+    )
     return (
         F.when(_is_number(v), F.try_variant_get(v, "$", "double"))
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-        .when(_is_string(v) & numeric_text, text.try_cast("double"))
+        .when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+        .when(_is_string(v), from_text)
     )
 
 
@@ -157,50 +159,54 @@ def lenient_payload(json: Column) -> Column:
     NULL without a source URL; text members that are not text are dropped; amounts are read
     loosely and must be above zero; the period must be a known one.
     """
-    v = F.try_parse_json(json)
-    source = _text(v, "$.sourceUrl")
-    points = F.transform(
-        _items(v, "$.priceMentions"),
-        lambda p: F.struct(
-            _text(p, "$.currency").alias("currency"),
-            _text(p, "$.period").alias("period"),
-            _as_number(F.try_variant_get(p, "$.amount", "variant")).alias("amount"),
-        ),
-    )
-    kept = F.filter(
-        points,
-        lambda m: (m["amount"] > 0)
-        & (m["amount"] < float("inf"))
-        & (m["currency"] != "")
-        & m["period"].isin(*P.PERIODS),
-    )
-    payload = canonical_payload(
-        source,
-        _text(v, "$.pageTitle"),
-        _text(v, "$.pageDescription"),
-        _strings(v, "$.planNames"),
-        kept,
-        _strings(v, "$.customPricingHints"),
-    )
-    return F.when(source != "", payload)
+    def read(v: Column) -> Column:
+        points = F.transform(
+            _items(v, "$.priceMentions"),
+            lambda p: F.struct(
+                _text(p, "$.currency").alias("currency"),
+                _text(p, "$.period").alias("period"),
+                _as_number(F.try_variant_get(p, "$.amount", "variant")).alias("amount"),
+            ),
+        )
+        kept = F.filter(
+            points,
+            lambda m: (m["amount"] > 0)
+            & (m["amount"] < float("inf"))
+            & (m["currency"] != "")
+            & m["period"].isin(*P.PERIODS),
+        )
+        source = _text(v, "$.sourceUrl")
+        payload = canonical_payload(
+            source,
+            _text(v, "$.pageTitle"),
+            _text(v, "$.pageDescription"),
+            _strings(v, "$.planNames"),
+            kept,
+            _strings(v, "$.customPricingHints"),
+        )
+        return F.when(source != "", payload)
+
+    return bind(F.try_parse_json(json), read)
 
 
 def strict_price_points(json: Column) -> Column:
     """Price points as the comparison view reads them (X21): real numbers of any sign,
     trimmed upper-case currency, any non-empty lower-case period."""
-    v = F.try_parse_json(json)
-    points = F.transform(
-        _items(v, "$.priceMentions"),
-        lambda p: F.struct(
-            F.upper(squeeze(_text(p, "$.currency"))).alias("currency"),
-            F.lower(squeeze(_text(p, "$.period"))).alias("period"),
-            F.when(
-                _is_number(F.try_variant_get(p, "$.amount", "variant")),
-                F.try_variant_get(p, "$.amount", "double"),
-            ).alias("amount"),
-        ),
-    )
-    return F.filter(points, lambda m: m["amount"].isNotNull() & (m["currency"] != "") & (m["period"] != ""))
+    def read(v: Column) -> Column:
+        points = F.transform(
+            _items(v, "$.priceMentions"),
+            lambda p: F.struct(
+                F.upper(squeeze(_text(p, "$.currency"))).alias("currency"),
+                F.lower(squeeze(_text(p, "$.period"))).alias("period"),
+                F.when(
+                    _is_number(F.try_variant_get(p, "$.amount", "variant")),
+                    F.try_variant_get(p, "$.amount", "double"),
+                ).alias("amount"),
+            ),
+        )
+        return F.filter(points, lambda m: m["amount"].isNotNull() & (m["currency"] != "") & (m["period"] != ""))
+
+    return bind(F.try_parse_json(json), read)
 
 
 def payload_json(payload: Column) -> Column:

@@ -21,6 +21,13 @@ _PATH_KEEPS = "/!$&'()+,;:=@[]|\\^~"
 _QUERY_KEEPS = "/!$&()+,;:=@[]|\\^~?`{}"
 
 
+_PLAIN = (
+    r"(?s)^(https?://)(?:www\.)?((?!www\.)[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?<=[a-z]))"
+    r"((?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*+)*+/?)"
+)
+_PLAIN_HOST = r"^[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=[A-Za-z])$"
+
+
 def _percent_encode(value: Column, keeps: str) -> Column:
     """Escape what an address may not contain; existing escapes stay."""
     out = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
@@ -125,7 +132,14 @@ def normalize_url(value: Column, keep_query: bool = False) -> Column:
         return F.concat(p["scheme"], F.lit("://"), user, host, p["port"], path, query)
 
     raw = blank_to_null(strip_ends(value)) if keep_query else value
-    return bind(_parts(with_scheme(raw)), render)
+    # Most addresses are plain: lower-case host, tidy path.  They need no parsing.
+    plain = _PLAIN + ("$" if keep_query else "(?:[?#].*)?$")
+    shortcut = F.concat(
+        F.regexp_extract(raw, plain, 1),
+        F.regexp_extract(raw, plain, 2),
+        F.coalesce(blank_to_null(F.regexp_extract(raw, plain, 3)), F.lit("/")),
+    )
+    return F.when(raw.rlike(plain), shortcut).otherwise(bind(_parts(with_scheme(raw)), render))
 
 
 def host_of(normalized: Column) -> Column:
@@ -140,10 +154,13 @@ def path_of(normalized: Column) -> Column:
 
 def normalize_domain(value: Column) -> Column:
     """Host of address-like text, lenient (U4)."""
-    trimmed = blank_to_null(strip_ends(value))
-    parsed = bind(_parts(with_scheme(trimmed)), lambda p: p["host"])
-    fallback = blank_to_null(F.split_part(F.split_part(trimmed, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)))
-    return bare_host(F.coalesce(parsed, fallback))
+
+    def read(trimmed: Column) -> Column:
+        parsed = bind(_parts(with_scheme(trimmed)), lambda p: p["host"])
+        fallback = blank_to_null(F.split_part(F.split_part(trimmed, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)))
+        return F.when(trimmed.rlike(_PLAIN_HOST), trimmed).otherwise(F.coalesce(parsed, fallback))
+
+    return bare_host(bind(blank_to_null(strip_ends(value)), read))
 
 
 # Fixed value: what a registrable domain looks like.

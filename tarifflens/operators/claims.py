@@ -14,43 +14,28 @@ each block marks the claims inside.  Every task sees one block of one key.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens.functions.columns import floor_div
 
-NEVER = np.iinfo(np.int64).max
+NEVER = 2**63 - 1
 
 
-def _next_claim(at: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Index of the next claim after each row; ``len(at)`` when there is none."""
-    return np.maximum(np.searchsorted(at, free, side="left"), np.arange(1, len(at) + 1))
+def _lists(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Group bounds and the ``at, tie, free`` values of all groups of a batch."""
+    flat = (batch.column(c).values.to_pylist() for c in ("at", "tie", "free"))
+    return (batch.column("at").offsets.to_pylist(), *flat)
 
 
-def _last_of_chain(following: np.ndarray) -> np.ndarray:
-    """For each row the last claim of the chain that starts there (by doubling)."""
-    last = np.arange(len(following))
-    jump = np.where(following < len(following), following, last)
-    while True:
-        ahead = jump[jump]
-        if np.array_equal(ahead, jump):
-            return jump
-        jump = ahead
-
-
-def _values(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column(name)
-    offsets = lists.offsets.to_numpy()
-    return offsets, lists.values.to_numpy(zero_copy_only=False)
-
-
-def _emit(batch: pa.RecordBatch, groups: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    key = batch.column("key").take(pa.array(groups))
-    return pa.RecordBatch.from_arrays([key, *map(pa.array, columns.values())], ["key", *columns])
+def _emit(batch: pa.RecordBatch, groups: list[int], **columns: list[int]) -> pa.RecordBatch:
+    key = batch.column("key").take(pa.array(groups, pa.int64()))
+    values = [pa.array(v, pa.int64()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([key, *values], ["key", *columns])
 
 
 def _state_entries(width: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -58,26 +43,21 @@ def _state_entries(width: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, at = _values(batch, "at")
-            tie, free = _values(batch, "tie")[1], _values(batch, "free")[1]
-            starts = batch.column("block").to_numpy() * width
-            rows, leave, groups = [], [], []
-            for g in range(batch.num_rows):
-                lo, hi = offsets[g], offsets[g + 1]
-                if hi - lo == 1:
-                    rows.append([lo])
-                    leave.append(free[lo:hi])
-                else:
-                    entries = min(int(np.searchsorted(at[lo:hi], starts[g] + reach, side="left")) + 1, hi - lo)
-                    ends = _last_of_chain(_next_claim(at[lo:hi], free[lo:hi]))[:entries]
-                    rows.append(np.arange(lo, lo + entries))
-                    leave.append(free[lo:hi][ends])
-                groups.append(np.full(len(rows[-1]), g))
-            if rows:
-                picked = np.concatenate(rows).astype(np.int64)
-                yield _emit(
-                    batch, np.concatenate(groups), at=at[picked], tie=tie[picked], free=np.concatenate(leave)
-                )
+            bounds, at, tie, free = _lists(batch)
+            leave = list(free)
+            groups, rows = [], []
+            for g, block in enumerate(batch.column("block").to_pylist()):
+                lo, hi = bounds[g], bounds[g + 1]
+                for i in range(hi - 1, lo - 1, -1):
+                    following = bisect_left(at, free[i], i + 1, hi)
+                    if following < hi:
+                        leave[i] = leave[following]
+                last = min(bisect_left(at, block * width + reach, lo, hi) + 1, hi)
+                rows.extend(range(lo, last))
+                groups.extend([g] * (last - lo))
+            yield _emit(
+                batch, groups, at=[at[i] for i in rows], tie=[tie[i] for i in rows], free=[leave[i] for i in rows]
+            )
 
     return run
 
@@ -85,21 +65,19 @@ def _state_entries(width: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Way down: mark the chain from the known entry of each group."""
     for batch in batches:
-        offsets, at = _values(batch, "at")
-        tie, free = _values(batch, "tie")[1], _values(batch, "free")[1]
-        seed_at, seed_tie = (batch.column(c).to_numpy() for c in ("seed_at", "seed_tie"))
-        picked, groups = [], []
-        for g in range(batch.num_rows):
-            lo, hi = int(offsets[g]), int(offsets[g + 1])
-            i = lo + int(np.searchsorted(at[lo:hi], seed_at[g], side="left"))
-            while tie[i] != seed_tie[g]:
+        bounds, at, tie, free = _lists(batch)
+        seeds = zip(batch.column("seed_at").to_pylist(), batch.column("seed_tie").to_pylist())
+        groups, rows = [], []
+        for g, (seed_at, seed_tie) in enumerate(seeds):
+            hi = bounds[g + 1]
+            i = bisect_left(at, seed_at, bounds[g], hi)
+            while tie[i] != seed_tie:
                 i += 1
             while i < hi:
-                picked.append(i)
+                rows.append(i)
                 groups.append(g)
-                i = max(lo + int(np.searchsorted(at[lo:hi], free[i], side="left")), i + 1)
-        if picked:
-            yield _emit(batch, np.array(groups), at=at[picked], tie=tie[picked])
+                i = bisect_left(at, free[i], i + 1, hi)
+        yield _emit(batch, groups, at=[at[i] for i in rows], tie=[tie[i] for i in rows])
 
 
 def mark_claims(rows: DataFrame, reach: int, fanout: int = 64, levels: int = 2) -> DataFrame:

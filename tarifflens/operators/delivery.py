@@ -18,7 +18,7 @@ def free_again(result: Column, arrived: Column, finished: Column, lock_micros: i
     lock_end = arrived + F.lit(lock_micros)
     in_time = F.coalesce(finished <= lock_end, F.lit(False))
     return (
-        F.when((result == "processed") & in_time, F.lit(int(NEVER)))
+        F.when((result == "processed") & in_time, F.lit(NEVER))
         .when((result == "failed") & in_time, F.greatest(finished, arrived))
         .otherwise(lock_end)
     )
@@ -40,13 +40,18 @@ def handle_deliveries(
         F.col("delivery_id").alias("tie"),
         free_again(F.col("result"), F.col("at"), F.col("done"), lock).alias("free"),
     )
-    claims = mark_claims(rows, lock, fanout, levels).select(F.col("tie").alias("delivery_id"), F.lit(1).alias("claim"))
-    flagged = timed.join(claims, "delivery_id", "left").withColumn("claim", F.coalesce("claim", F.lit(0)))
     order = ["at", "delivery_id"]
     slice_by = floor_div(F.col("at"), lock * fanout)
+    claims = mark_claims(rows, lock, fanout, levels).select(
+        F.col("key").alias("event_id"), "at", F.col("tie").alias("delivery_id"), F.lit(1).alias("claim")
+    )
+    numbered = running_total(claims, ["event_id"], order, "claim", slice_by, into="attempt")
+    flagged = timed.join(numbered.select("delivery_id", "claim", "attempt"), "delivery_id", "left")
     owner = F.when(F.col("claim") == 1, F.struct("result", "done", "at"))
-    owned = carry_forward(flagged.withColumn("_own", owner), ["event_id"], order, "_own", slice_by, into="owner")
-    counted = running_total(owned, ["event_id"], order, "claim", slice_by, into="attempt")
+    counted = carry_forward(
+        flagged.withColumn("claim", F.coalesce("claim", F.lit(0))).withColumn("_own", owner),
+        ["event_id"], order, "_own", slice_by, into="owner",
+    )
     claimed = F.col("claim") == 1
     finished = (
         (F.col("owner.result") == "processed")

@@ -73,52 +73,57 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
     top-n that is cut down before the shuffle.
     """
     checked = checked_requests(requests)
+    order = F.struct("requested_at", "request_id")
+    domain_keys = ["user_id", "type", "company_domain"]
+    # Per user: plan, what is tracked already, how many competitors still fit.
     tracked = companies.groupBy("user_id").agg(
         F.count_if(F.col("type") == "competitor").alias("tracked_competitors"),
         F.bool_or(F.col("type") == "self").alias("has_self"),
     )
-    owner = entitled_users.select("user_id", "access_granted", "competitor_limit", F.lit(True).alias("owner_found"))
+    granted = F.coalesce("access_granted", F.lit(False))
+    limits = (
+        entitled_users.select("user_id", "access_granted", "competitor_limit")
+        .join(tracked, "user_id", "left")
+        .select(
+            "user_id",
+            F.lit(True).alias("owner_found"),
+            F.coalesce("has_self", F.lit(False)).alias("has_self"),
+            F.when(granted, F.col("competitor_limit") - F.coalesce("tracked_competitors", F.lit(0)))
+            .otherwise(F.lit(0))
+            .alias("room"),
+        )
+    )
+    # Per user, type and domain: first usable request, and whether it is tracked already.
     known = companies.groupBy("user_id", "type", F.col("domain").alias("company_domain")).agg(
         F.lit(True).alias("domain_known")
     )
-    order = F.struct("requested_at", "request_id")
-    open_requests = (
+    firsts = (
         checked.where(F.col("reject_reason").isNull())
-        .join(owner, "user_id", "left")
-        .join(tracked, "user_id", "left")
-        .join(known, ["user_id", "type", "company_domain"], "left")
-        .withColumn("owner_found", F.coalesce("owner_found", F.lit(False)))
-        .withColumn("tracked_competitors", F.coalesce("tracked_competitors", F.lit(0)))
-        .withColumn("has_self", F.coalesce("has_self", F.lit(False)))
+        .groupBy(*domain_keys)
+        .agg(F.min(order).alias("first_seen"))
+        .join(known, domain_keys, "left")
         .withColumn("domain_known", F.coalesce("domain_known", F.lit(False)))
-        .withColumn("room", F.when(F.coalesce("access_granted", F.lit(False)), F.col("competitor_limit") - F.col("tracked_competitors")).otherwise(F.lit(0)))
     )
-    able = open_requests.where("owner_found AND NOT domain_known")
-    is_self = F.col("type") == "self"
-    firsts = able.groupBy("user_id", "type", "company_domain").agg(
-        F.min(order).alias("first_seen"), F.first("room").alias("room")
-    )
-    # The request that fills the plan, per user: the highest plan limit bounds the top-n.
+    # The request that fills a plan; the highest plan limit bounds the top-n per user.
     most = max(rule["competitor_limit"] for rule in P.PLAN_TIERS.values())
-    ranked = newest(
-        firsts.where((F.col("type") == "competitor") & (F.col("room") > 0)),
-        ["user_id"], [F.col("first_seen")], most, rank="nth",
+    ranked = newest(firsts.where(~F.col("domain_known")), ["user_id", "type"], [F.col("first_seen")], most, rank="nth")
+    seen_at = lambda kind, n: F.max(
+        F.when((F.col("type") == kind) & (F.col("nth") == n), F.col("first_seen"))
     )
-    full = ranked.where(F.col("nth") == F.col("room")).select("user_id", F.col("first_seen").alias("full_from"))
-    first_self = able.where(is_self & ~F.col("has_self")).groupBy("user_id").agg(F.min(order).alias("self_from"))
-    joined = (
-        open_requests.join(firsts.drop("room"), ["user_id", "type", "company_domain"], "left")
-        .join(full, "user_id", "left")
-        .join(first_self, "user_id", "left")
+    cutoffs = ranked.join(limits.select("user_id", "room"), "user_id").groupBy("user_id").agg(
+        seen_at("competitor", F.col("room")).alias("full_from"), seen_at("self", F.lit(1)).alias("self_from")
     )
+    joined = checked.join(limits.join(cutoffs, "user_id", "left"), "user_id", "left").join(firsts, domain_keys, "left")
+    is_self = F.col("type") == "self"
     capped = (F.col("type") == "competitor") & (
         (F.col("room") <= 0) | F.coalesce(order > F.col("full_from"), F.lit(False))
     )
     second_self = is_self & (F.col("has_self") | F.coalesce(order > F.col("self_from"), F.lit(False)))
     repeated = F.col("domain_known") | F.coalesce(order > F.col("first_seen"), F.lit(False))
-    late = first_true(
+    reason = first_true(
         [
-            (~F.col("owner_found"), "user_not_found"),
+            (F.col("reject_reason").isNotNull(), F.col("reject_reason")),
+            (F.col("owner_found").isNull(), "user_not_found"),
             (capped, "competitor_limit_reached"),
             (second_self, "self_company_already_exists"),
             (repeated, "domain_already_exists_for_type"),
@@ -126,9 +131,7 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
         F.lit(None).cast("string"),
     )
     shown = [*requests.columns, "clean_name", "homepage", "pricing", "company_domain"]
-    decided = joined.withColumn("reject_reason", late).select(*shown, "reject_reason")
-    refused = checked.where(F.col("reject_reason").isNotNull()).select(*shown, "reject_reason")
-    return decided.unionByName(refused)
+    return joined.withColumn("reject_reason", reason).select(*shown, "reject_reason")
 
 
 def new_companies(admitted: DataFrame, now: Column) -> DataFrame:

@@ -101,7 +101,7 @@ def normalized_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def input_domains(spark: SparkSession, folder: str) -> DataFrame:
-    return view(tune(spark), folder, "intake").select(
+    return spread(view(tune(spark), folder, "intake")).select(
         "request_id",
         blank_to_null(urls.normalize_domain(F.col("domain"))).alias("lenient_domain"),
         urls.strict_domain(F.col("domain")).alias("strict_domain"),

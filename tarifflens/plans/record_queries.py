@@ -152,7 +152,7 @@ def hint_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Loose reading of stored JSON: event properties wrapped as a payload."""
-    events = table(tune(spark), folder, "events")
+    events = spread(table(tune(spark), folder, "events"))
     json = F.format_string(
         '{"sourceUrl":"https://e.example/%d","planNames":[" Plan  %s",7,"plan %s"],"priceMentions":['
         '{"amount":"%.2f","currency":"usd","period":"month"},{"amount":%.3f,"currency":"EUR","period":"year"},'
@@ -333,7 +333,7 @@ def feed_strict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_cursors(spark: SparkSession, folder: str) -> DataFrame:
-    coded = _view(spark, folder, "diffs").select(
+    coded = spread(_view(spark, folder, "diffs")).select(
         "diff_id", encode_cursor(F.col("detected_at"), F.col("diff_id")).alias("cursor")
     )
     back = coded.withColumn("d", decode_cursor(F.col("cursor")))
@@ -431,7 +431,7 @@ def company_intake(spark: SparkSession, folder: str) -> DataFrame:
     users = entitlements.with_entitlements(
         entitlements.refresh_trials(_view(spark, folder, "users"), _now()), _plans(spark), _now()
     )
-    decided = intake.admit_companies(_view(spark, folder, "intake"), users, _view(spark, folder, "companies"))
+    decided = intake.admit_companies(spread(_view(spark, folder, "intake")), users, _view(spark, folder, "companies"))
     return decided.select("request_id", "user_id", "type", "homepage", "pricing", "company_domain", "reject_reason")
 
 
@@ -448,7 +448,7 @@ def primary_selection(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     n = F.col("command_id") % 6
-    commands = _commands(spark, folder).select(
+    commands = spread(_commands(spark, folder)).select(
         "command_id", "company_id", "user_id",
         F.when(n == 0, F.concat(site, F.lit("/cost?x=1")))
         .when(n == 1, F.lit("https://foreign.example.org/pricing"))
