@@ -11,10 +11,16 @@ from tarifflens.functions.text import iso_millis, strip_ends
 CURSOR_FIELDS = "struct<detectedAt:string,id:string>"
 
 
+def _swap(value: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return value
+
+
 def encode_cursor(detected_at: Column, row_id: Column) -> Column:
     """base64url of ``{"detectedAt": ISO time, "id": key}``."""
     body = F.to_json(F.struct(iso_millis(detected_at).alias("detectedAt"), row_id.cast("string").alias("id")))
-    return F.regexp_replace(F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_"), "[=\\r\\n]", "")
+    return _swap(F.regexp_replace(F.base64(F.encode(body, "UTF-8")), "[=\\r\\n]", ""), {"+": "-", "/": "_"})
 
 
 def decode_cursor(cursor: Column) -> Column:
@@ -24,7 +30,7 @@ def decode_cursor(cursor: Column) -> Column:
     """
     trimmed = strip_ends(cursor)
     padded = F.rpad(
-        F.translate(trimmed, "-_", "+/"),
+        _swap(trimmed, {"-": "+", "_": "/"}),
         (F.ceil(F.length(trimmed) / 4) * 4).cast("int"),
         F.lit("="),
     )

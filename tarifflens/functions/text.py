@@ -30,7 +30,7 @@ def squeeze(value: Column) -> Column:
 
 
 def strip_ends(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(value, f"(?![!-~])(?:^{SPACE}+|{SPACE}+$)", "")
 
 
 def without_element(html: Column, tag: str) -> Column:

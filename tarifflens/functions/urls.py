@@ -86,7 +86,7 @@ def _parts(address: Column) -> Column:
         port = F.regexp_extract(authority, ":([0-9]+)$", 1)
         number = port.try_cast("int")
         default = F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80))
-        raw_path = F.translate(p[2], "\\", "/")
+        raw_path = F.replace(p[2], F.lit("\\"), F.lit("/"))
         path = F.when(raw_path == "", F.lit("/")).otherwise(_without_dot_segments(raw_path))
         usable = (
             (F.size(p) == 5)
@@ -134,11 +134,7 @@ def normalize_url(value: Column, keep_query: bool = False) -> Column:
     raw = blank_to_null(strip_ends(value)) if keep_query else value
     # Most addresses are plain: lower-case host, tidy path.  They need no parsing.
     plain = _PLAIN + ("$" if keep_query else "(?:[?#].*)?$")
-    shortcut = F.concat(
-        F.regexp_extract(raw, plain, 1),
-        F.regexp_extract(raw, plain, 2),
-        F.coalesce(blank_to_null(F.regexp_extract(raw, plain, 3)), F.lit("/")),
-    )
+    shortcut = F.regexp_replace(F.regexp_replace(raw, plain, "$1$2$3"), "^(https?://[^/]*+)$", "$1/")
     return F.when(raw.rlike(plain), shortcut).otherwise(bind(_parts(with_scheme(raw)), render))
 
 

@@ -18,66 +18,103 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens.functions.columns import floor_div
 
 NEVER = 2**63 - 1
+Batches = Iterator[pa.RecordBatch]
 
 
-def _lists(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Group bounds and the ``at, tie, free`` values of all groups of a batch."""
-    flat = (batch.column(c).values.to_pylist() for c in ("at", "tie", "free"))
-    return (batch.column("at").offsets.to_pylist(), *flat)
+def _group_starts(rows: pa.Table | pa.RecordBatch) -> list[int]:
+    """Positions after the first where a new (key, block) begins."""
+    n = rows.num_rows
+    if n < 2:
+        return []
+    fresh = [
+        pc.fill_null(pc.not_equal(rows.column(c).slice(1), rows.column(c).slice(0, n - 1)), True)
+        for c in ("key", "block")
+    ]
+    return [i + 1 for i in pc.indices_nonzero(pc.or_(*fresh)).to_pylist()]
 
 
-def _emit(batch: pa.RecordBatch, groups: list[int], **columns: list[int]) -> pa.RecordBatch:
-    key = batch.column("key").take(pa.array(groups, pa.int64()))
-    values = [pa.array(v, pa.int64()) for v in columns.values()]
-    return pa.RecordBatch.from_arrays([key, *values], ["key", *columns])
-
-
-def _state_entries(width: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _whole_groups(batches: Batches) -> Iterator[pa.Table]:
+    """Sorted rows re-cut so that no (key, block) is split between two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if _group_starts(seam.combine_chunks()):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+        starts = _group_starts(batch)
+        if starts:
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])]).combine_chunks()
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _emit(rows: pa.Table, picked: list[int], **columns: list[int]) -> Batches:
+    """Key, at and tie of the picked rows, and further columns."""
+    chosen = rows.select(["key", "at", "tie"]).take(pa.array(picked, pa.int64()))
+    for name, values in columns.items():
+        chosen = chosen.append_column(name, pa.array(values, pa.int64()))
+    yield from chosen.to_batches()
+
+
+def _bounds(rows: pa.Table) -> Iterator[tuple[int, int]]:
+    cuts = [0, *_group_starts(rows), rows.num_rows]
+    return zip(cuts[:-1], cuts[1:])
+
+
+def _state_entries(width: int, reach: int) -> Callable[[Batches], Batches]:
     """Way up: a block answers for each possible entry when the chain is free again."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds, at, tie, free = _lists(batch)
+    def run(batches: Batches) -> Batches:
+        for rows in _whole_groups(batches):
+            at, free, block = (rows.column(c).to_pylist() for c in ("at", "free", "block"))
             leave = list(free)
-            groups, rows = [], []
-            for g, block in enumerate(batch.column("block").to_pylist()):
-                lo, hi = bounds[g], bounds[g + 1]
-                for i in range(hi - 1, lo - 1, -1):
+            picked: list[int] = []
+            for lo, hi in _bounds(rows):
+                for i in range(hi - 2, lo - 1, -1):
                     following = bisect_left(at, free[i], i + 1, hi)
                     if following < hi:
                         leave[i] = leave[following]
-                last = min(bisect_left(at, block * width + reach, lo, hi) + 1, hi)
-                rows.extend(range(lo, last))
-                groups.extend([g] * (last - lo))
-            yield _emit(
-                batch, groups, at=[at[i] for i in rows], tie=[tie[i] for i in rows], free=[leave[i] for i in rows]
-            )
+                last = bisect_left(at, block[lo] * width + reach, lo, hi) + 1
+                picked.extend(range(lo, min(last, hi)))
+            yield from _emit(rows, picked, free=[leave[i] for i in picked])
 
     return run
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Way down: mark the chain from the known entry of each group."""
-    for batch in batches:
-        bounds, at, tie, free = _lists(batch)
-        seeds = zip(batch.column("seed_at").to_pylist(), batch.column("seed_tie").to_pylist())
-        groups, rows = [], []
-        for g, (seed_at, seed_tie) in enumerate(seeds):
-            hi = bounds[g + 1]
-            i = bisect_left(at, seed_at, bounds[g], hi)
-            while tie[i] != seed_tie:
-                i += 1
+def _walk(batches: Batches) -> Batches:
+    """Way down: mark the chain from the entry of each group.
+
+    The entry is the row after the flagged one.  Without any flag in the table the first row is
+    the entry, which is so at the top only.
+    """
+    for rows in _whole_groups(batches):
+        at, free = rows.column("at").to_pylist(), rows.column("free").to_pylist()
+        flagged = rows.column("seed").to_pylist() if "seed" in rows.column_names else None
+        picked: list[int] = []
+        for lo, hi in _bounds(rows):
+            i = lo
+            if flagged is not None:
+                try:
+                    i = flagged.index(True, lo, hi) + 1
+                except ValueError:
+                    continue
             while i < hi:
-                rows.append(i)
-                groups.append(g)
+                picked.append(i)
                 i = bisect_left(at, free[i], i + 1, hi)
-        yield _emit(batch, groups, at=[at[i] for i in rows], tie=[tie[i] for i in rows])
+        yield from _emit(rows, picked)
 
 
 def mark_claims(rows: DataFrame, reach: int, fanout: int = 64, levels: int = 2) -> DataFrame:
@@ -95,39 +132,22 @@ def mark_claims(rows: DataFrame, reach: int, fanout: int = 64, levels: int = 2)
     for depth in range(1, levels + 1):
         width = reach * fanout**depth
         stack.append((level, width))
-        blocked = level.withColumn("block", floor_div(F.col("at"), width))
-        level = _unpacked(blocked.groupBy("key", "block").agg(_in_order(F.lit(True)))).mapInArrow(
-            _state_entries(width, reach), stated
-        )
-    first = level.groupBy("key").agg(F.min(F.struct("at", "tie")).alias("f"))
-    seeds = first.select("key", F.col("f.at").alias("at"), F.col("f.tie").alias("tie"))
-    seeds = _descend(level, seeds, None, marked)
+        level = _by_block(level, floor_div(F.col("at"), width)).mapInArrow(_state_entries(width, reach), stated)
+    seeds = _by_block(level, F.lit(0).cast("long")).mapInArrow(_walk, marked)
     for lower, width in reversed(stack):
-        seeds = _descend(lower, seeds, width, marked)
+        # Seeds travel as extra flagged rows, so one shuffle brings both together.
+        both = lower.withColumn("seed", F.lit(False)).unionByName(
+            seeds.withColumn("free", F.lit(None).cast("long")).withColumn("seed", F.lit(True))
+        )
+        ordered = _by_block(both, floor_div(F.col("at"), width), F.desc("seed"))
+        seeds = ordered.mapInArrow(_walk, marked)
     return seeds
 
 
-def _in_order(wanted: Column) -> Column:
-    return F.array_sort(F.collect_list(F.when(wanted, F.struct("at", "tie", "free")))).alias("rows")
-
-
-def _unpacked(grouped: DataFrame) -> DataFrame:
-    others = [c for c in grouped.columns if c != "rows"]
-    return grouped.select(*others, *[F.col("rows")[c].alias(c) for c in ("at", "tie", "free")])
-
-
-def _descend(rows: DataFrame, seeds: DataFrame, width: int | None, schema: str) -> DataFrame:
-    """Expand seeds (one entry per group) into the claims inside each group."""
-    # Seeds travel as extra flagged rows, so one shuffle brings both together.
-    both = rows.withColumn("seed", F.lit(False)).unionByName(
-        seeds.withColumn("free", F.lit(None).cast("long")).withColumn("seed", F.lit(True))
-    )
-    block = F.lit(0) if width is None else floor_div(F.col("at"), width)
-    grouped = both.withColumn("block", block).groupBy("key", "block").agg(
-        _in_order(~F.col("seed")),
-        F.max(F.when(F.col("seed"), F.struct("at", "tie"))).alias("entry"),
-    )
-    entered = grouped.where(F.col("entry").isNotNull()).select(
-        "key", F.col("entry.at").alias("seed_at"), F.col("entry.tie").alias("seed_tie"), "rows"
+def _by_block(rows: DataFrame, block: Column, *further: Column) -> DataFrame:
+    """One shuffle on (key, block), rows in order; the sort spills when a block is large."""
+    return (
+        rows.withColumn("block", block)
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block", "at", "tie", *further)
     )
-    return _unpacked(entered).mapInArrow(_walk, schema)

@@ -31,6 +31,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def build_session(app: str = "tarifflens", master: str | None = None, **extra: str) -> SparkSession:
     """A session for local runs and tests; a cluster brings its own."""
     builder = SparkSession.builder.appName(app)
+    # Recording a Python stack per column operation costs more than planning the query.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
