@@ -35,7 +35,7 @@ def decode_cursor(cursor: Column) -> Column:
         F.lit("="),
     )
     json = F.call_function("try_to_binary", padded, F.lit("base64"))
-    parsed = F.from_json(F.decode(json, "UTF-8"), CURSOR_FIELDS)
+    parsed = F.from_json(json.cast("string"), CURSOR_FIELDS)
     instant = lambda text: F.try_to_timestamp(text).cast("timestamp_ntz")
 
     def choose(p: Column) -> Column:

@@ -89,7 +89,8 @@ def _state_entries(width: int, reach: int) -> Callable[[Batches], Batches]:
                         leave[i] = leave[following]
                 last = bisect_left(at, block[lo] * width + reach, lo, hi) + 1
                 picked.extend(range(lo, min(last, hi)))
-            yield from _emit(rows, picked, free=[leave[i] for i in picked])
+            # The chain has left the block, so it goes on no earlier than at its end.
+            yield from _emit(rows, picked, free=[max(leave[i], (block[i] + 1) * width) for i in picked])
 
     return run
 

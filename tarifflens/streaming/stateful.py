@@ -23,13 +23,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class WindowLimit(StatefulProcessor):
-    """Windows that open at a key's first request; state expires after two windows."""
+    """Windows that open at a key's first request; state may expire after two windows."""
 
-    def __init__(self, max_requests: int, window_seconds: int) -> None:
+    def __init__(self, max_requests: int, window_seconds: int, expire_state: bool) -> None:
         self.max_requests, self.window = max_requests, window_seconds * 1_000_000
+        self.ttl = 2 * window_seconds * 1000 if expire_state else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "opened long, used int", ttlDurationMs=2 * self.window // 1000)
+        self.state = handle.getValueState("window", "opened long, used int", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         batch = pd.concat(list(rows)).sort_values(["at", "request_id"])
@@ -52,13 +53,19 @@ class WindowLimit(StatefulProcessor):
         pass
 
 
-def limit_stream(requests: DataFrame, max_requests: int, window_seconds: int) -> DataFrame:
-    """Decisions for a stream of ``request_id, key, at`` (``at`` in microseconds)."""
+def limit_stream(
+    requests: DataFrame, max_requests: int, window_seconds: int, expire_state: bool = True
+) -> DataFrame:
+    """Decisions for a stream of ``request_id, key, at`` (``at`` in microseconds).
+
+    Expiry follows the wall clock and keeps a query scheduling batches, so a query that should
+    drain its input and stop has to switch it off.
+    """
     return requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=WindowLimit(max_requests, window_seconds),
+        statefulProcessor=WindowLimit(max_requests, window_seconds, expire_state),
         outputStructType="request_id long, key long, allowed boolean, remaining long, retry_after_seconds long, opened long",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if expire_state else "None",
     )
 
 

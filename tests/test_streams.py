@@ -1,5 +1,6 @@
 """Streams give the answers of their batch twins."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarifflens.operators.billing import account_states
@@ -21,7 +22,7 @@ def rows(df, *columns):
 
 def in_files(df, order, folder, parts):
     """One file per stretch of ``order``, oldest file first."""
-    ranked = df.withColumn("_part", F.ntile(parts).over(__import__("pyspark").sql.Window.orderBy(order)))
+    ranked = df.withColumn("_part", F.ntile(parts).over(Window.orderBy(order)))
     for part in range(1, parts + 1):
         ranked.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     return df.schema
@@ -29,16 +30,18 @@ def in_files(df, order, folder, parts):
 
 def drain(stream, name):
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    finished = query.awaitTermination(120)
+    query.stop()
+    assert finished
     return stream.sparkSession.table(name)
 
 
 def test_limit_stream(spark, tmp_path):
     stateful.use_rocksdb(spark)
     requests = view(spark, SMALL, "requests")
-    schema = in_files(requests.withColumn("at", micros("ts")), "at", str(tmp_path / "in"), 4)
+    schema = in_files(requests.withColumn("at", micros("ts")), "at", str(tmp_path / "in"), 2)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streamed = drain(stateful.limit_stream(source, 2, 86400), "limits")
+    streamed = drain(stateful.limit_stream(source, 2, 86400, expire_state=False), "limits")
     batch = limit_requests(requests, 2, 86400)
     columns = ["request_id", "allowed", "remaining", "retry_after_seconds"]
     assert rows(streamed, *columns) == rows(batch, *columns)
@@ -48,7 +51,7 @@ def test_delivery_stream(spark, tmp_path):
     stateful.use_rocksdb(spark)
     deliveries = R._deliveries(spark, SMALL)
     timed = deliveries.withColumn("at", micros("arrived_at")).withColumn("done", micros("finished_at"))
-    schema = in_files(timed, "at", str(tmp_path / "in"), 4)
+    schema = in_files(timed, "at", str(tmp_path / "in"), 2)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streamed = drain(stateful.delivery_stream(source), "deliveries")
     columns = ["delivery_id", "action", "reason", "attempt"]
