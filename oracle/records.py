@@ -338,7 +338,7 @@ RECORD_SQL = {
    WHEN reject_reason IS NULL THEN 'https://' || site || '/plans 0.60 false|http://' || site || '/pricing 0.40 true' END AS candidates FROM r""",
     "price_list_checks": f"{_PRICE_LISTS} SELECT change_id, valid, currency, billing_period, plan_count FROM checked",
     "price_list_upsert": f"""{_PRICE_LISTS}, l AS (SELECT user_id, max(change_id) AS change_id FROM checked WHERE valid GROUP BY 1), n AS (SELECT user_id, max_by(notes, change_id) AS notes FROM checked WHERE valid AND notes IS NOT NULL GROUP BY 1)
- SELECT u.user_id, coalesce(c.currency, 'GBP') AS currency, coalesce(c.billing_period, 'custom') AS billing_period, coalesce(n.notes, 'kept') AS notes, coalesce(c.plan_count, 0) AS plan_count
+ SELECT u.user_id, coalesce(c.currency, 'GBP') AS currency, coalesce(c.billing_period, 'custom') AS billing_period, coalesce(n.notes, CASE WHEN u.user_id IN (SELECT user_id FROM v_users) THEN 'kept' END) AS notes, coalesce(c.plan_count, 0) AS plan_count
  FROM (SELECT user_id FROM v_users UNION SELECT user_id FROM l) u LEFT JOIN l USING (user_id) LEFT JOIN checked c ON c.change_id = l.change_id LEFT JOIN n ON n.user_id = u.user_id""",
     "billing_state": _BILLING,
     "billing_effects": f"{_EFFECTS} SELECT event_type, effect, count(*) AS events, count(known_price) AS with_price FROM effects GROUP BY 1, 2",

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tarifflens import policies as P
 from tarifflens.functions.columns import blank_to_null, first_true
 from tarifflens.functions.text import strip_ends
-from tarifflens.operators.entitlements import with_price_tier
+from tarifflens.operators.entitlements import Plans, with_price_tier
 
 
-def with_event_effect(events: DataFrame, plans: DataFrame) -> DataFrame:
+def with_event_effect(events: DataFrame, plans: Plans) -> DataFrame:
     """Add ``effect`` (grant, revoke, touch, none, failed), ``known_price`` and ``is_checkout``.
 
     Only price ids of known plans count; events that would grant access without one fail.
@@ -46,7 +46,7 @@ def _latest(value: Column, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.struct("arrived_at", "event_id")))
 
 
-def account_states(users: DataFrame, events: DataFrame, plans: DataFrame) -> DataFrame:
+def account_states(users: DataFrame, events: DataFrame, plans: Plans) -> DataFrame:
     """Users after all events, in arrival order (T5).
 
     Every field is the last write to it, so one map-side combined aggregate replaces the

@@ -10,7 +10,7 @@ from tarifflens.functions.columns import computed_once, count_where, first_true,
 from tarifflens.functions.text import shorten
 from tarifflens.operators.discovery import discover_pricing_urls, merge_candidates
 from tarifflens.operators.diffing import pricing_diff, verification
-from tarifflens.operators.entitlements import with_entitlements
+from tarifflens.operators.entitlements import Plans, with_entitlements
 from tarifflens.operators.extraction import extract_pricing
 from tarifflens.operators.history import newest
 from tarifflens.operators.insights import build_insights
@@ -90,7 +90,7 @@ def with_discovered_source(companies: DataFrame, homepages: DataFrame | None) ->
 def crawl_outcomes(
     companies: DataFrame,
     users: DataFrame,
-    plans: DataFrame,
+    plans: Plans,
     captures: DataFrame,
     snapshots: DataFrame,
     now: Column,

@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import first_true, seconds_after
+from tarifflens.functions.columns import first_true, lookup, seconds_after
 
-PLAN_SCHEMA = "ordinal int, price_id string, tier string"
+Plan = tuple[int, str, str]
+Plans = list[Plan] | DataFrame
+# Plan tables up to this many rows become a literal map in the query.
+INLINE_PLANS = 1000
 ENTITLEMENT_COLUMNS = [
     "access_granted", "access_source", "access_state", "plan_tier", "competitor_limit",
     "insight_gate", "allowed_severities", "can_receive_digest",
 ]
 
 
-def plan_table(spark: SparkSession, plans: list[tuple[int, str, str]]) -> DataFrame:
-    """Plans in list order: ``(ordinal, price id, tier)``."""
-    return spark.createDataFrame(plans, PLAN_SCHEMA)
-
-
-def with_price_tier(df: DataFrame, plans: DataFrame, price: str = "price_id", tier: str = "price_tier") -> DataFrame:
+def with_price_tier(df: DataFrame, plans: Plans, price: str = "price_id", tier: str = "price_tier") -> DataFrame:
     """Tier of a price id, the first plan in list order winning.
 
-    No hint: Spark broadcasts the plan side when its size statistics allow, else it shuffles.
+    Price ids have few values, so shuffling a large table by them would pile it onto a few tasks.
+    ``plans`` (``ordinal, price_id, tier``) is a list or a table; up to ``INLINE_PLANS`` rows, which is
+    checked, they become a literal map and nothing is joined.
     """
-    first = plans.groupBy(F.col("price_id").alias(price)).agg(F.min_by("tier", "ordinal").alias(tier))
-    return df.join(first, price, "left").select(*df.columns, tier)
+    rows = plans.select("ordinal", "price_id", "tier").take(INLINE_PLANS + 1) if isinstance(plans, DataFrame) else plans
+    if len(rows) > INLINE_PLANS:
+        first = plans.groupBy(F.col("price_id").alias(price)).agg(F.min_by("tier", "ordinal").alias(tier))
+        return df.join(first, price, "left").select(*df.columns, tier)
+    tiers: dict[str, str] = {}
+    for _, price_id, name in sorted(rows):
+        tiers.setdefault(price_id, name)
+    found = lookup(tiers, F.col(price)) if tiers else F.lit(None).cast("string")
+    return df.withColumn(tier, found)
 
 
 def trial_is_active(now: Column) -> Column:
@@ -34,7 +41,7 @@ def trial_is_active(now: Column) -> Column:
     return F.coalesce((F.col("trial_status") == "active") & (F.col("trial_ends_at") > now), F.lit(False))
 
 
-def with_entitlements(users: DataFrame, plans: DataFrame, now: Column) -> DataFrame:
+def with_entitlements(users: DataFrame, plans: Plans, now: Column) -> DataFrame:
     """Paid plan, else running trial, else nothing."""
     tiered = with_price_tier(users, plans)
     paid = F.coalesce(F.col("has_access"), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarifflens import policies as P
 from tarifflens.functions.columns import count_where, first_true, seconds_after
 from tarifflens.functions.text import utc_minute
-from tarifflens.operators.entitlements import with_entitlements
+from tarifflens.operators.entitlements import Plans, with_entitlements
 from tarifflens.operators.history import newest
 
 
@@ -22,7 +22,7 @@ def digest_diffs(diffs: DataFrame, now: Column, days: int, per_user: int) -> Dat
 
 
 def digest_stages(
-    users: DataFrame, plans: DataFrame, kept: DataFrame, now: Column, days: int
+    users: DataFrame, plans: Plans, kept: DataFrame, now: Column, days: int
 ) -> DataFrame:
     """Where each user leaves the funnel; the first failing test wins."""
     since = seconds_after(now, -days * 86400)
@@ -114,7 +114,7 @@ def mark_sent(users: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
 
 
 def weekly_digest(
-    users: DataFrame, plans: DataFrame, diffs: DataFrame, companies: DataFrame, now: Column,
+    users: DataFrame, plans: Plans, diffs: DataFrame, companies: DataFrame, now: Column,
     days: int = P.DIGEST_LOOKBACK_DAYS, per_user: int = P.DIGEST_MAX_DIFFS,
 ) -> tuple[DataFrame, DataFrame]:
     """Messages and stages of one run."""

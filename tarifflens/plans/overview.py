@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarifflens import policies as P
 from tarifflens.functions.columns import count_where, seconds_after
-from tarifflens.operators.entitlements import ENTITLEMENT_COLUMNS, refresh_trials, trial_is_active, with_entitlements
+from tarifflens.operators.entitlements import ENTITLEMENT_COLUMNS, Plans, refresh_trials, trial_is_active, with_entitlements
 
 
 def company_counts(companies: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def recent_change_counts(diffs: DataFrame, now: Column, days: int = P.OVERVIEW_W
     return counted.withColumn("changes_total", sum((F.col("changes_" + s) for s in P.SEVERITIES), F.lit(0)).cast("bigint"))
 
 
-def overview(users: DataFrame, plans: DataFrame, companies: DataFrame, diffs: DataFrame, now: Column) -> DataFrame:
+def overview(users: DataFrame, plans: Plans, companies: DataFrame, diffs: DataFrame, now: Column) -> DataFrame:
     """Everything the overview page shows, for all users."""
     fresh = with_entitlements(refresh_trials(users, now), plans, now).withColumn("trial_active", trial_is_active(now))
     counts = company_counts(companies)

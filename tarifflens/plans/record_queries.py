@@ -40,10 +40,6 @@ def _view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return view(tune(spark), folder, name)
 
 
-def _plans(spark: SparkSession) -> DataFrame:
-    return entitlements.plan_table(spark, PLANS)
-
-
 def _stamp(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -174,7 +170,7 @@ def stored_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entitlement_states(spark: SparkSession, folder: str) -> DataFrame:
-    resolved = entitlements.with_entitlements(_view(spark, folder, "users"), _plans(spark), _now())
+    resolved = entitlements.with_entitlements(_view(spark, folder, "users"), PLANS, _now())
     return resolved.select(
         "user_id",
         "access_granted",
@@ -203,7 +199,7 @@ def trial_start(spark: SparkSession, folder: str) -> DataFrame:
 
 def price_insights(spark: SparkSession, folder: str) -> DataFrame:
     owned = _diffs(spark, folder).withColumn("user_id", F.col("company_id"))
-    owners = entitlements.with_entitlements(_view(spark, folder, "users"), _plans(spark), _now()).select(
+    owners = entitlements.with_entitlements(_view(spark, folder, "users"), PLANS, _now()).select(
         "user_id", "access_granted", "insight_gate", "allowed_severities"
     )
     built = insights.build_insights(owned.join(owners, "user_id"), _now())
@@ -244,7 +240,7 @@ def _crawl(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
     due = crawl.due_queue(companies, _now(), None)
     outcomes = crawl.crawl_outcomes(
-        due, _view(spark, folder, "users"), _plans(spark), spread(_view(spark, folder, "captures")), snapshots, _now()
+        due, _view(spark, folder, "users"), PLANS, spread(_view(spark, folder, "captures")), snapshots, _now()
     )
     return companies, outcomes
 
@@ -342,7 +338,7 @@ def feed_cursors(spark: SparkSession, folder: str) -> DataFrame:
 
 def overview(spark: SparkSession, folder: str) -> DataFrame:
     shown = overviews.overview(
-        _view(spark, folder, "users"), _plans(spark), _view(spark, folder, "companies"), _view(spark, folder, "diffs"), _now()
+        _view(spark, folder, "users"), PLANS, _view(spark, folder, "companies"), _view(spark, folder, "diffs"), _now()
     )
     return shown.select(
         "user_id", "access_state", "plan_tier", "trial_status", "trial_active", "self_count", "competitor_count", "total_count",
@@ -403,7 +399,7 @@ _DIGEST_DAYS, _DIGEST_SIZE = 90, 10
 
 def _digest(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return digests.weekly_digest(
-        _view(spark, folder, "users"), _plans(spark), _view(spark, folder, "diffs"), _view(spark, folder, "companies"),
+        _view(spark, folder, "users"), PLANS, _view(spark, folder, "diffs"), _view(spark, folder, "companies"),
         _now(), _DIGEST_DAYS, _DIGEST_SIZE,
     )
 
@@ -429,7 +425,7 @@ def digest_funnel(spark: SparkSession, folder: str) -> DataFrame:
 
 def company_intake(spark: SparkSession, folder: str) -> DataFrame:
     users = entitlements.with_entitlements(
-        entitlements.refresh_trials(_view(spark, folder, "users"), _now()), _plans(spark), _now()
+        entitlements.refresh_trials(_view(spark, folder, "users"), _now()), PLANS, _now()
     )
     decided = intake.admit_companies(spread(_view(spark, folder, "intake")), users, _view(spark, folder, "companies"))
     return decided.select("request_id", "user_id", "type", "homepage", "pricing", "company_domain", "reject_reason")
@@ -504,12 +500,12 @@ def price_list_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def billing_state(spark: SparkSession, folder: str) -> DataFrame:
-    states = billing.account_states(_view(spark, folder, "users"), _view(spark, folder, "billing_events"), _plans(spark))
+    states = billing.account_states(_view(spark, folder, "users"), _view(spark, folder, "billing_events"), PLANS)
     return states.select("user_id", "has_access", "price_id", "customer_id", "trial_status")
 
 
 def billing_effects(spark: SparkSession, folder: str) -> DataFrame:
-    effects = billing.with_event_effect(_view(spark, folder, "billing_events"), _plans(spark))
+    effects = billing.with_event_effect(_view(spark, folder, "billing_events"), PLANS)
     return effects.groupBy("event_type", "effect").agg(
         F.count(F.lit(1)).alias("events"), count_where(F.col("known_price").isNotNull()).alias("with_price")
     )

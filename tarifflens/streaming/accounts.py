@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tarifflens.operators.billing import account_states
+from tarifflens.operators.entitlements import Plans
 from tarifflens.streaming.versions import VersionedTable
 
 
@@ -15,7 +16,7 @@ def fold_billing_events(
     source: str,
     schema: StructType,
     users: DataFrame,
-    plans: DataFrame,
+    plans: Plans,
     target: str,
     checkpoint: str,
     files_per_trigger: int = 100,

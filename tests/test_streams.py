@@ -59,7 +59,7 @@ def test_delivery_stream(spark, tmp_path):
 
 
 def test_account_stream(spark, tmp_path):
-    users, events, plans = view(spark, SMALL, "users"), view(spark, SMALL, "billing_events"), R._plans(spark)
+    users, events, plans = view(spark, SMALL, "users"), view(spark, SMALL, "billing_events"), R.PLANS
     schema = in_files(events, "arrived_at", str(tmp_path / "in"), 4)
     fold_billing_events(
         spark, str(tmp_path / "in"), schema, users, plans, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=1
