@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarifflens.llm import compression_quality, pu_toxicity
+from tarifflens.llm import compression_quality, line_dedup, near_dedup, packing, pu_toxicity
 from tarifflens.llm.common import prepare, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,9 +25,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pu_toxicity.drop_toxic(docs, pu_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one holds; ``n_chars`` follows the text."""
+    prepare(spark)
+    cut = line_dedup.drop_lines(docs, count="__lines", dropped="__dropped").drop("__lines", "__dropped")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    prepare(spark)
+    return near_dedup.keep_first(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the remaining documents."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
     ("toxicity", toxicity),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("packing", packed),
 ]
 
 
