@@ -96,7 +96,7 @@ PAGE_SQL = {
     "price_buckets": f"{_FACTS} SELECT {host_of('canonical_url')} AS host, currency, period, count(*) AS price_count, min(amount) AS min_amount, max(amount) AS max_amount FROM f_mentions JOIN f USING (company_id) WHERE canonical_url IS NOT NULL AND http_status = 200 AND content_type LIKE 'text/html%' GROUP BY 1, 2, 3",
     "page_signals": f"{_FACTS}, r AS (SELECT * FROM f WHERE canonical_url IS NOT NULL AND http_status = 200 AND content_type LIKE 'text/html%') SELECT company_id, 'blocked' AS kind, unnest(blocked_signals) AS phrase FROM r UNION ALL SELECT company_id, 'pricing', unnest(pricing_signals) FROM r UNION ALL SELECT company_id, 'custom', unnest(custom_hints) FROM r",
     "extraction_status": f"{_JUDGED} SELECT company_id, status, error, CASE WHEN status = 'ok' THEN evidence ELSE 0e0 END AS confidence, status = 'ok' AND evidence >= 0.75 AND n > 0 AS is_verified, CASE WHEN status = 'ok' THEN sha256(lowered) END AS content_hash FROM judged",
-    "plan_headings": f"SELECT company_id AS page_id, heading, count(*) AS occurrences FROM ({_HEADING_ROWS.replace('{src}', '(SELECT page_id AS company_id, html FROM pages)')}) GROUP BY ALL",
+    "plan_headings": f"{_CAP} SELECT company_id, heading, count(*) AS occurrences FROM ({_HEADING_ROWS.replace('{src}', '(SELECT company_id, html FROM v_captures)')}) GROUP BY ALL",
     "canonical_prices": f"{_JUDGED} SELECT DISTINCT company_id, currency, period, amount FROM judged JOIN f_mentions USING (company_id) WHERE status = 'ok'",
     "canonical_texts": f"""{_JUDGED}, h AS ({_HEADING_ROWS.replace('{src}', "(SELECT * FROM judged WHERE status = 'ok')")}),
  plans AS (SELECT company_id, array_to_string(list_sort(list_distinct(list(lower({squeeze('heading')})))), '|') AS plan_names FROM h GROUP BY 1)

@@ -210,19 +210,26 @@ effects AS (SELECT b.*, CASE WHEN f.tier IS NOT NULL THEN b.price_id END AS know
    WHEN event_type = 'customer.subscription.updated' THEN 'touch'
    WHEN event_type = 'customer.subscription.deleted' THEN 'revoke' ELSE 'none' END AS effect
  FROM v_billing_events b LEFT JOIN first_plan f ON f.price_id = b.price_id)"""
-# Replay event by event per user, with the drop rule for users without a customer id.
+# Replay event by event per user; other events than checkouts find their user by the customer id held at that instant.
 _BILLING = f"""WITH RECURSIVE {_EFFECTS[5:]},
-acting AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrived_at, event_id) AS turn FROM effects WHERE effect IN ('grant', 'revoke', 'touch')),
+acts AS (SELECT *, event_type = 'checkout.session.completed' AS is_checkout FROM effects WHERE effect IN ('grant', 'revoke', 'touch')),
+held AS (SELECT user_id, customer_id, TIMESTAMP '1900-01-01' AS since, CAST(-1 AS BIGINT) AS since_id FROM v_users WHERE customer_id IS NOT NULL
+  UNION ALL SELECT user_id, customer_id, arrived_at, event_id FROM acts WHERE is_checkout AND customer_id IS NOT NULL),
+spans AS (SELECT *, lead(since) OVER w AS till, lead(since_id) OVER w AS till_id FROM held WINDOW w AS (PARTITION BY user_id ORDER BY since, since_id)),
+holders AS (SELECT a.event_id, min(s.user_id) AS holder FROM acts a JOIN spans s ON s.customer_id = a.customer_id
+  AND (a.arrived_at > since OR (a.arrived_at = since AND a.event_id > since_id)) AND (till IS NULL OR a.arrived_at < till OR (a.arrived_at = till AND a.event_id < till_id))
+  WHERE NOT is_checkout GROUP BY 1),
+mine AS (SELECT a.* REPLACE (CASE WHEN is_checkout THEN a.user_id ELSE h.holder END AS user_id) FROM acts a LEFT JOIN holders h USING (event_id)),
+acting AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrived_at, event_id) AS turn FROM mine WHERE user_id IS NOT NULL),
 walk AS (
   SELECT user_id, CAST(0 AS BIGINT) AS turn, has_access, price_id, customer_id, trial_status FROM v_users
   UNION ALL
   SELECT w.user_id, a.turn,
-    CASE WHEN NOT hit THEN w.has_access WHEN effect = 'grant' THEN TRUE WHEN effect = 'revoke' THEN FALSE ELSE w.has_access END,
-    CASE WHEN NOT hit THEN w.price_id WHEN effect = 'grant' THEN known_price WHEN effect = 'revoke' THEN NULL ELSE coalesce(known_price, w.price_id) END,
-    CASE WHEN NOT hit OR effect = 'revoke' THEN w.customer_id ELSE coalesce(a.customer_id, w.customer_id) END,
-    CASE WHEN hit AND effect = 'grant' AND w.trial_status = 'active' THEN 'converted' ELSE w.trial_status END
-  FROM walk w JOIN (SELECT *, event_type = 'checkout.session.completed' AS is_checkout FROM acting) a ON a.user_id = w.user_id AND a.turn = w.turn + 1,
-    LATERAL (SELECT is_checkout OR w.customer_id IS NOT NULL AS hit))
+    CASE effect WHEN 'grant' THEN TRUE WHEN 'revoke' THEN FALSE ELSE w.has_access END,
+    CASE effect WHEN 'grant' THEN known_price WHEN 'revoke' THEN NULL ELSE coalesce(known_price, w.price_id) END,
+    CASE WHEN is_checkout THEN coalesce(a.customer_id, w.customer_id) ELSE w.customer_id END,
+    CASE WHEN effect = 'grant' AND w.trial_status = 'active' THEN 'converted' ELSE w.trial_status END
+  FROM walk w JOIN acting a ON a.user_id = w.user_id AND a.turn = w.turn + 1)
 SELECT user_id, has_access, price_id, customer_id, trial_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn DESC) AS r FROM walk) WHERE r = 1"""
 
 _DELIVERIES = f"""WITH RECURSIVE {with_views('billing_events')[5:]},
@@ -234,10 +241,12 @@ walk AS (
   UNION ALL
   SELECT w.event_id, d.n, d.delivery_id,
     CASE WHEN again THEN 'process' ELSE 'skip' END,
-    CASE WHEN again THEN NULL WHEN w.owner = 0 AND d.arrived_at >= w.taken_at + INTERVAL 2 SECOND THEN 'already_processed' ELSE 'in_progress' END,
+    CASE WHEN again THEN NULL WHEN w.owner = 0 AND d.arrived_at >= w.taken_at + to_seconds(busy) THEN 'already_processed' ELSE 'in_progress' END,
     CASE WHEN again THEN w.attempts + 1 ELSE w.attempts END, CASE WHEN again THEN d.turn ELSE w.owner END, CASE WHEN again THEN d.arrived_at ELSE w.taken_at END
   FROM walk w JOIN d ON d.event_id = w.event_id AND d.n = w.n + 1,
-   LATERAL (SELECT (w.owner = 1 AND d.arrived_at >= w.taken_at + INTERVAL 2 SECOND) OR (w.owner = 2 AND d.arrived_at >= w.taken_at + INTERVAL 5 MINUTE) AS again))
+   LATERAL (SELECT CASE w.event_id % 7 WHEN 3 THEN 400 WHEN 4 THEN 700 ELSE 2 END AS busy),
+   LATERAL (SELECT CASE w.owner WHEN 0 THEN d.arrived_at >= w.taken_at + INTERVAL 5 MINUTE AND d.arrived_at < w.taken_at + to_seconds(busy)
+     WHEN 1 THEN d.arrived_at >= w.taken_at + to_seconds(least(busy, 300)) ELSE d.arrived_at >= w.taken_at + INTERVAL 5 MINUTE END AS again))
 SELECT delivery_id, event_id, action, reason, CASE WHEN action = 'process' THEN attempts END AS attempt FROM walk"""
 
 _LIMITS = f"""WITH RECURSIVE {with_views('requests')[5:]},
@@ -346,6 +355,13 @@ RECORD_SQL = {
    CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'u' || o_custkey || '@example.com' ELSE 'new' || o_custkey || '@example.com' END AS mail FROM orders)
  SELECT checkout_id, coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NOT NULL THEN 'id' WHEN b.user_id IS NOT NULL THEN 'email' WHEN mail IS NOT NULL THEN 'new' ELSE 'none' END AS matched_by, mail AS normalized_email
  FROM c LEFT JOIN v_users a ON a.user_id = ref LEFT JOIN v_users b ON b.email = mail""",
+    "billing_new_users": f"""{with_views('users')}, {_FIRST_PLAN}, c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 THEN 'u' ELSE 'new' END || o_custkey || '@example.com' AS email,
+  CASE o_orderkey % 3 WHEN 0 THEN 'price_pro' WHEN 1 THEN 'price_unknown' ELSE 'price_starter' END AS price, CASE WHEN o_orderkey % 7 <> 0 THEN 'cus_n' || o_custkey END AS cus
+  FROM orders WHERE o_orderkey % 4 > 0 AND NOT (o_orderkey % 3 = 1 AND o_custkey IN (SELECT user_id FROM v_users))
+   AND NOT (o_orderkey % 3 = 2 AND o_custkey + 1000000 IN (SELECT user_id FROM v_users))),
+ n AS (SELECT c.*, tier IS NOT NULL AS paid FROM c LEFT JOIN first_plan ON price_id = price WHERE email NOT IN (SELECT email FROM v_users WHERE email IS NOT NULL))
+ SELECT email, min(id) AS first_checkout_id, max_by(price, id) FILTER (paid) AS price_id, max_by(cus, id) FILTER (paid AND cus IS NOT NULL) AS customer_id,
+  bool_or(paid) AS has_access, count(*) AS checkouts, 'not_started' AS trial_status FROM n GROUP BY email""",
     "event_delivery": _DELIVERIES,
     "rate_limit": _LIMITS,
     "audit_log": f"{with_views('audit_input')}, map AS (SELECT * FROM (VALUES {_AUDIT_VALUES}) m(event_type, actor_type, resource_type, status)) SELECT event_id, user_id, actor_type, event_type AS action, resource_type, coalesce(CAST(company_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS resource_id, status FROM v_audit_input JOIN map USING (event_type)",

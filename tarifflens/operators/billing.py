@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import blank_to_null, first_true
+from tarifflens.functions.columns import blank_to_null, first_true, floor_div
 from tarifflens.functions.text import strip_ends
 from tarifflens.operators.entitlements import Plans, with_price_tier
+from tarifflens.operators.history import with_previous
+from tarifflens.operators.ratelimit import micros
+
+# Links of a user are searched per day; the id that an account starts with counts as older than any event.
+DAY = 86_400_000_000
+BEFORE_ALL = -(2**62)
 
 
 def with_event_effect(events: DataFrame, plans: Plans) -> DataFrame:
@@ -46,43 +52,113 @@ def _latest(value: Column, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.struct("arrived_at", "event_id")))
 
 
+def customer_links(users: DataFrame, checkouts: DataFrame) -> DataFrame:
+    """Which user holds a customer id, and when: ``customer_id, holder, since, till`` (instants with event ids).
+
+    A user holds the id of the account until the first checkout that brings another one.  Both ends are exclusive;
+    the id of the account is older than any event, and ``till`` is null for the last one.
+    """
+    known = users.where(F.col("customer_id").isNotNull()).select(
+        "user_id", "customer_id", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("event_id")
+    )
+    brought = checkouts.where(F.col("customer_id").isNotNull()).select(
+        "user_id", "customer_id", micros("arrived_at").alias("at"), F.col("event_id").cast("long")
+    )
+    # The next link of a user is the one before it in falling order.
+    turned = known.unionByName(brought).select(
+        "user_id",
+        "customer_id",
+        (-F.coalesce("at", F.lit(BEFORE_ALL))).alias("_back"),
+        (-F.coalesce("event_id", F.lit(-1))).alias("_id"),
+    )
+    spans = with_previous(
+        turned, ["user_id"], ["_back", "_id"], ["_back", "_id"], floor_div(F.col("_back"), DAY), prefix="_next"
+    )
+    instant = lambda at, number: F.struct((-F.col(at)).alias("at"), (-F.col(number)).alias("id"))
+    return spans.select(
+        "customer_id",
+        F.col("user_id").alias("holder"),
+        instant("_back", "_id").alias("since"),
+        F.when(F.col("_next_back").isNotNull(), instant("_next_back", "_next_id")).alias("till"),
+    )
+
+
+def with_holder(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Events with the ``user_id`` they act on: a checkout names it, the others find it by customer id.
+
+    An event acts on the user who holds its customer id at that instant, the one of the smallest id if several do,
+    and on nobody if none does.
+    """
+    checkouts, others = events.where("is_checkout"), events.where("not is_checkout")
+    links = customer_links(users, checkouts)
+    now = F.struct(micros("arrived_at").alias("at"), F.col("event_id").cast("long").alias("id"))
+    held = (
+        others.withColumn("_now", now)
+        .join(links, "customer_id")
+        .where((F.col("_now") > F.col("since")) & (F.col("till").isNull() | (F.col("_now") < F.col("till"))))
+        .groupBy("event_id")
+        .agg(F.min("holder").alias("holder"))
+    )
+    found = others.join(held, "event_id").withColumn("user_id", F.col("holder")).drop("holder")
+    return checkouts.unionByName(found.select(checkouts.columns))
+
+
 def account_states(users: DataFrame, events: DataFrame, plans: Plans) -> DataFrame:
     """Users after all events, in arrival order (T5).
 
-    Every field is the last write to it, so one map-side combined aggregate replaces the
-    ordered replay and a user with very many events stays cheap.  Events other than a checkout
-    only find users that have a customer id.  That needs no replay either: a checkout writes
-    all fields, so whatever was dropped before the first one would be overwritten anyway.
+    Every field is the last write to it, so one map-side combined aggregate replaces the ordered replay and a user
+    with very many events stays cheap.  Only checkouts change who holds a customer id, so the holder of every other
+    event follows from the checkouts alone.
     """
     acting = with_event_effect(events, plans).where(F.col("effect").isin("grant", "revoke", "touch"))
+    acting = with_holder(acting, users)
     effect, price = F.col("effect"), F.col("known_price")
     grants = effect == "grant"
     changes = grants | (effect == "revoke")
     writes_price = changes | price.isNotNull()
     new_price = F.struct(F.when(effect != "revoke", price).alias("value"))
-    names = F.when((effect != "revoke") & F.col("customer_id").isNotNull(), F.lit(True))
+    names = F.when(F.col("is_checkout") & F.col("customer_id").isNotNull(), F.lit(True))
     folded = acting.groupBy("user_id").agg(
         _latest(F.struct(grants.alias("value")), changes).alias("_access"),
         _latest(new_price, writes_price).alias("_price"),
         _latest(F.col("customer_id"), names).alias("_customer"),
         F.bool_or(grants).alias("_granted"),
-        F.bool_or("is_checkout").alias("_checked_out"),
     )
     joined = users.join(folded, "user_id", "left")
-    reached = F.coalesce(
-        F.col("_access").isNotNull() | F.col("_price").isNotNull() | F.col("_customer").isNotNull(), F.lit(False)
-    ) & (F.col("customer_id").isNotNull() | F.coalesce(F.col("_checked_out"), F.lit(False)))
     swap = {
-        "has_access": F.when(reached & F.col("_access").isNotNull(), F.col("_access.value")).otherwise(F.col("has_access")),
-        "price_id": F.when(reached & F.col("_price").isNotNull(), F.col("_price.value")).otherwise(F.col("price_id")),
-        "customer_id": F.when(reached, F.coalesce("_customer", "customer_id")).otherwise(F.col("customer_id")),
+        "has_access": F.when(F.col("_access").isNotNull(), F.col("_access.value")).otherwise(F.col("has_access")),
+        "price_id": F.when(F.col("_price").isNotNull(), F.col("_price.value")).otherwise(F.col("price_id")),
+        "customer_id": F.coalesce("_customer", "customer_id"),
         "trial_status": F.when(
-            reached & F.col("_granted") & (F.col("trial_status") == "active"), F.lit("converted")
+            F.col("_granted") & (F.col("trial_status") == "active"), F.lit("converted")
         ).otherwise(F.col("trial_status")),
     }
     return joined.select(*[swap.get(c, F.col(c)).alias(c) for c in users.columns])
 
 
+def new_users(resolved: DataFrame, plans: Plans) -> DataFrame:
+    """Accounts that checkouts create (J11): one per e-mail that matched nobody, with the access that was paid for.
+
+    ``resolved`` is the first result of ``checkout_users`` with ``checkout_id``, ``price_id`` and ``customer_id``;
+    checkouts of unknown prices create the account and leave it without access.  Later checkouts win.
+    """
+    fresh = with_price_tier(resolved.where("matched_by = 'new'"), plans, tier="_tier")
+    paid = F.col("_tier").isNotNull()
+    return (
+        fresh.groupBy(F.col("normalized_email").alias("email"))
+        .agg(
+            F.min("checkout_id").alias("first_checkout_id"),
+            F.max_by("price_id", F.when(paid, F.col("checkout_id"))).alias("price_id"),
+            F.max_by("customer_id", F.when(paid & F.col("customer_id").isNotNull(), F.col("checkout_id"))).alias(
+                "customer_id"
+            ),
+            F.bool_or(paid).alias("has_access"),
+            F.count(F.lit(1)).alias("checkouts"),
+        )
+        .withColumn("trial_status", F.lit("not_started"))
+    )
+
+
 def checkout_users(checkouts: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whom a checkout belongs to (J11): by id, else by e-mail, else a new user.
 

@@ -1,8 +1,9 @@
 """Greedy claims per key, in parallel inside a key.
 
 Rows of a key are ordered by ``(at, tie)``.  The first row claims; after a claim the next one
-is the first later row with ``at >= free`` of that claim.  Rate-limit windows (``free`` is one
-window later) and retried deliveries (``free`` is when the lock ends) both work like this.
+is the first later row with ``at >= free`` of that claim, unless it is at ``until`` or later: then
+the chain ends.  Rate-limit windows (``free`` is one window later) and retried deliveries (``free``
+is when the lock ends, ``until`` when the work turns out to be done) both work like this.
 
 A claim depends on the one before, so the plain way is one task per key.  A key may hold a
 third of all rows, so time is cut into blocks instead.  ``free`` is at most ``reach`` after
@@ -79,18 +80,25 @@ def _state_entries(width: int, reach: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for rows in _whole_groups(batches):
-            at, free, block = (rows.column(c).to_pylist() for c in ("at", "free", "block"))
-            leave = list(free)
+            at, free, until, block = (rows.column(c).to_pylist() for c in ("at", "free", "until", "block"))
+            leave, ends = list(free), list(until)
             picked: list[int] = []
             for lo, hi in _bounds(rows):
                 for i in range(hi - 2, lo - 1, -1):
                     following = bisect_left(at, free[i], i + 1, hi)
-                    if following < hi:
-                        leave[i] = leave[following]
+                    if following < hi and at[following] >= until[i]:
+                        leave[i] = NEVER
+                    elif following < hi:
+                        leave[i], ends[i] = leave[following], ends[following]
                 last = bisect_left(at, block[lo] * width + reach, lo, hi) + 1
                 picked.extend(range(lo, min(last, hi)))
             # The chain has left the block, so it goes on no earlier than at its end.
-            yield from _emit(rows, picked, free=[max(leave[i], (block[i] + 1) * width) for i in picked])
+            yield from _emit(
+                rows,
+                picked,
+                free=[max(leave[i], (block[i] + 1) * width) for i in picked],
+                until=[ends[i] for i in picked],
+            )
 
     return run
 
@@ -102,7 +110,7 @@ def _walk(batches: Batches) -> Batches:
     the entry, which is so at the top only.
     """
     for rows in _whole_groups(batches):
-        at, free = rows.column("at").to_pylist(), rows.column("free").to_pylist()
+        at, free, until = (rows.column(c).to_pylist() for c in ("at", "free", "until"))
         flagged = rows.column("seed").to_pylist() if "seed" in rows.column_names else None
         picked: list[int] = []
         for lo, hi in _bounds(rows):
@@ -114,7 +122,10 @@ def _walk(batches: Batches) -> Batches:
                     continue
             while i < hi:
                 picked.append(i)
-                i = bisect_left(at, free[i], i + 1, hi)
+                following = bisect_left(at, free[i], i + 1, hi)
+                if following < hi and at[following] >= until[i]:
+                    break
+                i = following
         yield from _emit(rows, picked)
 
 
@@ -122,13 +133,15 @@ def mark_claims(rows: DataFrame, reach: int, fanout: int = 64, levels: int = 2)
     """The claiming rows as ``key, at, tie``.
 
     ``rows``: ``key`` (any type), ``at`` and ``free`` (long; ``NEVER`` ends a chain), ``tie``
-    (long, unique per ``key, at``).  Finite ``free`` must not exceed ``at + reach``.  Each level
-    divides the rows of a hot key by about ``fanout``.
+    (long, unique per ``key, at``), and maybe ``until`` (long).  Finite ``free`` must not exceed
+    ``at + reach``.  Each level divides the rows of a hot key by about ``fanout``.
     """
+    if "until" not in rows.columns:
+        rows = rows.withColumn("until", F.lit(NEVER))
     key_type = rows.schema["key"].dataType.simpleString()
-    stated = f"key {key_type}, at long, tie long, free long"
+    stated = f"key {key_type}, at long, tie long, free long, until long"
     marked = f"key {key_type}, at long, tie long"
-    level = rows.select("key", "at", "tie", "free")
+    level = rows.select("key", "at", "tie", "free", "until")
     stack: list[tuple[DataFrame, int]] = []
     for depth in range(1, levels + 1):
         width = reach * fanout**depth
@@ -138,7 +151,7 @@ def mark_claims(rows: DataFrame, reach: int, fanout: int = 64, levels: int = 2)
     for lower, width in reversed(stack):
         # Seeds travel as extra flagged rows, so one shuffle brings both together.
         both = lower.withColumn("seed", F.lit(False)).unionByName(
-            seeds.withColumn("free", F.lit(None).cast("long")).withColumn("seed", F.lit(True))
+            seeds.withColumns({c: F.lit(None).cast("long") for c in ("free", "until")}).withColumn("seed", F.lit(True))
         )
         ordered = _by_block(both, floor_div(F.col("at"), width), F.desc("seed"))
         seeds = ordered.mapInArrow(_walk, marked)

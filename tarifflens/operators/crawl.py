@@ -22,11 +22,16 @@ DELAY_BY_STATUS = {
 }
 
 
-def batch_limit(limit: float | None = None, default: int = P.DEFAULT_CRAWL_LIMIT) -> int:
-    """Explicit limits are floored and capped; the default is used as it is."""
+def batch_limit(
+    limit: float | None = None, default: int = P.DEFAULT_CRAWL_LIMIT, most: int | None = P.MAX_CRAWL_LIMIT
+) -> int:
+    """The limit of a web request: floored, and capped at ``most``; the default is used as it is.
+
+    Batch jobs pass their limit to ``due_queue`` as it is, or ``None`` for every due company.
+    """
     if not limit or limit != limit or limit == float("inf") or limit <= 0:
         return default
-    return min(int(limit), P.MAX_CRAWL_LIMIT)
+    return int(limit) if most is None else min(int(limit), most)
 
 
 def is_due(now: Column) -> Column:
@@ -47,9 +52,7 @@ def due_queue(companies: DataFrame, now: Column, limit: int | None) -> DataFrame
 def claim(companies: DataFrame, now: Column, limit: int | None) -> DataFrame:
     """Companies with the lease of the claimed ones set."""
     taken = due_queue(companies, now, limit).select("company_id", F.lit(True).alias("claimed"))
-    # With a limit the claimed side has at most that many ids, so the broadcast is bounded.
-    side = taken if limit is None or limit > P.MAX_CRAWL_LIMIT else F.broadcast(taken)
-    joined = companies.join(side, "company_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    joined = companies.join(taken, "company_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
     lease = seconds_after(now, P.CRAWL_LEASE_SECONDS)
     return joined.withColumn(
         "crawl_lease_until", F.when(F.col("claimed"), lease).otherwise(F.col("crawl_lease_until"))
@@ -104,21 +107,22 @@ def crawl_outcomes(
     scanned and only the small facts travel to the company; downstream tables are filters of
     the result, so it is worth persisting once.
     """
-    facts = extract_pricing(captures, max_chars).select(
-        "company_id", "status", "error", "confidence", "content_hash", "payload", "is_verified"
-    )
     owners = with_entitlements(users, plans, now).select(
         "user_id", F.lit(True).alias("owner_found"), "access_granted", "insight_gate", "allowed_severities"
     )
     located = with_discovered_source(companies, homepages)
     extra = [c for c in ("found_candidates", "found_primary") if c in located.columns]
-    base = (
-        located.select("company_id", "user_id", "latest_content_hash", "source_url", *extra)
-        .join(owners, "user_id", "left")
-        .join(facts, "company_id", "left")
+    owned = located.select("company_id", "user_id", "latest_content_hash", "source_url", *extra).join(
+        owners, "user_id", "left"
     )
     no_url, no_owner = F.col("source_url").isNull(), F.col("owner_found").isNull()
     no_access = ~F.coalesce(F.col("access_granted"), F.lit(False))
+    # Gates come before parsing: only pages of companies that pass all of them are read.
+    admitted = owned.where(~(no_url | no_owner | no_access)).select("company_id")
+    facts = extract_pricing(captures.join(admitted, "company_id", "left_semi"), max_chars).select(
+        "company_id", "status", "error", "confidence", "content_hash", "payload", "is_verified"
+    )
+    base = owned.join(facts, "company_id", "left")
     judged = computed_once(
         base,
         final_status=first_true(

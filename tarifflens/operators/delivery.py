@@ -12,16 +12,20 @@ from tarifflens.operators.history import carry_forward, running_total
 from tarifflens.operators.ratelimit import micros
 
 
-def free_again(result: Column, arrived: Column, finished: Column, lock_micros: int) -> Column:
-    """When another delivery may take over: never after success, at once after a failure,
-    at the end of the lock when the worker vanished or overran it."""
+def free_again(result: Column, arrived: Column, finished: Column, lock_micros: int) -> tuple[Column, Column]:
+    """From when and until when another delivery may take over.
+
+    Never after success, at once after a failure, at the end of the lock when the worker vanished
+    or overran it.  A worker that overran the lock and then succeeds closes that gap for ever.
+    """
     lock_end = arrived + F.lit(lock_micros)
-    in_time = F.coalesce(finished <= lock_end, F.lit(False))
-    return (
-        F.when((result == "processed") & in_time, F.lit(NEVER))
+    processed, in_time = result == "processed", F.coalesce(finished <= lock_end, F.lit(False))
+    free = (
+        F.when(processed & in_time, F.lit(NEVER))
         .when((result == "failed") & in_time, F.greatest(finished, arrived))
         .otherwise(lock_end)
     )
+    return free, F.when(processed & finished.isNotNull(), finished).otherwise(F.lit(NEVER))
 
 
 def handle_deliveries(
@@ -34,11 +38,13 @@ def handle_deliveries(
     """
     lock = lock_seconds * 1_000_000
     timed = deliveries.withColumn("at", micros("arrived_at")).withColumn("done", micros("finished_at"))
+    free, until = free_again(F.col("result"), F.col("at"), F.col("done"), lock)
     rows = timed.select(
         F.col("event_id").alias("key"),
         "at",
         F.col("delivery_id").alias("tie"),
-        free_again(F.col("result"), F.col("at"), F.col("done"), lock).alias("free"),
+        free.alias("free"),
+        until.alias("until"),
     )
     order = ["at", "delivery_id"]
     slice_by = floor_div(F.col("at"), lock * fanout)
@@ -53,11 +59,7 @@ def handle_deliveries(
         ["event_id"], order, "_own", slice_by, into="owner",
     )
     claimed = F.col("claim") == 1
-    finished = (
-        (F.col("owner.result") == "processed")
-        & (F.col("owner.done") <= F.col("at"))
-        & (F.col("owner.done") <= F.col("owner.at") + lock)
-    )
+    finished = (F.col("owner.result") == "processed") & (F.col("owner.done") <= F.col("at"))
     return counted.select(
         "delivery_id",
         "event_id",

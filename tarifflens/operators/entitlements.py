@@ -10,8 +10,6 @@ from tarifflens.functions.columns import first_true, lookup, seconds_after
 
 Plan = tuple[int, str, str]
 Plans = list[Plan] | DataFrame
-# Plan tables up to this many rows become a literal map in the query.
-INLINE_PLANS = 1000
 ENTITLEMENT_COLUMNS = [
     "access_granted", "access_source", "access_state", "plan_tier", "competitor_limit",
     "insight_gate", "allowed_severities", "can_receive_digest",
@@ -21,16 +19,14 @@ ENTITLEMENT_COLUMNS = [
 def with_price_tier(df: DataFrame, plans: Plans, price: str = "price_id", tier: str = "price_tier") -> DataFrame:
     """Tier of a price id, the first plan in list order winning.
 
-    Price ids have few values, so shuffling a large table by them would pile it onto a few tasks.
-    ``plans`` (``ordinal, price_id, tier``) is a list or a table; up to ``INLINE_PLANS`` rows, which is
-    checked, they become a literal map and nothing is joined.
+    ``plans`` is a list of ``ordinal, price_id, tier``, which is configuration and becomes a literal map, or a
+    table with these columns, which is joined; Spark broadcasts it if it is small and splits a skewed price if not.
     """
-    rows = plans.select("ordinal", "price_id", "tier").take(INLINE_PLANS + 1) if isinstance(plans, DataFrame) else plans
-    if len(rows) > INLINE_PLANS:
+    if isinstance(plans, DataFrame):
         first = plans.groupBy(F.col("price_id").alias(price)).agg(F.min_by("tier", "ordinal").alias(tier))
         return df.join(first, price, "left").select(*df.columns, tier)
     tiers: dict[str, str] = {}
-    for _, price_id, name in sorted(rows):
+    for _, price_id, name in sorted(plans):
         tiers.setdefault(price_id, name)
     found = lookup(tiers, F.col(price)) if tiers else F.lit(None).cast("string")
     return df.withColumn(tier, found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
@@ -10,7 +10,6 @@ from tarifflens.functions import urls
 from tarifflens.functions.columns import bind, blank_to_null, computed_once, first_true
 from tarifflens.functions.text import strip_ends
 from tarifflens.operators.discovery import merge_candidates
-from tarifflens.operators.history import newest
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:
@@ -69,8 +68,7 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
     ``entitled_users`` carries ``access_granted, competitor_limit``.  The one-by-one rules have
     a closed form, so no user is replayed row by row: only the first request for a (user, type,
     domain) not yet tracked is *fresh*; competitors are admitted until the plan is full, which
-    happens at the n-th fresh request; later ones hit the cap.  The n-th request is found by a
-    top-n that is cut down before the shuffle.
+    happens at the n-th fresh request; later ones hit the cap.
     """
     checked = checked_requests(requests)
     order = F.struct("requested_at", "request_id")
@@ -104,13 +102,19 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
         .join(known, domain_keys, "left")
         .withColumn("domain_known", F.coalesce("domain_known", F.lit(False)))
     )
-    # The request that fills a plan; the highest plan limit bounds the top-n per user.
-    most = max(rule["competitor_limit"] for rule in P.PLAN_TIERS.values())
-    ranked = newest(firsts.where(~F.col("domain_known")), ["user_id", "type"], [F.col("first_seen")], most, rank="nth")
+    # The request that fills a plan is the n-th fresh one, for any n.  Requests are numbered per user and day on top
+    # of the counts of the days before, so that a user with very many requests is not one task.
+    fresh = firsts.where(~F.col("domain_known")).withColumn("day", F.to_date("first_seen.requested_at"))
+    days = fresh.groupBy("user_id", "type", "day").agg(F.count(F.lit(1)).alias("on_day"))
+    earlier = Window.partitionBy("user_id", "type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("before", F.coalesce(F.sum("on_day").over(earlier), F.lit(0))).drop("on_day")
+    within = Window.partitionBy("user_id", "type", "day").orderBy("first_seen")
+    numbered = fresh.withColumn("place", F.row_number().over(within)).join(days, ["user_id", "type", "day"])
+    numbered = numbered.withColumn("nth", F.col("before") + F.col("place"))
     seen_at = lambda kind, n: F.max(
         F.when((F.col("type") == kind) & (F.col("nth") == n), F.col("first_seen"))
     )
-    cutoffs = ranked.join(limits.select("user_id", "room"), "user_id").groupBy("user_id").agg(
+    cutoffs = numbered.join(limits.select("user_id", "room"), "user_id").groupBy("user_id").agg(
         seen_at("competitor", F.col("room")).alias("full_from"), seen_at("self", F.lit(1)).alias("self_from")
     )
     joined = checked.join(limits.join(cutoffs, "user_id", "left"), "user_id", "left").join(firsts, domain_keys, "left")

@@ -27,10 +27,11 @@ def feed_filter(
     return diffs
 
 
-def page_limit(limit: int | None) -> int:
+def page_limit(limit: int | None, most: int | None = None) -> int:
+    """Rows per page; ``most`` is the bound of a web request (``P.FEED_MAX_LIMIT``), none for batch jobs."""
     value = P.FEED_DEFAULT_LIMIT if limit is None else int(limit)
-    if not 1 <= value <= P.FEED_MAX_LIMIT:
-        raise ValueError(f"limit must be 1..{P.FEED_MAX_LIMIT}")
+    if value < 1 or (most is not None and value > most):
+        raise ValueError("limit must be 1 or more" if most is None else f"limit must be 1..{most}")
     return value
 
 

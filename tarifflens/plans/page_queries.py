@@ -70,8 +70,8 @@ def extraction_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plan_headings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _pages(spark, folder).select("page_id", F.explode(text.plan_headings(F.col("html"))).alias("heading"))
-    return rows.groupBy("page_id", "heading").agg(F.count(F.lit(1)).alias("occurrences"))
+    rows = _captures(spark, folder).select("company_id", F.explode(text.plan_headings(F.col("html"))).alias("heading"))
+    return rows.groupBy("company_id", "heading").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def canonical_prices(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings, safe to apply to a session somebody else created.
 RUNTIME_SETTINGS = {
@@ -40,21 +39,3 @@ def build_session(app: str = "tarifflens", master: str | None = None, **extra: s
     for name, value in {**RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     return tune(builder.getOrCreate())
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the cluster.
-
-    The folder comes from ``spark.checkpoint.dir``; a private one is made only when
-    nothing is set, which is the case in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="tarifflens-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)

@@ -127,7 +127,8 @@ VIEWS: dict[str, tuple[str, bool, str | None, dict[str, str]]] = {
         "event_type": "case event_type when 'signup' then 'checkout.session.completed' when 'purchase' then 'invoice.paid' when 'error' then 'customer.subscription.deleted' when 'click' then 'customer.subscription.updated' else 'invoice.payment_failed' end",
         "subscription_status": "case event_id % 7 when 0 then 'active' when 1 then 'trialing' when 2 then 'past_due' when 3 then 'canceled' when 4 then 'unpaid' when 5 then 'incomplete' else 'paused' end",
         "price_id": "case event_id % 5 when 0 then 'price_pro' when 1 then null when 2 then 'price_unknown' else 'price_starter' end",
-        "customer_id": "case when event_id % 11 = 10 then null else concat('cus_', cast(user_id as string)) end",
+        # Some events carry no customer id, some the id of another user, some one that nobody has.
+        "customer_id": "case when event_id % 11 = 10 then null when event_id % 13 = 5 then concat('cus_', cast(user_id + 1 as string)) when event_id % 17 = 3 then 'cus_none' else concat('cus_', cast(user_id as string)) end",
     }),
     "requests": ("events", False, None, {
         "request_id": "event_id",

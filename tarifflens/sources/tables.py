@@ -12,13 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows of a scan that has fewer tasks than the cluster has cores.
+    """Deal the rows of a scan into as many tasks as the setting ``spark.tarifflens.inputSplits`` says.
 
-    For heavy per-row work on a small or single-row-group file.  A large table already has
-    many splits and is returned as it is, without a shuffle.
+    Unset, which is right for any table of more than a few files, the scan stays as it is.  The setting is for
+    benchmarks on files of a single row group, which Spark cannot split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    splits = df.sparkSession.conf.get("spark.tarifflens.inputSplits", None)
+    return df.repartition(int(splits)) if splits else df
 
 
 def companies_of(companies: DataFrame, user_id: int | None = None) -> DataFrame:

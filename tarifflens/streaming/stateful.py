@@ -23,14 +23,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class WindowLimit(StatefulProcessor):
-    """Windows that open at a key's first request; state may expire after two windows."""
+    """Windows that open at a key's first request; state may end two windows later in event time."""
 
-    def __init__(self, max_requests: int, window_seconds: int, expire_state: bool) -> None:
-        self.max_requests, self.window = max_requests, window_seconds * 1_000_000
-        self.ttl = 2 * window_seconds * 1000 if expire_state else None
+    def __init__(self, max_requests: int, window_seconds: int, expires: bool) -> None:
+        self.max_requests, self.window, self.expires = max_requests, window_seconds * 1_000_000, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "opened long, used int", ttlDurationMs=self.ttl)
+        self.handle = handle
+        self.state = handle.getValueState("window", "opened long, used int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         batch = pd.concat(list(rows)).sort_values(["at", "request_id"])
@@ -45,8 +45,20 @@ class WindowLimit(StatefulProcessor):
             wait = 0 if allowed else -((at - opened - self.window) // 1_000_000)
             out.append((request, key[0], allowed, self.max_requests - used if allowed else 0, wait, opened))
         self.state.update((opened, int(used)))
-        yield pd.DataFrame(
-            out, columns=["request_id", "key", "allowed", "remaining", "retry_after_seconds", "opened"]
+        if self.expires:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max((opened + 2 * self.window) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._decisions(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.state.clear()
+        yield self._decisions([])
+
+    @staticmethod
+    def _decisions(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(
+            rows, columns=["request_id", "key", "allowed", "remaining", "retry_after_seconds", "opened"]
         )
 
     def close(self) -> None:
@@ -54,18 +66,23 @@ class WindowLimit(StatefulProcessor):
 
 
 def limit_stream(
-    requests: DataFrame, max_requests: int, window_seconds: int, expire_state: bool = True
+    requests: DataFrame, max_requests: int, window_seconds: int, late_by: str | None = None
 ) -> DataFrame:
-    """Decisions for a stream of ``request_id, key, at`` (``at`` in microseconds).
+    """Decisions for a stream of ``request_id, key, at`` (``at`` in microseconds, ``key`` of any type).
 
-    Expiry follows the wall clock and keeps a query scheduling batches, so a query that should
-    drain its input and stop has to switch it off.
+    By default the state of a key stays for good and the answer is that of the batch operator.  With ``late_by``
+    (such as ``"1 hour"``) the stream needs a column ``ts``; a key's state ends when the watermark passes two windows
+    after its last opening, and requests later than ``late_by`` are not decided any more.  The clock on the wall
+    plays no part, so a backlog after a stall is decided like fresh input.
     """
-    return requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=WindowLimit(max_requests, window_seconds, expire_state),
-        outputStructType="request_id long, key long, allowed boolean, remaining long, retry_after_seconds long, opened long",
+    key_type = requests.schema["key"].dataType.simpleString()
+    timed = requests if late_by is None else requests.withWatermark("ts", late_by)
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=WindowLimit(max_requests, window_seconds, late_by is not None),
+        outputStructType=f"request_id long, key {key_type}, allowed boolean, remaining long, "
+        "retry_after_seconds long, opened long",
         outputMode="Append",
-        timeMode="ProcessingTime" if expire_state else "None",
+        timeMode="None" if late_by is None else "EventTime",
     )
 
 
@@ -84,9 +101,11 @@ class DeliveryLog(StatefulProcessor):
         out = []
         for row in batch.itertuples():
             in_time = taken is not None and 0 <= done <= taken + self.lock
+            # What was processed stays so, however late the worker was.
+            finished = result == "processed" and 0 <= done <= row.at
             if taken is None:
                 free = True
-            elif result == "processed" and in_time:
+            elif finished or (result == "processed" and in_time):
                 free = False
             elif result == "failed" and in_time:
                 free = row.at >= done
@@ -97,7 +116,7 @@ class DeliveryLog(StatefulProcessor):
                 taken, result, attempts = int(row.at), row.result, attempts + 1
                 done = -1 if pd.isna(row.done) else int(row.done)
             else:
-                reason = "already_processed" if result == "processed" and in_time and done <= row.at else "in_progress"
+                reason = "already_processed" if finished else "in_progress"
             out.append((row.delivery_id, key[0], "process" if free else "skip", reason, attempts if free else None))
         self.state.update((taken, done, result, attempts))
         frame = pd.DataFrame(out, columns=["delivery_id", "event_id", "action", "reason", "attempt"])
@@ -116,7 +135,3 @@ def delivery_stream(deliveries: DataFrame, lock_seconds: int = P.DELIVERY_LOCK_S
         timeMode="None",
     )
 
-
-def first_deliveries(deliveries: DataFrame, within: str = "1 hour") -> DataFrame:
-    """The plain case: each event once, copies arriving within the time are dropped."""
-    return deliveries.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark(["event_id"])

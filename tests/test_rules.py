@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tarifflens.functions import numbers, prices, text, urls
 from tarifflens.functions.cursor import decode_cursor, encode_cursor
-from tarifflens.operators import crawl, diffing, discovery
+from tarifflens import policies as P
+from tarifflens.operators import audit, billing, crawl, delivery, diffing, discovery, entitlements, intake
 
 MENTIONS = [
     ("$49 per member", [(49.0, "USD", "month")]),
@@ -102,3 +103,89 @@ def test_cursor_forms(spark):
 @pytest.mark.parametrize("given,expected", [(None, 3), (0, 3), (-1, 3), (2.9, 2), (50, 20), (float("inf"), 3)])
 def test_batch_limit(given, expected):
     assert crawl.batch_limit(given) == expected
+
+
+def test_batch_limit_without_a_maximum():
+    assert crawl.batch_limit(500, most=None) == 500
+
+
+PLANS = [(0, "price_starter", "starter"), (1, "price_pro", "pro"), (2, "price_pro", "starter")]
+USERS = "user_id long, customer_id string, has_access boolean, price_id string, trial_status string"
+BILLING = (
+    "event_id long, arrived_at timestamp_ntz, user_id long, event_type string, subscription_status string, "
+    "price_id string, customer_id string"
+)
+CHECKOUT, PAID, DELETED = "checkout.session.completed", "invoice.paid", "customer.subscription.deleted"
+
+
+def after(spark, users, events):
+    given = spark.createDataFrame(events, BILLING.replace("timestamp_ntz", "string"))
+    given = given.withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz"))
+    states = billing.account_states(spark.createDataFrame(users, USERS), given, PLANS).collect()
+    return {r.user_id: (r.has_access, r.price_id, r.customer_id) for r in states}
+
+
+def test_checkout_without_a_customer_id_keeps_access(spark):
+    events = [
+        (1, "2024-01-01 00:00:00", 1, CHECKOUT, None, "price_pro", None),
+        (2, "2024-01-02 00:00:00", 1, DELETED, None, None, "cus_1"),
+    ]
+    assert after(spark, [(1, None, False, None, "none")], events) == {1: (True, "price_pro", None)}
+
+
+def test_events_find_their_user_by_customer_id(spark):
+    users = [(1, "cus_MINE", False, None, "none"), (2, "cus_2", True, "price_pro", "none")]
+    events = [
+        (1, "2024-01-01 00:00:00", 1, PAID, None, "price_pro", "cus_OTHER"),
+        (2, "2024-01-02 00:00:00", 1, DELETED, None, None, "cus_2"),
+        (3, "2024-01-03 00:00:00", 1, CHECKOUT, None, "price_starter", "cus_NEW"),
+        (4, "2024-01-04 00:00:00", 9, DELETED, None, None, "cus_MINE"),
+        (5, "2024-01-05 00:00:00", 9, PAID, None, "price_pro", "cus_NEW"),
+    ]
+    assert after(spark, users, events) == {1: (True, "price_pro", "cus_NEW"), 2: (False, None, "cus_2")}
+
+
+def test_late_success_is_final(spark):
+    rows = [
+        (1, 7, "2024-01-01 00:00:00", "processed", "2024-01-01 00:06:00"),
+        (2, 7, "2024-01-01 00:30:00", "processed", "2024-01-01 00:30:01"),
+        (3, 8, "2024-01-01 00:00:00", "processed", "2024-01-01 00:06:00"),
+        (4, 8, "2024-01-01 00:05:30", "failed", "2024-01-01 00:05:31"),
+    ]
+    given = spark.createDataFrame(rows, "delivery_id long, event_id long, arrived_at string, result string, finished_at string")
+    given = given.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("arrived_at", "finished_at")})
+    found = {r.delivery_id: (r.action, r.reason) for r in delivery.handle_deliveries(given, 300).collect()}
+    assert found == {1: ("process", None), 2: ("skip", "already_processed"), 3: ("process", None), 4: ("process", None)}
+
+
+@pytest.mark.parametrize("limit", [10, 25])
+def test_any_plan_limit_holds(spark, limit):
+    columns = (
+        "request_id long, requested_at timestamp_ntz, user_id long, type string, name string, domain string, "
+        "homepage_url string, primary_pricing_url string"
+    )
+    rows = [(i, None, 1, "competitor", f"c{i}", f"c{i}.example.com", None, None) for i in range(40)]
+    requests = spark.createDataFrame(rows, columns).withColumn(
+        "requested_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, request_id * 7)")
+    )
+    users = spark.createDataFrame([(1, True, limit)], "user_id long, access_granted boolean, competitor_limit int")
+    companies = spark.createDataFrame([], "user_id long, type string, domain string")
+    admitted = intake.admit_companies(requests, users, companies).where("reject_reason is null")
+    assert admitted.count() == limit
+
+
+def test_metadata_has_one_layout():
+    long = "x" * 600
+    assert audit.cleaned('{"a": 1.50,  "b": [1, {"c": 2}]}') == '{"a":1.5,"b":[1,{"c":2}]}'
+    assert audit.cleaned('{"a": 1.50, "b": "%s"}' % long) == '{"a":1.5,"b":"%s..."}' % long[: P.AUDIT_TEXT_LIMIT - 3]
+    assert audit.cleaned("[1]") == audit.cleaned("no json") == audit.cleaned(None) == "{}"
+    wide = audit.cleaned("{" + ",".join(f'"k{i:03d}": {i}' for i in reversed(range(60))) + "}")
+    assert wide.startswith('{"k059":59') and wide.count(":") == P.AUDIT_KEY_LIMIT
+    assert audit.cleaned('{"a": {"b": {"c": {"d": {"e": 1}}}}}') == '{"a":{"b":{"c":{"d":{}}}}}'
+
+
+def test_plan_table_and_list_agree(spark):
+    prices = spark.createDataFrame([("price_pro",), ("price_gone",), (None,)], "price_id string")
+    table = spark.createDataFrame(PLANS, "ordinal int, price_id string, tier string")
+    tiers = [{r.price_id: r.price_tier for r in entitlements.with_price_tier(prices, p).collect()} for p in (PLANS, table)]
+    assert tiers[0] == tiers[1] == {"price_pro": "pro", "price_gone": None, None: None}

@@ -10,11 +10,11 @@ from tarifflens.functions.columns import floor_div
 
 
 def replay(rows):
-    claims, free = [], None
-    for at, tie, until in sorted(rows):
-        if free is None or at >= free:
+    claims, free, until = [], None, None
+    for at, tie, next_free, next_until in sorted(rows):
+        if free is None or free <= at < until:
             claims.append((at, tie))
-            free = until
+            free, until = next_free, next_until
     return claims
 
 
@@ -25,8 +25,9 @@ def test_claims_equal_replay(spark):
         for tie in range(size):
             at = rng.randrange(span)
             free = NEVER if key == "b" and tie == 30 else at + rng.choice([0, 3, 50, 100])
-            data.append((key, at, tie, free))
-    df = spark.createDataFrame(data, "key string, at long, tie long, free long")
+            until = at + rng.choice([60, 300]) if rng.random() < 0.02 else NEVER
+            data.append((key, at, tie, free, until))
+    df = spark.createDataFrame(data, "key string, at long, tie long, free long, until long")
     expected = {(k, *c) for k in "hot b c d".split() for c in replay([r[1:] for r in data if r[0] == k])}
     for fanout, levels in ((2, 2), (64, 1)):
         found = {tuple(r) for r in mark_claims(df, 100, fanout, levels).select("key", "at", "tie").collect()}

@@ -41,12 +41,24 @@ def test_limit_stream(spark, tmp_path):
     requests = view(spark, SMALL, "requests")
     schema = in_files(requests.withColumn("at", micros("ts")), "at", str(tmp_path / "in"), 2)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streamed = drain(stateful.limit_stream(source, 2, 86400, expire_state=False), "limits")
+    streamed = drain(stateful.limit_stream(source, 2, 86400), "limits")
     batch = limit_requests(requests, 2, 86400)
     columns = ["request_id", "allowed", "remaining", "retry_after_seconds"]
     assert rows(streamed, *columns) == rows(batch, *columns)
 
 
+def test_limit_stream_ends_state_by_event_time(spark, tmp_path):
+    """A backlog with text keys: the clock on the wall plays no part, and quiet keys leave the state."""
+    stateful.use_rocksdb(spark)
+    requests = view(spark, SMALL, "requests").withColumn("key", F.concat(F.lit("user "), F.col("key")))
+    requests = requests.withColumn("at", micros("ts")).withColumn("ts", F.timestamp_micros("at"))
+    schema = in_files(requests, "at", str(tmp_path / "in"), 4)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streamed = drain(stateful.limit_stream(source, 2, 3600, late_by="1 hour"), "ended_limits")
+    columns = ["request_id", "key", "allowed", "remaining", "retry_after_seconds"]
+    assert rows(streamed, *columns) == rows(limit_requests(requests, 2, 3600), *columns)
+
+
 def test_delivery_stream(spark, tmp_path):
     stateful.use_rocksdb(spark)
     deliveries = R._deliveries(spark, SMALL)
