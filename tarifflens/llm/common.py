@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``, so that no name of theirs clashes with what an operator adds."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; an id that is null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3

@@ -107,7 +107,7 @@ SKIPPED = ("copyright", "mit-title", "mit-title-2")
 
 # The steps of normalisation: pattern and replacement (the dialects of Spark and DuckDB agree on these).
 STEPS = [
-    (r"([a-z0-9,()]) *\r?\n *([a-z])", "$1 $2"),
+    (r"([a-zA-Z0-9,()]) *\r?\n *([a-z])", "$1 $2"),
     (r"([A-Z,]) *\r?\n *([A-Z][A-Z])", "$1 $2"),
 ]
 CUTS = [

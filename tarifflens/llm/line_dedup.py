@@ -9,10 +9,10 @@ that is in two or more documents stays in the smallest doc_id that holds it and
 3. One aggregation per digest confirms them exactly: at least two different doc_ids; the smallest keeps the line.
 4. What each document loses is joined to its text, which is cut in the same pass.
 
-The filters have ``BITS_PER_LINE`` bits for each line of the input, at most ``MOST_WORDS`` 64-bit words each (128 MB,
-the only thing that is broadcast). Above about 10^9 lines they fill up: the answer stays exact, and more lines are
-suspected and shuffled as 16-byte digests. A line that a third of all documents share is pre-aggregated per task, and
-the join back is one row per digest against all holders, which adaptive execution splits.
+The filters have 16 bits for each line of the input, at most 128 MB each (the only thing that is broadcast). Above
+about 10^9 lines they fill up: the answer stays exact, and more lines are suspected and shuffled as 16-byte digests. A
+line that a third of all documents share is pre-aggregated per task, and the join back is one row per digest against
+all holders, which adaptive execution splits.
 
 Edge cases: a null text is one empty line. Rows without a doc_id count for nothing and lose nothing. Rows that repeat
 a doc_id are one document: a line only they share stays in all of them. A document whose lines all go stays, empty.
@@ -27,16 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifflens.llm.common import BLANKS, prepare, stored, whole
+from tarifflens.llm.bloom import SEGMENT, gathered, hits, packed, places, tasks_of, unpacked, words_for
+from tarifflens.llm.common import BLANKS, boxed, prepare, stored, whole
 
 LEAST = 10
-BITS_PER_LINE = 16
-LEAST_WORDS, MOST_WORDS = 2**13, 2**24
-SEGMENT = 2**13
 
 
 def key_of(line: str, least: int = LEAST) -> bytes | None:
@@ -58,15 +55,6 @@ def hashes_of(keys: set[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit word of each hash and the four bits in it: top bits choose the word, low bits the mask."""
-    index = (hashes >> np.uint64(40)) % np.uint64(words)
-    mask = np.zeros(len(hashes), np.uint64)
-    for shift in (0, 6, 12, 18):
-        mask |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
-    return index.astype(np.int64), mask
-
-
 class SeenFilters:
     """Keys seen once, and keys seen again."""
 
@@ -84,16 +72,6 @@ class SeenFilters:
         np.bitwise_or.at(self.once, index, mask)
 
 
-def packed(words: np.ndarray) -> bytes:
-    return zstandard.compress(words.tobytes(), 1) if words.any() else b""
-
-
-def unpacked(data: bytes | None) -> np.ndarray:
-    if not data:
-        return np.zeros(SEGMENT, np.uint64)
-    return np.frombuffer(zstandard.decompress(data), np.uint64).copy()
-
-
 def twice_filter(docs: DataFrame, words: int, least: int) -> np.ndarray:
     """The filter of keys that at least two documents (or rows) seem to hold; ``words`` long, whatever the input."""
 
@@ -122,31 +100,25 @@ def twice_filter(docs: DataFrame, words: int, least: int) -> np.ndarray:
                 else:
                     segments[segment] = (once, twice)
         for segment, (_, twice) in segments.items():
-            yield pd.DataFrame({"segment": [segment], "twice": [packed(twice)]})
+            yield pd.DataFrame({"segment": [segment], "filter": [packed(twice)]})
 
     parts = docs.select("text").mapInPandas(build, "segment int, once binary, twice binary")
     # A segment has one row per scanning task; they stream through the merge, which holds its own segments only.
-    tasks = max(1, min(words // SEGMENT, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    merged = parts.repartition(tasks, "segment").mapInPandas(merge, "segment int, twice binary")
-    result = np.zeros(words, np.uint64)
-    for row in merged.toLocalIterator():
-        at = row["segment"] * SEGMENT
-        result[at : at + SEGMENT] = unpacked(row["twice"])
-    return result
+    merged = parts.repartition(tasks_of(docs, words), "segment").mapInPandas(merge, "segment int, filter binary")
+    return gathered(merged, words)
 
 
 def suspects(docs: DataFrame, twice: np.ndarray, least: int) -> DataFrame:
     """(digest, doc_id) of the lines that the filter suspects, once per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(twice.tobytes(), 1))
+    shared, words = docs.sparkSession.sparkContext.broadcast(packed(twice)), len(twice)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.frombuffer(zstandard.decompress(shared.value), np.uint64)
+        known = unpacked(shared.value, words)
         for batch in batches:
             digests, ids = [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 keys = list(keys_of(text, least))
-                index, mask = places(hashes_of(keys), len(known))
-                for k in np.flatnonzero((known[index] & mask) == mask):
+                for k in np.flatnonzero(hits(hashes_of(keys), known)):
                     digests.append(digest_of(keys[k]))
                     ids.append(doc_id)
             yield pd.DataFrame({"digest": digests, "doc_id": pd.Series(ids, dtype="int64")})
@@ -159,10 +131,7 @@ def lines_to_drop(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     lines = docs.agg(F.sum(newlines)).first()[0] or 0
-    words = LEAST_WORDS
-    while words < MOST_WORDS and words * 64 < lines * BITS_PER_LINE:
-        words *= 2
-    found = stored(suspects(docs, twice_filter(docs, words, least), least))
+    found = stored(suspects(docs, twice_filter(docs, words_for(lines), least), least))
     firsts = (
         found.groupBy("digest")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -181,8 +150,8 @@ def lines_to_drop(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def drop_lines(docs: DataFrame, least: int = LEAST, count: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
     """The documents without their repeated lines, with the number of lines before and of lines dropped."""
     prepare(docs.sparkSession)
-    drops = lines_to_drop(docs, least).select(F.col("doc_id").alias("__of"), F.col("digests").alias("__digests"))
-    joined = docs.join(drops, docs["doc_id"].cast("long") == F.col("__of"), "left")
+    drops = lines_to_drop(docs, least).withColumnRenamed("doc_id", "of")
+    joined = boxed(docs).join(drops, F.col("row.doc_id").cast("long") == F.col("of"), "left")
 
     @F.pandas_udf("text string, dropped long")
     def cut(texts: pd.Series, digests: pd.Series) -> pd.DataFrame:
@@ -198,14 +167,14 @@ def drop_lines(docs: DataFrame, least: int = LEAST, count: str = "n_lines", drop
             lost.append(len(lines) - len(stay))
         return pd.DataFrame({"text": kept, "dropped": lost})
 
-    text = whole(F.col("text"))
+    text = whole(F.col("row.text"))
     before = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    result = joined.withColumns(
-        {"__cut": cut.asNondeterministic()(text, F.col("__digests")), "__lines": before.cast("long")}
+    result = joined.select(
+        "row", cut.asNondeterministic()(text, F.col("digests")).alias("cut"), before.cast("long").alias("lines")
     )
     others = [c for c in docs.columns if c not in (count, dropped)]
     return result.select(
-        *(F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others),
-        F.col("__lines").alias(count),
-        F.col("__cut.dropped").alias(dropped),
+        *(F.col("cut.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in others),
+        F.col("lines").alias(count),
+        F.col("cut.dropped").alias(dropped),
     )

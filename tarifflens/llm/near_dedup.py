@@ -16,10 +16,12 @@ A class is a connected component of links.
 3. Equal digests are exact copies: one of each class, the smallest doc_id, stands for them from here on.
 4. In every band bucket, each member is verified against the smallest one: as many pairs as members, however large.
 5. Buckets that still hold several components are compared again, member by member against the ones in other
-   components, in blocks of bounded size and on the sample bytes only; pairs that look similar are verified too. So no
-   candidate pair between different components is left out.
+   components, in blocks of bounded size and on the sample bytes only; pairs that look similar are verified too, the
+   most similar ones first. Members that join a component need no further pairs with it; for the others the rounds
+   end with every partner, so no candidate pair between different components is left out.
 
-Verification sends the text of the smaller document once per about ``FANOUT`` partners, and streams them past it.
+Verification sends the text of the smaller document once per about ``FANOUT`` partners, and streams them past it. A
+Bloom filter of the ids keeps all other texts where they are.
 
 Edge cases: null texts are empty, and all texts without words are copies of each other. A text of fewer than five words
 is one shingle. Rows without a doc_id belong to the class of their copies, if any has an id, else to none. Rows that
@@ -39,7 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifflens.llm.common import prepare, stored, whole, written
+from tarifflens.llm.bloom import filter_of, maybe_in
+from tarifflens.llm.common import boxed, prepare, stored, whole, written
 from tarifflens.llm.components import components
 
 SPAN = 5
@@ -56,6 +59,8 @@ FANOUT = 200
 # A pair whose sample bytes agree less than this is no candidate in step 5: four deviations below the threshold.
 LOOKS = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
 ROW_BLOCK, COLUMN_BLOCK = 256, 2048
+# Ranks of the partners that are verified in the rounds of step 5; the last round has all the rest.
+ROUNDS = ((0, 4), (4, 32), (32, 256), (256, None))
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,9 +227,13 @@ def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int
     )
     partners = dealt.select(F.col("a").alias("__id"), "b", "part", F.lit(True).alias("partner"))
     centres = dealt.select(F.col("b").alias("__id"), "b", "part", F.lit(False).alias("partner")).distinct()
-    # A written table, so that Spark knows its size: a small one is broadcast, and texts then don't move for it.
+    # A written table, so that Spark knows its size.
     needed = written(centres.unionByName(partners), "pairs")
-    texts = docs.join(needed, docs["doc_id"] == needed["__id"]).select("b", "part", "partner", "doc_id", "text")
+    # Only texts that may be needed move: a filter of bounded size sorts the others out in the scan.
+    ids = stored(needed.select("__id").distinct())
+    known = filter_of(ids.select(F.xxhash64("__id").alias("h")), ids.count())
+    asked = docs.where(maybe_in(F.col("doc_id"), known, docs))
+    texts = asked.join(needed, asked["doc_id"] == needed["__id"]).select("b", "part", "partner", "doc_id", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = texts.repartition(tasks, "b", "part").sortWithinPartitions("b", "part", "partner", "doc_id")
 
@@ -259,10 +268,11 @@ def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int
     return laid.mapInPandas(compare, "a long, b long, similarity double")
 
 
-def remaining(members: DataFrame) -> DataFrame:
+def remaining(members: DataFrame, start: int, stop: int | None) -> DataFrame:
     """a, b: pairs in one bucket but different components whose samples look similar.
 
-    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief.
+    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief. The partners
+    of a member in a block have a fixed order, the most similar first; those at ``start`` to ``stop`` are returned.
     """
     split = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("label") != F.col("home")).cast("long")).alias("away")
@@ -287,10 +297,13 @@ def remaining(members: DataFrame) -> DataFrame:
         x = np.stack([np.frombuffer(b, np.uint8) for b in left["brief"]])
         y = np.stack([np.frombuffer(b, np.uint8) for b in right["brief"]])
         found = []
+        mine, theirs = left["node"].to_numpy(), right["node"].to_numpy()
+        labels, of = left["label"].to_numpy(), right["label"].to_numpy()
         for i in range(len(x)):
-            near = (y == x[i]).mean(axis=1) >= LOOKS
-            near &= right["label"].to_numpy() != left["label"].to_numpy()[i]
-            found.extend((left["node"].to_numpy()[i], node) for node in right["node"].to_numpy()[near])
+            alike = (y == x[i]).mean(axis=1)
+            order = np.lexsort((theirs, -alike))
+            order = order[(alike[order] >= LOOKS) & (theirs[order] != mine[i])][start:stop]
+            found.extend((mine[i], theirs[k]) for k in order if of[k] != labels[i])
         return pd.DataFrame([(max(p), min(p)) for p in found], columns=["a", "b"], dtype="int64")
 
     blocks = row.unionByName(column).groupBy("key", "r", "c")
@@ -316,17 +329,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     members = stored(banded.join(buckets, "key"))
     star = members.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    star = stored(star.distinct())
-    links = stored(verify(docs, star, frequencies).where(F.col("similarity") >= threshold).select("a", "b"))
+    tried = stored(star.distinct())
+    links = stored(verify(docs, tried, frequencies).where(F.col("similarity") >= threshold).select("a", "b"))
     found = stored(components(links))
-    labelled = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
-    labelled = labelled.join(homes, "first", "left").withColumn("home", F.coalesce("home", "first"))
-    briefs = nodes.select("node", "brief")
-    more = stored(remaining(stored(labelled.join(briefs, "node"))).join(star, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    members = stored(members.join(nodes.select("node", "brief"), "node"))
+    # The likeliest partners first: most members join the rest of their bucket by them, and only members that are
+    # still apart go on to the others, in the end to all of them.
+    for start, stop in ROUNDS:
+        labels = found.select("node", "label")
+        homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
+        labelled = members.join(labels, "node", "left").join(homes, "first", "left")
+        labelled = labelled.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "first")})
+        more = stored(remaining(stored(labelled), start, stop).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = stored(tried.unionByName(more))
         extra = verify(docs, more, frequencies).where(F.col("similarity") >= threshold).select("a", "b")
-        found = stored(components(links.unionByName(extra)))
+        links = stored(links.unionByName(extra))
+        found = stored(components(links))
     names = digests.join(found, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return made.select("doc_id", "digest").join(stored(names), "digest").select("doc_id", "class_id", "digest")
 
@@ -338,9 +358,15 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = stored(classes(docs, threshold))
     gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    rest = docs.join(written(gone, "gone"), docs["doc_id"] == F.col("__id"), "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    repeated = written(repeated.select(F.col("doc_id").alias("__id")), "repeated")
-    once = rest.join(repeated, rest["doc_id"] == F.col("__id"), "left_anti")
-    again = rest.join(repeated, rest["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    touched = gone.withColumn("__gone", F.lit(True)).unionByName(
+        repeated.select(F.col("doc_id").alias("__id"), F.lit(False).alias("__gone"))
+    )
+    touched = stored(touched.groupBy("__id").agg(F.max("__gone").alias("__gone")))
+    # Only documents that may be among those move; the others pass in the scan.
+    known = filter_of(touched.select(F.xxhash64("__id").alias("h")), touched.count())
+    maybe = maybe_in(F.col("doc_id").cast("long"), known, docs)
+    asked = boxed(docs.where(maybe)).join(touched, F.col("row.doc_id") == F.col("__id"), "left")
+    once = asked.where("__gone is null").select("row.*")
+    again = asked.where("not __gone").dropDuplicates(["__id"]).select("row.*")
+    return docs.where(~maybe).unionByName(once).unionByName(again)
