@@ -373,3 +373,14 @@ RECORD_SQL = {
     "catalog_latest": f"{with_views('articles')} SELECT article_id, author FROM v_articles ORDER BY published DESC, article_id LIMIT 6",
     "catalog_by_author": f"{with_views('articles')} SELECT author, article_id FROM v_articles",
 }
+
+# Queries that build on others.
+_AT = f"strftime({NOW_SQL}, '%Y%m%d%H%M%S')"
+RECORD_SQL |= {
+    "crawl_new_snapshots": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS snapshot_id, user_id, company_id, content_hash, evidence AS confidence, {stamp(NOW_SQL)} AS captured_at FROM final WHERE changed",
+    "crawl_new_diffs": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS diff_id, user_id, company_id, company_id || '-old' AS previous_snapshot_id, company_id || '-' || {_AT} AS current_snapshot_id, severity, {stamp(NOW_SQL)} AS detected_at FROM final WHERE diff_created",
+    "crawl_new_insights": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS diff_id, user_id, company_id, 'rules-v1' AS model, severity FROM final WHERE insight_created",
+    "feed_documents": f"WITH page AS ({RECORD_SQL['feed_page']}) SELECT user_id, position, diff_id, company_name AS name, last_crawl_status AS status, insight_id, insight_gate AS severity_gate, verification_state AS verification_cue, detected_at AS detected_cue, has_more, next_cursor FROM page",
+    "comparison_own_prices": f"WITH shown AS ({RECORD_SQL['comparison']}), own AS ({RECORD_SQL['price_list_upsert']}) SELECT user_id, company_id, snapshot_id, currency AS own_currency, billing_period AS own_period, notes AS own_notes, plan_count AS own_plan_count FROM shown LEFT JOIN own USING (user_id)",
+    "digest_marked": f"{_DIGEST} SELECT u.user_id, {stamp(f"CASE WHEN s.user_id IS NOT NULL THEN {NOW_SQL} ELSE u.last_digest_sent_at END")} AS last_digest_sent_at FROM v_users u LEFT JOIN (SELECT user_id FROM stages WHERE stage = 'sent') s USING (user_id)",
+}

@@ -275,6 +275,28 @@ def crawl_audit(spark: SparkSession, folder: str) -> DataFrame:
     return mapped.select("user_id", "actor_type", "action", "resource_type", "resource_id", "status")
 
 
+def crawl_new_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots that the crawl appends."""
+    return crawl.new_snapshots(_crawl(spark, folder)[1]).select(
+        "snapshot_id", "user_id", "company_id", "content_hash", "confidence", _stamp("captured_at").alias("captured_at")
+    )
+
+
+def crawl_new_diffs(spark: SparkSession, folder: str) -> DataFrame:
+    """Diffs that the crawl appends."""
+    return crawl.new_diffs(_crawl(spark, folder)[1]).select(
+        "diff_id", "user_id", "company_id", "previous_snapshot_id", "current_snapshot_id", "severity",
+        _stamp("detected_at").alias("detected_at"),
+    )
+
+
+def crawl_new_insights(spark: SparkSession, folder: str) -> DataFrame:
+    """Insights that the crawl appends."""
+    return crawl.new_insights(_crawl(spark, folder)[1], _now()).select(
+        "diff_id", "user_id", "company_id", "model", F.col("recommendation.severity").alias("severity")
+    )
+
+
 def _commands(spark: SparkSession, folder: str) -> DataFrame:
     return table(tune(spark), folder, "orders").selectExpr(
         "o_orderkey as command_id",
@@ -312,6 +334,16 @@ def feed_page(spark: SparkSession, folder: str) -> DataFrame:
     return _feed_rows(feeds.feed_pages(*_feed_inputs(spark, folder)))
 
 
+def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first page as nested response rows."""
+    return feeds.feed_documents(feeds.feed_pages(*_feed_inputs(spark, folder))).select(
+        "user_id", F.col("position").cast("bigint").alias("position"), "diff_id", "company.name",
+        F.col("company.last_crawl_status").alias("status"), "latest_insight.insight_id", "latest_insight.severity_gate",
+        F.col("trust_cues.verification_state").alias("verification_cue"),
+        _stamp("trust_cues.detected_at").alias("detected_cue"), "has_more", "next_cursor",
+    )
+
+
 def feed_next_page(spark: SparkSession, folder: str) -> DataFrame:
     """Second page of high-severity changes, from the cursor of the first page."""
     first = feeds.feed_pages(*_feed_inputs(spark, folder), limit=5, severity="high")
@@ -380,6 +412,17 @@ def comparison_buckets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def comparison_own_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison with the user's own price list beside it."""
+    compared = comparing.comparison(_view(spark, folder, "companies"), _stored_snapshots(spark, folder))
+    own = F.col("own_price_list")
+    return comparing.with_own_prices(compared, _price_lists(spark, folder)).select(
+        "user_id", "company_id", "snapshot_id", own["currency"].alias("own_currency"),
+        own["billing_period"].alias("own_period"), own["notes"].alias("own_notes"),
+        F.size(own["plans"]).cast("bigint").alias("own_plan_count"),
+    )
+
+
 def public_users(spark: SparkSession, folder: str) -> DataFrame:
     shown = public_json(_view(spark, folder, "users"))
     field = lambda name: F.get_json_object("body", "$." + name).alias(name)
@@ -416,6 +459,12 @@ def digest_text(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(spark, folder)[0]
 
 
+def digest_marked(spark: SparkSession, folder: str) -> DataFrame:
+    """Users after the digest has gone out."""
+    marked = digests.mark_sent(_view(spark, folder, "users"), _digest(spark, folder)[0], _now())
+    return marked.select("user_id", _stamp("last_digest_sent_at").alias("last_digest_sent_at"))
+
+
 def digest_funnel(spark: SparkSession, folder: str) -> DataFrame:
     return digests.digest_funnel(_digest(spark, folder)[1])
 
@@ -486,14 +535,17 @@ def price_list_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def price_list_upsert(spark: SparkSession, folder: str) -> DataFrame:
+def _price_lists(spark: SparkSession, folder: str) -> DataFrame:
     changes = _price_list_changes(spark, folder)
     existing = _view(spark, folder, "users").select(
         "user_id", F.lit("GBP").alias("currency"), F.lit("custom").alias("billing_period"),
         F.array().cast(changes.schema["plans"].dataType).alias("plans"), F.lit("kept").alias("notes"),
     )
-    stored = intake.upsert_price_lists(existing, changes)
-    return stored.select("user_id", "currency", "billing_period", "notes", F.size("plans").cast("bigint").alias("plan_count"))
+    return intake.upsert_price_lists(existing, changes)
+
+
+def price_list_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return _price_lists(spark, folder).select("user_id", "currency", "billing_period", "notes", F.size("plans").cast("bigint").alias("plan_count"))
 
 
 # --- billing, deliveries, limits -----------------------------------------------------------------------------------
@@ -615,6 +667,7 @@ RECORD_QUERIES = {
         snapshot_pairs, hash_gate, latest_snapshot, diff_buckets, diff_updates, diff_severity, hint_changes, stored_payloads,
         entitlement_states, trial_refresh, trial_start, price_insights,
         due_queue, lease_claims, crawl_outcome, crawl_summary, company_update, crawl_audit, crawl_commands,
+        crawl_new_snapshots, crawl_new_diffs, crawl_new_insights, feed_documents, comparison_own_prices, digest_marked,
         feed_page, feed_next_page, feed_strict, feed_cursors, overview, comparison, comparison_buckets, public_users, company_listing,
         digest_rows, digest_text, digest_funnel,
         company_intake, primary_selection, price_list_checks, price_list_upsert,
