@@ -16,6 +16,7 @@ an array of them. An id that the vocabulary lacks is an error.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MASK = 2**64 - 1
-# Remembered pieces per worker.
-MEMORY = 500_000
+# Remembered pieces per worker; a few dozen bytes each.
+MEMORY = 400_000
 
 
 class PerfectHash:
@@ -41,7 +42,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         self.size = len(keys)
-        self.buckets = max(1, self.size // 4)
+        self.buckets = max(1, self.size // 3)
         hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         if len(set(hashes)) < self.size:
             raise ValueError("keys repeat")
@@ -84,6 +85,7 @@ class Vocabulary:
 
     def __init__(self, tokens: dict[bytes, int], pattern: str):
         self.pattern = pattern
+        self.name = hashlib.blake2b(repr((sorted(tokens.items()), pattern)).encode(), digest_size=16).digest()
         self.token_of = {rank: token for token, rank in tokens.items()}
         self.rank_of = dict(tokens)
         self.hash = PerfectHash(list(tokens))
@@ -140,13 +142,24 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """Packed ids of pieces, made on first sight."""
+    """Packed ids of pieces, made on first sight. Remembers between MEMORY and twice as many of the latest ones."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
+
+    def trim(self) -> None:
+        """Once full, begin anew; what is still asked for comes over from before."""
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.older.get(piece)
+        if packed is not None:
+            self[piece] = packed
+            return packed
         data = piece.encode("utf-8", "surrogatepass")
         rank = self.vocabulary.find(data)
         ids = [rank] if rank >= 0 else self.vocabulary.merge(data)
@@ -154,18 +167,28 @@ class Pieces(dict):
         return packed
 
 
+# Pieces that a worker process keeps from task to task, by vocabulary; one vocabulary at a time.
+KEPT: dict[bytes, Pieces] = {}
+
+
+def pieces_of(vocabulary: Vocabulary) -> Pieces:
+    if vocabulary.name not in KEPT:
+        KEPT.clear()
+        KEPT[vocabulary.name] = Pieces(vocabulary)
+    return KEPT[vocabulary.name]
+
+
 def encode(text: Column, vocabulary: Vocabulary) -> Column:
     """Ids of the text, packed."""
 
     @F.pandas_udf(T.BinaryType())
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, split = Pieces(vocabulary), regex.compile(vocabulary.pattern).findall
+        pieces, split = pieces_of(vocabulary), regex.compile(vocabulary.pattern).findall
         for texts in batches:
             result = []
             for text in texts:
                 result.append(b"".join([pieces[p] for p in split(text)]) if text else b"")
-                if len(pieces) > MEMORY:
-                    pieces.clear()
+                pieces.trim()
             yield pd.Series(result, index=texts.index, dtype=object)
 
     return encoded.asNondeterministic()(text)  # costly: never evaluated twice for one row
