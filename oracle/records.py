@@ -374,9 +374,24 @@ RECORD_SQL = {
     "catalog_by_author": f"{with_views('articles')} SELECT author, article_id FROM v_articles",
 }
 
+_BUDGETS = ", ".join(f"({i}, {q(name)}, {most}, {window})" for i, (name, (most, window)) in enumerate(P.REQUEST_BUDGETS.items()))
+_BUDGET_WALK = f"""WITH RECURSIVE budgets(i, name, most, win) AS (VALUES {_BUDGETS}),
+r AS MATERIALIZED (SELECT event_id AS request_id, name || ':' || (user_id % 5) AS key, most, win, date_trunc('day', ts) + to_seconds(event_id % 90) AS ts,
+   row_number() OVER (PARTITION BY name, user_id % 5 ORDER BY date_trunc('day', ts) + to_seconds(event_id % 90), event_id) AS n
+  FROM events JOIN budgets ON i = event_id % {len(P.REQUEST_BUDGETS)}),
+walk AS (
+  SELECT key, n, request_id, ts, ts AS opened, CAST(1 AS BIGINT) AS used, TRUE AS allowed, most, win FROM r WHERE n = 1
+  UNION ALL
+  SELECT key, n, request_id, ts, CASE WHEN fresh THEN ts ELSE opened END, CASE WHEN fresh THEN 1 WHEN used < most THEN used + 1 ELSE used END, fresh OR used < most, most, win
+  FROM (SELECT r.*, w.opened, w.used, r.ts >= w.opened + to_seconds(r.win) AS fresh FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1))
+SELECT request_id, key, allowed, CAST(CASE WHEN allowed THEN most - used ELSE 0 END AS BIGINT) AS remaining,
+  CASE WHEN allowed THEN 0 ELSE CAST(ceil((epoch_us(opened) + win * 1000000 - epoch_us(ts)) / 1000000) AS BIGINT) END AS retry_after_seconds,
+  {stamp('opened')} AS window_started_at, {stamp("opened + to_seconds(win)")} AS reset_at FROM walk"""
+
 # Queries that build on others.
 _AT = f"strftime({NOW_SQL}, '%Y%m%d%H%M%S')"
 RECORD_SQL |= {
+    "request_budgets": _BUDGET_WALK,
     "crawl_new_snapshots": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS snapshot_id, user_id, company_id, content_hash, evidence AS confidence, {stamp(NOW_SQL)} AS captured_at FROM final WHERE changed",
     "crawl_new_diffs": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS diff_id, user_id, company_id, company_id || '-old' AS previous_snapshot_id, company_id || '-' || {_AT} AS current_snapshot_id, severity, {stamp(NOW_SQL)} AS detected_at FROM final WHERE diff_created",
     "crawl_new_insights": f"{_CRAWL} SELECT company_id || '-' || {_AT} AS diff_id, user_id, company_id, 'rules-v1' AS model, severity FROM final WHERE insight_created",

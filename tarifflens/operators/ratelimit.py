@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifflens.functions.columns import floor_div, seconds_after
+from tarifflens.functions.columns import floor_div, lookup, seconds_after
 from tarifflens.operators.claims import mark_claims
 from tarifflens.operators.history import carry_forward, newest
 
@@ -15,12 +15,14 @@ def micros(ts: str) -> Column:
 
 
 def limit_requests(
-    requests: DataFrame, max_requests: int, window_seconds: int, fanout: int = 64, levels: int = 2
+    requests: DataFrame, max_requests: int, window_seconds: int, fanout: int = 8, levels: int = 2
 ) -> DataFrame:
     """Decision per request: allowed, remaining, seconds to wait, end of the window.
 
     Input ``request_id, key, ts``.  A window opens at a key's first request and at the first
-    request at least one window later; denied requests do not count.
+    request at least one window later; denied requests do not count.  Openings are found in blocks of
+    ``fanout`` windows of a key, and requests get theirs in slices of one window, so no task needs more of a hot
+    key than that.
     """
     reach = window_seconds * 1_000_000
     timed = requests.select("request_id", "key", "ts", micros("ts").alias("at"))
@@ -43,7 +45,7 @@ def limit_requests(
         ["key"],
         ["at", "row_kind", "request_id"],
         "opened",
-        floor_div(F.col("at"), reach * fanout),
+        floor_div(F.col("at"), reach),
         into="window_opened",
     ).where(F.col("row_kind") == 1)
     counted = newest(
@@ -67,3 +69,37 @@ def limit_requests(
         opened.alias("window_started_at"),
         seconds_after(opened, window_seconds).alias("reset_at"),
     )
+
+
+def limit_by_budget(requests: DataFrame, budgets: dict[str, tuple[int, int]]) -> DataFrame:
+    """Decisions for requests of several budgets (name: maximum, window seconds).
+
+    Input ``request_id, budget, actor, ts``; each actor has every budget to itself, under the text key
+    ``budget:actor``.  Budgets of the same window are decided together, with the largest maximum first and then
+    their own.  Requests of unknown budgets drop out.
+    """
+    result = None
+    for window in sorted({window for _, window in budgets.values()}):
+        most = {name: count for name, (count, seconds) in budgets.items() if seconds == window}
+        largest = max(most.values())
+        keyed = requests.where(F.col("budget").isin(*most)).select(
+            "request_id", F.concat_ws(":", "budget", F.col("actor").cast("string")).alias("key"), "ts"
+        )
+        decided = limit_requests(keyed, largest, window)
+        own = lookup(most, F.substring_index("key", ":", 1))
+        place = largest - F.col("remaining")
+        allowed = F.col("allowed") & (place <= own)
+        left = micros("window_started_at") + window * 1_000_000 - micros("ts")
+        wait = F.greatest(F.ceil(left / 1_000_000), F.lit(0)).cast("long")
+        part = decided.select(
+            "request_id",
+            "key",
+            "ts",
+            allowed.alias("allowed"),
+            F.when(allowed, own - place).otherwise(F.lit(0)).cast("long").alias("remaining"),
+            F.when(allowed, F.lit(0)).otherwise(wait).cast("long").alias("retry_after_seconds"),
+            "window_started_at",
+            "reset_at",
+        )
+        result = part if result is None else result.unionByName(part)
+    return result

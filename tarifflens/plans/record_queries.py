@@ -617,6 +617,21 @@ def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def request_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of a few busy actors against the budgets of the web interface."""
+    names = F.array(*[F.lit(name) for name in P.REQUEST_BUDGETS])
+    requests = table(tune(spark), folder, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.get(names, (F.col("event_id") % len(P.REQUEST_BUDGETS)).cast("int")).alias("budget"),
+        (F.col("user_id") % 5).alias("actor"),
+        seconds_after(F.date_trunc("day", "ts").cast("timestamp_ntz"), F.col("event_id") % 90).alias("ts"),
+    )
+    return ratelimit.limit_by_budget(requests, P.REQUEST_BUDGETS).select(
+        "request_id", "key", "allowed", "remaining", "retry_after_seconds",
+        _stamp("window_started_at").alias("window_started_at"), _stamp("reset_at").alias("reset_at"),
+    )
+
+
 # --- audit and catalog ---------------------------------------------------------------------------------------------
 
 
@@ -671,7 +686,7 @@ RECORD_QUERIES = {
         feed_page, feed_next_page, feed_strict, feed_cursors, overview, comparison, comparison_buckets, public_users, company_listing,
         digest_rows, digest_text, digest_funnel,
         company_intake, primary_selection, price_list_checks, price_list_upsert,
-        billing_state, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit,
+        billing_state, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit, request_budgets,
         audit_log, audit_clean, catalog_related, catalog_categories, catalog_latest, catalog_by_author,
     )
 }

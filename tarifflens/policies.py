@@ -37,8 +37,6 @@ AUDIT_DEPTH_LIMIT = 3
 PLAN_HEADING_MAX_CHARS = 80
 MIN_ABSOLUTE_CHANGE = 0.5
 MIN_PERCENT_CHANGE = 1.0
-# Characters of HTML kept when a caller asks for the classic cap (off by default).
-CLASSIC_HTML_CAP = 1_000_000
 
 # --- fixed values: enum domains ------------------------------------------------------
 PERIODS = ("day", "week", "month", "year", "one_time", "unknown")

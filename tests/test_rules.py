@@ -189,3 +189,21 @@ def test_plan_table_and_list_agree(spark):
     table = spark.createDataFrame(PLANS, "ordinal int, price_id string, tier string")
     tiers = [{r.price_id: r.price_tier for r in entitlements.with_price_tier(prices, p).collect()} for p in (PLANS, table)]
     assert tiers[0] == tiers[1] == {"price_pro": "pro", "price_gone": None, None: None}
+
+
+def test_fixed_values():
+    """The twins import the policy tables too, so a wrong value would pass there on both sides."""
+    assert P.PLAN_TIERS["starter"]["competitor_limit"] < P.PLAN_TIERS["pro"]["competitor_limit"]
+    assert P.SEVERITY_GATES == {"high_only": ("high",), "high_and_medium": ("high", "medium")}
+    assert (P.OK_DELAY_SECONDS, P.ERROR_DELAY_SECONDS) == (86_400, 21_600)
+    assert (P.BLOCKED_DELAY_SECONDS, P.MANUAL_DELAY_SECONDS) == (129_600, 172_800)
+    assert (P.CRAWL_LEASE_SECONDS, P.DELIVERY_LOCK_SECONDS) == (360, 300)
+    assert (P.MAX_CRAWL_LIMIT, P.FEED_MAX_LIMIT, P.FEED_DEFAULT_LIMIT, P.TRIAL_DAYS) == (20, 100, 20, 7)
+    assert (P.DISCOVERY_MIN_CONFIDENCE, P.DISCOVERY_MAX_CANDIDATES) == (0.35, 8)
+    assert (P.PRIMARY_MIN_CONFIDENCE, P.PRIMARY_MIN_GAP) == (0.86, 0.08)
+    assert (P.MIN_ABSOLUTE_CHANGE, P.MIN_PERCENT_CHANGE) == (0.5, 1.0)
+    assert (P.AUDIT_TEXT_LIMIT, P.AUDIT_KEY_LIMIT, P.AUDIT_DEPTH_LIMIT) == (500, 40, 3)
+    assert P.BLOCKED_HTTP_STATUSES == (401, 403, 429)
+    assert P.REQUEST_BUDGETS["trial-start"] == (3, 60) and P.REQUEST_BUDGETS["company-create"] == (10, 60)
+    assert [w for _, w in P.PATH_PLUS] == [0.85, 0.78, 0.52, 0.35]
+    assert [w for _, w in P.TEXT_PLUS] == [0.42, 0.38, 0.26, 0.22, 0.20, 0.14]
