@@ -53,7 +53,7 @@ def unpacked(data: bytes | None, words: int = SEGMENT) -> np.ndarray:
 def gathered(parts: DataFrame, words: int) -> np.ndarray:
     """The filter from its merged segments (segment, filter). Its length bounds what reaches the driver."""
     result = np.zeros(words, np.uint64)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         at = row["segment"] * SEGMENT
         result[at : at + SEGMENT] = unpacked(row["filter"])
     return result

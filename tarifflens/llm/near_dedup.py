@@ -5,7 +5,8 @@ between 1 and 2, so that passages which many documents share count for less. Imp
 draws ``BANDS * DEPTH`` samples of each bag, such that two bags agree in a sample with the probability of their weighted
 Jaccard similarity (the sum of the smaller weights over the sum of the larger ones). Texts that agree in all samples of
 a band are candidates; the similarity of candidates is then computed exactly, and pairs of ``threshold`` or more link.
-A class is a connected component of links.
+In a large group of copies all common shingles are frequent and count for less than the edits, so a pair also links if
+the plain Jaccard similarity of its shingle sets reaches the threshold. A class is a connected component of links.
 
 1. Document frequencies: one scan fills a count sketch of fixed size (two rows of ``COUNTERS`` counters, 16 MB), merged
    by segments. The expected load of a counter is taken off, so that rare shingles stay rare in a large corpus. This
@@ -131,7 +132,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = parts.repartition(tasks, "segment").mapInPandas(add, "segment int, part binary")
     table, rows = np.zeros(2 * COUNTERS, np.int64), 0
-    for row in merged.toLocalIterator():
+    for row in merged.collect():
         part = np.frombuffer(zstandard.decompress(row["part"]), np.int64)
         if row["segment"] < 0:
             rows = int(part[0])
@@ -217,7 +218,7 @@ def sketches(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
-    """a, b, similarity: the exact weighted Jaccard similarity of pairs (a, b) of doc_ids."""
+    """a, b, weighted (exact weighted Jaccard similarity) and similarity (the larger of it and that of plain sets)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
     pairs = stored(pairs)
@@ -262,23 +263,32 @@ def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int
                 for centre, weight in centres:
                     common, mine, theirs = np.intersect1d(s, centre, assume_unique=True, return_indices=True)
                     smaller = np.minimum(w[mine], weight[theirs]).sum()
-                    out.append((doc_id, b, float(smaller / (w.sum() + weight.sum() - smaller))))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+                    weighted = float(smaller / (w.sum() + weight.sum() - smaller))
+                    plain = len(common) / (len(s) + len(centre) - len(common))
+                    out.append((doc_id, b, max(weighted, plain), weighted))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity", "weighted"])
 
-    return laid.mapInPandas(compare, "a long, b long, similarity double")
+    return laid.mapInPandas(compare, "a long, b long, similarity double, weighted double")
 
 
-def remaining(members: DataFrame, start: int, stop: int | None) -> DataFrame:
-    """a, b: pairs in one bucket but different components whose samples look similar.
+def unsettled(members: DataFrame) -> DataFrame:
+    """key, n, away: buckets of several components, with the members outside that of the smallest one.
 
-    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief. The partners
-    of a member in a block have a fixed order, the most similar first; those at ``start`` to ``stop`` are returned.
+    A bucket of two has had its only pair verified.
     """
     split = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("label") != F.col("home")).cast("long")).alias("away")
     )
-    # A bucket of two has had its only pair verified.
-    split = stored(split.where("n > 2 and away > 0"))
+    return split.where("n > 2 and away > 0")
+
+
+def remaining(members: DataFrame, split: DataFrame, start: int, stop: int | None) -> DataFrame:
+    """a, b: pairs in one bucket but different components whose samples look similar.
+
+    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief, ``split`` the
+    unsettled buckets. The partners of a member in a block have a fixed order, the most similar first; those at
+    ``start`` to ``stop`` are returned.
+    """
     rows, columns = F.ceil(F.col("away") / ROW_BLOCK).cast("int"), F.ceil(F.col("n") / COLUMN_BLOCK).cast("int")
     cut = members.join(split, "key").where(F.col("node") != F.col("first")).withColumns({"rows": rows, "columns": columns})
     place = F.xxhash64("node")
@@ -340,7 +350,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
         labelled = members.join(labels, "node", "left").join(homes, "first", "left")
         labelled = labelled.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "first")})
-        more = stored(remaining(stored(labelled), start, stop).join(tried, ["a", "b"], "left_anti"))
+        labelled = stored(labelled)
+        split = stored(unsettled(labelled))
+        if split.isEmpty():
+            break
+        more = stored(remaining(labelled, split, start, stop).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         tried = stored(tried.unionByName(more))

@@ -94,7 +94,7 @@ def test_near_dedup_against_all_pairs(spark):
             every = bags[i].keys() | bags[j].keys()
             low = sum(min(bags[i].get(s, 0), bags[j].get(s, 0)) for s in every)
             high = sum(max(bags[i].get(s, 0), bags[j].get(s, 0)) for s in every)
-            if low >= 0.8 * high:
+            if low >= 0.8 * high or len(bags[i].keys() & bags[j].keys()) >= 0.8 * len(every):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
@@ -120,8 +120,10 @@ def test_buckets_are_compared_to_the_end(spark):
     one, other = (rng.integers(0, 256, near_dedup.SAMPLES, dtype=np.uint8).tobytes() for _ in range(2))
     rows = [(7, 1, 1, 1, 1, one), (7, 2, 2, 1, 1, other), (7, 3, 3, 1, 1, other), (8, 4, 4, 4, 4, one), (8, 5, 5, 4, 4, one)]
     members = spark.createDataFrame(rows, "key long, node long, label long, first long, home long, brief binary")
-    assert [tuple(r) for r in near_dedup.remaining(members, 0, 4).collect()] == [(3, 2)]
-    assert near_dedup.remaining(members, 4, None).collect() == []
+    split = near_dedup.unsettled(members)
+    assert [tuple(r) for r in split.collect()] == [(7, 3, 2)]
+    assert [tuple(r) for r in near_dedup.remaining(members, split, 0, 4).collect()] == [(3, 2)]
+    assert near_dedup.remaining(members, split, 4, None).collect() == []
 
 
 def test_components_against_union_find(spark):
