@@ -16,10 +16,10 @@ the plain Jaccard similarity of its shingle sets reaches the threshold. A class
    in a table of ``POOL`` draws by its hash, weights included, so a sample costs a multiplication and a look-up.
 3. Equal digests are exact copies: one of each class, the smallest doc_id, stands for them from here on.
 4. In every band bucket, each member is verified against the smallest one: as many pairs as members, however large.
-5. Buckets that still hold several components are compared again, member by member against the ones in other
-   components, in blocks of bounded size and on the sample bytes only; pairs that look similar are verified too, the
-   most similar ones first. Members that join a component need no further pairs with it; for the others the rounds
-   end with every partner, so no candidate pair between different components is left out.
+5. Buckets that still hold several components go on in groups, one for each component of a smallest member: all
+   members of other components are compared with all members of the group, first on the sample bytes, then, if these
+   look similar, exactly. This happens inside tiles of bounded size that hold each text once, and only links come
+   out, so no candidate pair between different components is left out and no list of pairs is made.
 
 Verification sends the text of the smaller document once per about ``FANOUT`` partners, and streams them past it. A
 Bloom filter of the ids keeps all other texts where they are.
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens.llm.bloom import filter_of, maybe_in
-from tarifflens.llm.common import boxed, prepare, stored, whole, written
+from tarifflens.llm.common import boxed, prepare, stored, whole
 from tarifflens.llm.components import components
 
 SPAN = 5
@@ -60,8 +60,6 @@ FANOUT = 200
 # A pair whose sample bytes agree less than this is no candidate in step 5: four deviations below the threshold.
 LOOKS = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
 ROW_BLOCK, COLUMN_BLOCK = 256, 2048
-# Ranks of the partners that are verified in the rounds of step 5; the last round has all the rest.
-ROUNDS = ((0, 4), (4, 32), (32, 256), (256, None))
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,8 +215,37 @@ def sketches(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
     return docs.mapInPandas(make, "doc_id long, digest binary, bands array<long>, brief binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
-    """a, b, weighted (exact weighted Jaccard similarity) and similarity (the larger of it and that of plain sets)."""
+def bagger(packed: bytes, documents: int):
+    """A function from a text to its shingles and their weights."""
+    weights = Weights(np.frombuffer(zstandard.decompress(packed), np.int64).reshape(2, COUNTERS), documents)
+    shingles = Shingles()
+
+    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+        s, counts = shingles.of(shingles.words(text))
+        return s, np.exp2(weights.levels(s, counts) / 8)
+
+    return bag
+
+
+def similarities(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted Jaccard similarity of two bags, and the plain one of their sets."""
+    (s, w), (t, v) = one, other
+    common, mine, theirs = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+    smaller = np.minimum(w[mine], v[theirs]).sum()
+    return float(smaller / (w.sum() + v.sum() - smaller)), len(common) / (len(s) + len(t) - len(common))
+
+
+def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that may have one of the ids (one column); a filter of bounded size sorts the others out."""
+    ids = stored(ids.distinct())
+    known = filter_of(ids.select(F.xxhash64(ids.columns[0]).alias("h")), ids.count())
+    return docs.where(maybe_in(F.col("doc_id"), known, docs))
+
+
+def verify(
+    docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int], threshold: float = THRESHOLD
+) -> DataFrame:
+    """a, b, weighted, plain: the pairs (a, b) of doc_ids of which either similarity reaches the threshold."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
     pairs = stored(pairs)
@@ -228,47 +255,33 @@ def verify(docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int
     )
     partners = dealt.select(F.col("a").alias("__id"), "b", "part", F.lit(True).alias("partner"))
     centres = dealt.select(F.col("b").alias("__id"), "b", "part", F.lit(False).alias("partner")).distinct()
-    # A written table, so that Spark knows its size.
-    needed = written(centres.unionByName(partners), "pairs")
-    # Only texts that may be needed move: a filter of bounded size sorts the others out in the scan.
-    ids = stored(needed.select("__id").distinct())
-    known = filter_of(ids.select(F.xxhash64("__id").alias("h")), ids.count())
-    asked = docs.where(maybe_in(F.col("doc_id"), known, docs))
+    needed = stored(centres.unionByName(partners))
+    asked = needed_texts(docs, needed.select("__id"))
     texts = asked.join(needed, asked["doc_id"] == needed["__id"]).select("b", "part", "partner", "doc_id", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = texts.repartition(tasks, "b", "part").sortWithinPartitions("b", "part", "partner", "doc_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed, documents = shared.value
-        weights = Weights(np.frombuffer(zstandard.decompress(packed), np.int64).reshape(2, COUNTERS), documents)
-        shingles = Shingles()
-
-        def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-            s, counts = shingles.of(shingles.words(text))
-            return s, np.exp2(weights.levels(s, counts) / 8)
-
+        bag = bagger(*shared.value)
         # The centre stays; if rows repeat its doc_id, all its texts do.
-        of, centres = None, []
+        of, centres = None, {}
         for batch in batches:
             out = []
             for b, part, partner, doc_id, text in zip(*(batch[c] for c in ("b", "part", "partner", "doc_id", "text"))):
                 if (b, part) != of:
-                    of, centres, texts_seen = (b, part), [], set()
+                    of, centres = (b, part), {}
                 if not partner:
-                    if text not in texts_seen:
-                        texts_seen.add(text)
-                        centres.append(bag(text))
+                    if text not in centres:
+                        centres[text] = bag(text)
                     continue
-                s, w = bag(text)
-                for centre, weight in centres:
-                    common, mine, theirs = np.intersect1d(s, centre, assume_unique=True, return_indices=True)
-                    smaller = np.minimum(w[mine], weight[theirs]).sum()
-                    weighted = float(smaller / (w.sum() + weight.sum() - smaller))
-                    plain = len(common) / (len(s) + len(centre) - len(common))
-                    out.append((doc_id, b, max(weighted, plain), weighted))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity", "weighted"])
+                mine = bag(text)
+                for centre in centres.values():
+                    both = similarities(mine, centre)
+                    if max(both) >= threshold:
+                        out.append((doc_id, b, *both))
+            yield pd.DataFrame(out, columns=["a", "b", "weighted", "plain"])
 
-    return laid.mapInPandas(compare, "a long, b long, similarity double, weighted double")
+    return laid.mapInPandas(compare, "a long, b long, weighted double, plain double")
 
 
 def unsettled(members: DataFrame) -> DataFrame:
@@ -282,42 +295,85 @@ def unsettled(members: DataFrame) -> DataFrame:
     return split.where("n > 2 and away > 0")
 
 
-def remaining(members: DataFrame, split: DataFrame, start: int, stop: int | None) -> DataFrame:
-    """a, b: pairs in one bucket but different components whose samples look similar.
+def tiles(members: DataFrame) -> DataFrame:
+    """node, label, brief, group, r, c, away: what step 5 compares, laid out in tiles of bounded size.
 
-    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief, ``split`` the
-    unsettled buckets. The partners of a member in a block have a fixed order, the most similar first; those at
-    ``start`` to ``stop`` are returned.
+    ``members`` has key, node, label, first (smallest node of the bucket), home (its label) and brief. A group is all
+    members of the unsettled buckets of one home. Those of other components (``away``) are dealt to rows and go to
+    every column, all members are dealt to columns and go to every row.
     """
-    rows, columns = F.ceil(F.col("away") / ROW_BLOCK).cast("int"), F.ceil(F.col("n") / COLUMN_BLOCK).cast("int")
-    cut = members.join(split, "key").where(F.col("node") != F.col("first")).withColumns({"rows": rows, "columns": columns})
-    place = F.xxhash64("node")
-    every = F.explode(F.sequence(F.lit(0), F.col("rows") - 1))
-    across = F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
-    named = ["key", "node", "label", "brief"]
-    column = cut.select(*named, F.lit(False).alias("away"), every.alias("r"), F.pmod(place, "columns").cast("int").alias("c"))
-    row = cut.where(F.col("label") != F.col("home")).select(
-        *named, F.lit(True).alias("away"), F.pmod(place, "rows").cast("int").alias("r"), across.alias("c")
+    inside = members.join(stored(unsettled(members)).select("key"), "key")
+    group = stored(
+        inside.groupBy(F.col("home").alias("group"), "node").agg(
+            F.first("label").alias("label"), F.first("brief").alias("brief")
+        )
     )
+    away = F.col("label") != F.col("group")
+    sizes = group.groupBy("group").agg(
+        F.ceil(F.count(F.lit(1)) / COLUMN_BLOCK).cast("int").alias("columns"),
+        F.ceil(F.sum(away.cast("long")) / ROW_BLOCK).cast("int").alias("rows"),
+    )
+    cut, place = group.join(stored(sizes), "group"), F.xxhash64("node")
+    named = ["node", "label", "brief", "group"]
+    row = cut.where(away).select(
+        *named,
+        F.pmod(place, "rows").cast("int").alias("r"),
+        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"),
+        F.lit(True).alias("away"),
+    )
+    column = cut.select(
+        *named,
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"),
+        F.pmod(place, "columns").cast("int").alias("c"),
+        F.lit(False).alias("away"),
+    )
+    return row.unionByName(column)
+
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["away"]], block[~block["away"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x = np.stack([np.frombuffer(b, np.uint8) for b in left["brief"]])
-        y = np.stack([np.frombuffer(b, np.uint8) for b in right["brief"]])
-        found = []
-        mine, theirs = left["node"].to_numpy(), right["node"].to_numpy()
-        labels, of = left["label"].to_numpy(), right["label"].to_numpy()
-        for i in range(len(x)):
-            alike = (y == x[i]).mean(axis=1)
-            order = np.lexsort((theirs, -alike))
-            order = order[(alike[order] >= LOOKS) & (theirs[order] != mine[i])][start:stop]
-            found.extend((mine[i], theirs[k]) for k in order if of[k] != labels[i])
-        return pd.DataFrame([(max(p), min(p)) for p in found], columns=["a", "b"], dtype="int64")
-
-    blocks = row.unionByName(column).groupBy("key", "r", "c")
-    return blocks.applyInPandas(compare, "a long, b long").distinct()
+def settle(
+    docs: DataFrame, laid: DataFrame, frequencies: tuple[np.ndarray, int], threshold: float = THRESHOLD
+) -> DataFrame:
+    """a, b: links between different components within the tiles.
+
+    Only members whose samples look similar are compared exactly. A member that has found a link to a component in
+    its tile looks for no other to that one, since one link joins the two.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
+    laid = stored(laid)
+    texts = needed_texts(docs, laid.select("node")).select("doc_id", "text")
+    rows = laid.join(texts, laid["node"] == texts["doc_id"]).drop("doc_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, "group", "r", "c").sortWithinPartitions("group", "r", "c", F.desc("away"), "node")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bag = bagger(*shared.value)
+        tile, held, samples, linked = None, [], [], set()
+        names = ("group", "r", "c", "away", "node", "label", "brief", "text")
+        for batch in batches:
+            found = []
+            for group, r, c, away, node, label, brief, text in zip(*(batch[x] for x in names)):
+                if (group, r, c) != tile:
+                    tile, held, samples, linked = (group, r, c), [], [], set()
+                own = np.frombuffer(brief, np.uint8)
+                if away:
+                    held.append((node, label, bag(text)))
+                    samples.append(own)
+                    continue
+                if isinstance(samples, list):
+                    samples = np.stack(samples) if samples else np.zeros((0, SAMPLES), np.uint8)
+                mine = None
+                for k in np.flatnonzero((samples == own).mean(axis=1) >= LOOKS):
+                    other, other_label, other_bag = held[k]
+                    if other == node or other_label == label or (other, label) in linked:
+                        continue
+                    mine = mine or bag(text)
+                    if max(similarities(mine, other_bag)) >= threshold:
+                        linked.add((other, label))
+                        found.append((max(node, other), min(node, other)))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return ordered.mapInPandas(compare, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -339,28 +395,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     members = stored(banded.join(buckets, "key"))
     star = members.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    tried = stored(star.distinct())
-    links = stored(verify(docs, tried, frequencies).where(F.col("similarity") >= threshold).select("a", "b"))
+    links = stored(verify(docs, star.distinct(), frequencies, threshold).select("a", "b"))
     found = stored(components(links))
     members = stored(members.join(nodes.select("node", "brief"), "node"))
-    # The likeliest partners first: most members join the rest of their bucket by them, and only members that are
-    # still apart go on to the others, in the end to all of them.
-    for start, stop in ROUNDS:
-        labels = found.select("node", "label")
-        homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
-        labelled = members.join(labels, "node", "left").join(homes, "first", "left")
-        labelled = labelled.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "first")})
-        labelled = stored(labelled)
-        split = stored(unsettled(labelled))
-        if split.isEmpty():
-            break
-        more = stored(remaining(labelled, split, start, stop).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = stored(tried.unionByName(more))
-        extra = verify(docs, more, frequencies).where(F.col("similarity") >= threshold).select("a", "b")
-        links = stored(links.unionByName(extra))
-        found = stored(components(links))
+    labels = found.select("node", "label")
+    homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
+    labelled = members.join(labels, "node", "left").join(homes, "first", "left")
+    labelled = labelled.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "first")})
+    more = stored(settle(docs, tiles(stored(labelled)), frequencies, threshold))
+    if not more.isEmpty():
+        found = stored(components(links.unionByName(more)))
     names = digests.join(found, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return made.select("doc_id", "digest").join(stored(names), "digest").select("doc_id", "class_id", "digest")
 

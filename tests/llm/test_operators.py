@@ -120,10 +120,14 @@ def test_buckets_are_compared_to_the_end(spark):
     one, other = (rng.integers(0, 256, near_dedup.SAMPLES, dtype=np.uint8).tobytes() for _ in range(2))
     rows = [(7, 1, 1, 1, 1, one), (7, 2, 2, 1, 1, other), (7, 3, 3, 1, 1, other), (8, 4, 4, 4, 4, one), (8, 5, 5, 4, 4, one)]
     members = spark.createDataFrame(rows, "key long, node long, label long, first long, home long, brief binary")
-    split = near_dedup.unsettled(members)
-    assert [tuple(r) for r in split.collect()] == [(7, 3, 2)]
-    assert [tuple(r) for r in near_dedup.remaining(members, split, 0, 4).collect()] == [(3, 2)]
-    assert near_dedup.remaining(members, split, 4, None).collect() == []
+    text = " ".join(f"w{i}" for i in range(50))
+    texts = [(1, "unlike"), (2, text), (3, text + " more"), (4, text), (5, text)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [tuple(r) for r in near_dedup.unsettled(members).collect()] == [(7, 3, 2)]
+    laid = near_dedup.tiles(members)
+    assert laid.count() == 5  # two away, three members; the bucket of two is settled
+    found = near_dedup.settle(docs, laid, near_dedup.document_frequencies(docs))
+    assert [tuple(r) for r in found.collect()] == [(3, 2)]
 
 
 def test_components_against_union_find(spark):
