@@ -10,7 +10,7 @@ the plain Jaccard similarity of its shingle sets reaches the threshold. A class
 
 1. Document frequencies: one scan fills a count sketch of fixed size (two rows of ``COUNTERS`` counters, 16 MB), merged
    by segments. The expected load of a counter is taken off, so that rare shingles stay rare in a large corpus. This
-   table is the only thing that is broadcast.
+   table and filters of bounded size are all that is broadcast.
 2. Samples: one scan writes a digest of the words, the band keys and one byte per sample for each document. Weights are
    rounded to an eighth of an octave, for sampling and similarity alike; the random numbers of a shingle are looked up
    in a table of ``POOL`` draws by its hash, weights included, so a sample costs a multiplication and a look-up.
@@ -72,10 +72,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Distinct shingle hashes of texts with their counts. Remembers hashes of words."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    """Distinct shingle hashes of texts with their counts."""
 
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").lower().encode("utf-8", "surrogatepass").split()
