@@ -39,6 +39,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,14 +180,22 @@ def sample(s: np.ndarray, levels: np.ndarray, starts: np.ndarray, keys: np.ndarr
     return result
 
 
-def sketches(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
+def share(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> Broadcast:
+    """The packed sketch of document frequencies and the number of documents, sent to the workers once."""
+    table = np.minimum(frequencies[0], 2**31 - 1).astype(np.int32)
+    return docs.sparkSession.sparkContext.broadcast((zstandard.compress(table.tobytes(), 1), frequencies[1]))
+
+
+def opened(packed: bytes, documents: int) -> Weights:
+    """The weights from the shared sketch."""
+    return Weights(np.frombuffer(zstandard.decompress(packed), np.int32).reshape(2, COUNTERS), documents)
+
+
+def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """doc_id, digest, bands (array of long; none for texts without words) and brief (a byte per sample)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed, documents = shared.value
-        weights = Weights(np.frombuffer(zstandard.decompress(packed), np.int64).reshape(2, COUNTERS), documents)
+        weights = opened(*shared.value)
         shingles, keys = Shingles(), draws()
         turn = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64))
         for batch in batches:
@@ -214,8 +223,7 @@ def sketches(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> DataFrame:
 
 def bagger(packed: bytes, documents: int):
     """A function from a text to its shingles and their weights."""
-    weights = Weights(np.frombuffer(zstandard.decompress(packed), np.int64).reshape(2, COUNTERS), documents)
-    shingles = Shingles()
+    weights, shingles = opened(packed, documents), Shingles()
 
     def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         s, counts = shingles.of(shingles.words(text))
@@ -240,11 +248,10 @@ def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verify(
-    docs: DataFrame, pairs: DataFrame, frequencies: tuple[np.ndarray, int], threshold: float = THRESHOLD
+    docs: DataFrame, pairs: DataFrame, shared: Broadcast, threshold: float = THRESHOLD
 ) -> DataFrame:
     """a, b, weighted, plain: the pairs (a, b) of doc_ids of which either similarity reaches the threshold."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
     pairs = stored(pairs)
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("parts"))
     dealt = stored(
@@ -328,7 +335,7 @@ def tiles(members: DataFrame) -> DataFrame:
 
 
 def settle(
-    docs: DataFrame, laid: DataFrame, frequencies: tuple[np.ndarray, int], threshold: float = THRESHOLD
+    docs: DataFrame, laid: DataFrame, shared: Broadcast, threshold: float = THRESHOLD
 ) -> DataFrame:
     """a, b: links between different components within the tiles.
 
@@ -336,7 +343,6 @@ def settle(
     its tile looks for no other to that one, since one link joins the two.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((zstandard.compress(frequencies[0].tobytes(), 1), frequencies[1]))
     laid = stored(laid)
     texts = needed_texts(docs, laid.select("node")).select("doc_id", "text")
     rows = laid.join(texts, laid["node"] == texts["doc_id"]).drop("doc_id")
@@ -377,8 +383,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and digest, one row per row of the documents. class_id is the smallest doc_id of the class."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
-    frequencies = document_frequencies(docs)
-    made = stored(sketches(docs, frequencies))
+    shared = share(docs, document_frequencies(docs))
+    made = stored(sketches(docs, shared))
     # Rows of one digest have the same words, and so the same bands and bytes.
     digests = stored(
         made.groupBy("digest").agg(
@@ -392,16 +398,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     members = stored(banded.join(buckets, "key"))
     star = members.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = stored(verify(docs, star.distinct(), frequencies, threshold).select("a", "b"))
+    links = stored(verify(docs, star.distinct(), shared, threshold).select("a", "b"))
     found = stored(components(links))
     members = stored(members.join(nodes.select("node", "brief"), "node"))
     labels = found.select("node", "label")
     homes = found.select(F.col("node").alias("first"), F.col("label").alias("home"))
     labelled = members.join(labels, "node", "left").join(homes, "first", "left")
     labelled = labelled.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "first")})
-    more = stored(settle(docs, tiles(stored(labelled)), frequencies, threshold))
+    more = stored(settle(docs, tiles(stored(labelled)), shared, threshold))
     if not more.isEmpty():
-        found = stored(components(links.unionByName(more)))
+        # The components found so far are as good as all their links.
+        known = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        found = stored(components(known.unionByName(more)))
     names = digests.join(found, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return made.select("doc_id", "digest").join(stored(names), "digest").select("doc_id", "class_id", "digest")
 

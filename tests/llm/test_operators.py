@@ -126,7 +126,7 @@ def test_buckets_are_compared_to_the_end(spark):
     assert [tuple(r) for r in near_dedup.unsettled(members).collect()] == [(7, 3, 2)]
     laid = near_dedup.tiles(members)
     assert laid.count() == 5  # two away, three members; the bucket of two is settled
-    found = near_dedup.settle(docs, laid, near_dedup.document_frequencies(docs))
+    found = near_dedup.settle(docs, laid, near_dedup.share(docs, near_dedup.document_frequencies(docs)))
     assert [tuple(r) for r in found.collect()] == [(3, 2)]
 
 
