@@ -9,8 +9,10 @@ Everything happens inside the row, so the scan has no shuffle at any size, and a
 tables of sentences and rules are parameters; they are literals of the plan (some dozen entries).
 
 Edge cases: a null or empty text has no sentences and no licence. A sentence may be wrapped over lines; a line break
-ends a sentence unless the next line goes on in lower case, or in capitals after capitals. Copyright lines are known by
-their first word. Repeated rows get equal results; the operator adds columns and replaces those of the same names.
+ends a sentence unless the next line goes on in lower case or in capitals after capitals, or the line ends with a word
+such as "the" or inside the name of a licence. Marks of comments at line starts are left out before lines are joined.
+Semicolons and colons end a sentence, other than those inside a known one. Copyright lines are known by their first
+word. Repeated rows get equal results; the operator adds columns and replaces those of the same names.
 """
 
 from __future__ import annotations
@@ -107,8 +109,33 @@ SKIPPED = ("copyright", "mit-title", "mit-title-2")
 
 # The steps of normalisation: pattern and replacement (the dialects of Spark and DuckDB agree on these).
 STEPS = [
-    (r"([a-zA-Z0-9,()]) *\r?\n *([a-z])", "$1 $2"),
-    (r"([A-Z,]) *\r?\n *([A-Z][A-Z])", "$1 $2"),
+    # Marks of comments at line starts (a star at the margin is a list).
+    (r"(\A|\n)[ \t]*(?://+|#+|/\*+|--+|;+|%+|<!--)!?[ \t]*", "$1"),
+    (r"(\n)[ \t]+\*+/?[ \t]*", "$1"),
+    (r"\n\t[ \t]*", "\n"),
+    # Lines that go on in the next one: in lower case, in capitals after capitals, after a word that ends no sentence,
+    # and inside the names of licences.
+    (r"([a-zA-Z0-9,()\"]) *\r?\n *([(\"]?[a-z])", "$1 $2"),
+    (r"([A-Z,]\"?,?) *\r?\n *(\"?[A-Z][A-Z]|A PARTICULAR)", "$1 $2"),
+    (r"([ (\n](?:the|of|under|a|an|or|but|by|to|version)) *\r?\n *([(\"]?[A-Z0-9])", "$1 $2"),
+    (
+        r"((?:Apache|GNU|General|Public|Mozilla|Creative|Commons|Free|Software|Source|Code|MIT|License,|Version|"
+        r"CC|CC0|BY|BY-SA|BY-NC|BY-ND|BY-NC-SA|Attribution|ShareAlike|International|[0-9]\.0)) *\r?\n *"
+        r"((?:License|General Public|Public License|Commons|Attribution|ShareAlike|Software Foundation|Foundation|Code Form|"
+        r"Form|Version|International|BY|[0-9]\.0)\b)",
+        "$1 $2",
+    ),
+    # Marks that do not end the known sentence they stand in.
+    (r"([ ,]v)\.[ \t\r\n]+([0-9])", "$1 $2"),
+    (r"[;:][ \t\r\n]+(you may not use|you can redistribute|without even the implied)", " $1"),
+    # A copyright line or an address that runs into the next sentence, where all stands on one line.
+    (
+        r" +(Licensed under the Apache License, Version 2\.0 \(the|Permission is hereby granted, free|"
+        r"Permission to use, copy, modify|Redistribution and use in source)",
+        ". $1",
+    ),
+    (r"(apache\.org/licenses/LICENSE-2\.0)(?:\.html|\.txt)?[ \t\r\n]+", "$1. "),
+    (r"( at):?[ \t\r\n]+https?://", "$1 http://"),
 ]
 CUTS = [
     (r"[.!?;:]+([ \x09-\x0D]+|\z)", "\n"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -210,6 +211,60 @@ def test_licence_rules(spark):
     }
 
 
+STANDARD = {
+    "Apache-2.0": [
+        "Copyright 2024 A. Nobody",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at",
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License '
+        "for the specific language governing permissions and limitations under the License.",
+    ],
+    "GPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License "
+        "for more details.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+}
+
+
+def test_standard_texts_as_published(spark):
+    rows = []
+    for licence, paragraphs in STANDARD.items():
+        rows.append((licence, "one line", " ".join(paragraphs)))
+        for width in (*range(30, 100, 3), 10_000):
+            filled = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in paragraphs).split("\n")
+            for mark in ("", "    ", "# ", "// ", " * ", "-- "):
+                text = "\n".join((mark + line).rstrip() for line in filled)
+                rows.append((licence, f"{mark}{width}", f"/*\n{text}\n */" if "*" in mark else text))
+    docs = spark.createDataFrame(rows, "licence string, form string, text string")
+    assert [r[:2] for r in license_rules.scan(docs).collect() if r.licences != [r.licence]] == []
+
+
+def test_list_items_stay_apart(spark):
+    docs = spark.createDataFrame([("* released under the mit license\n* all rights reserved",)], "text string")
+    assert license_rules.scan(docs).first().licences == ["MIT", "all-rights-reserved"]
+
+
 def test_licence_plan_is_native(spark):
     plan = LLM_QUERIES["op4_license_rules"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
