@@ -11,8 +11,9 @@ bucket), and sums the moments of those rows. Both are map-side combined, so a so
 one partial sum per task. Two starts run side by side (median with absolute deviations, and plain moments); the one of
 the smaller determinant wins, is made consistent, and is weighted once more.
 
-Groups of fewer than ``SMALLEST`` rows pool with the other small ones of their language, and if that is still too
-small, with all such rest. A pool that stays too small rejects nothing.
+Groups of fewer than ``SMALLEST`` rows that pass the plain rules pool with the other small ones of their language. If
+that is still too small, they pool with the next larger group of the language as well, or if it has none, with all such
+rest. A pool that stays too small rejects nothing.
 
 Edge cases: null texts have no words and fail the base rules. Null languages and sources are groups of their own.
 Equal texts in one group get equal verdicts. Rows are judged one by one, so repeated ids and nulls do no harm.
@@ -113,14 +114,25 @@ def vector() -> Column:
 
 def pools(rows: DataFrame) -> DataFrame:
     """Rows with the pool whose estimate judges them."""
-    groups = rows.groupBy("lang", "source").count()
+    passed = F.count(F.when(~F.col("base_failed"), 1))  # the rows that estimates are made of
+    groups = rows.groupBy("lang", "source").agg(passed.alias("count"))
     lang, of_lang = F.coalesce(F.col("lang"), F.lit("\0")), Window.partitionBy("lang")
-    rest = F.when(F.col("count") < SMALLEST, F.col("count")).otherwise(0)
-    groups = groups.withColumn("in_lang", F.sum(rest).over(of_lang)).select(
+    small = F.col("count") < SMALLEST
+    groups = groups.withColumns(
+        {
+            "in_lang": F.sum(F.when(small, F.col("count")).otherwise(0)).over(of_lang),
+            "any_small": F.max(small).over(of_lang),
+            "next": F.min(F.when(~small, F.struct("count", "source"))).over(of_lang),
+        }
+    )
+    # What a language has left over, if too small for a pool, shares the one of its next larger group.
+    short = F.col("any_small") & (F.col("in_lang") < SMALLEST)
+    shares = short & F.col("source").eqNullSafe(F.col("next.source"))
+    groups = groups.select(
         F.col("lang").alias("__lang"),
         F.col("source").alias("__source"),
-        F.when(F.col("count") >= SMALLEST, F.concat_ws("\1", lang, F.coalesce("source", F.lit("\0"))))
-        .when(F.col("in_lang") >= SMALLEST, lang)
+        F.when(~small & ~shares, F.concat_ws("\1", lang, F.coalesce("source", F.lit("\0"))))
+        .when(~short | F.col("next").isNotNull(), lang)
         .otherwise(F.lit(""))
         .alias("pool"),
     )

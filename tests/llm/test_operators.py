@@ -176,6 +176,27 @@ def test_outliers(spark):
     assert np.mean([r.kept for r in good]) > 0.99 and np.mean([r.kept for r in bad]) < 0.4
 
 
+def test_groups_of_mostly_failed_rows_are_judged(spark):
+    rng = np.random.default_rng(1)
+
+    def row(n, source, words=None, symbols=None):
+        words = int(rng.integers(200, 400)) if words is None else words
+        return (n, "en", source, words, 5 * words, words // 50 if symbols is None else symbols, 0, 0, words // 10, words < 50)
+
+    rows = [row(n, "junky") for n in range(30)] + [row(30, "junky", 300, 3000)]
+    rows += [row(n, "junky", 10) for n in range(31, 100)] + [row(n, "failed", 10) for n in range(100, 170)]
+    rows += [row(n, f"small{n % 4}") for n in range(200, 360)]
+    # The only small group of its language is judged with the next larger one.
+    other = [row(n, "large") for n in range(400, 600)] + [row(n, "next") for n in range(600, 670)]
+    other += [row(n, "left") for n in range(700, 720)] + [row(720, "left", 300, 3000)]
+    rows += [(n, "de", *r) for n, _, *r in other]
+    schema = f"doc_id long, lang string, source string, {robust_outliers.STATISTICS}, base_failed boolean"
+    judged = {r.doc_id: r for r in robust_outliers.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert len(judged) == len(rows) and all(judged[n].distance is not None for n in judged if not 31 <= n < 170)
+    assert not judged[30].kept and not judged[720].kept and all(judged[n].kept for n in range(30))
+    assert not any(judged[n].kept for n in range(31, 170))
+
+
 def test_estimate_resists_contamination(spark):
     rng = np.random.default_rng(0)
     good = rng.multivariate_normal(np.full(6, 5.0), np.diag(np.arange(1, 7)), 3000)
