@@ -6,20 +6,23 @@ draws ``BANDS * DEPTH`` samples of each bag, such that two bags agree in a sampl
 Jaccard similarity (the sum of the smaller weights over the sum of the larger ones). Texts that agree in all samples of
 a band are candidates; the similarity of candidates is then computed exactly, and pairs of ``threshold`` or more link.
 In a large group of copies all common shingles are frequent and count for less than the edits, so a pair also links if
-the plain Jaccard similarity of its shingle sets reaches the threshold. A class is a connected component of links.
+the plain Jaccard similarity of its shingle sets reaches the threshold; as many samples again, with all weights equal,
+find the candidates of that rule. A class is a connected component of links.
 
 1. Document frequencies: one scan fills a count sketch of fixed size (two rows of ``COUNTERS`` counters, 16 MB), merged
    by segments. The expected load of a counter is taken off, so that rare shingles stay rare in a large corpus. This
    table and filters of bounded size are all that is broadcast.
-2. Samples: one scan writes a digest of the words, the band keys and one byte per sample for each document. Weights are
+2. Samples: one scan writes a digest of the words, the band keys and one byte per sample of either kind. Weights are
    rounded to an eighth of an octave, for sampling and similarity alike; the random numbers of a shingle are looked up
-   in a table of ``POOL`` draws by its hash, weights included, so a sample costs a multiplication and a look-up.
+   in a table of ``POOL`` draws by its hash, weights included, so a sample costs a multiplication and a look-up. Plain
+   samples are the smallest products themselves.
 3. Equal digests are exact copies: one of each class, the smallest doc_id, stands for them from here on.
 4. In every band bucket, each member is verified against the smallest one: as many pairs as members, however large.
 5. Buckets that still hold several components go on in groups, one for each component of a smallest member: all
-   members of other components are compared with all members of the group, first on the sample bytes, then, if these
-   look similar, exactly. This happens inside tiles of bounded size that hold each text once, and only links come
-   out, so no candidate pair between different components is left out and no list of pairs is made.
+   members of other components are compared with all members of the group, first on the sample bytes, then, if those
+   of either kind look similar, exactly. This happens inside tiles of bounded size that hold each text once, and only
+   links come out, so no list of pairs is made. The bytes of a pair right at the threshold look similar in all but one
+   of some ten thousand cases.
 
 Verification sends the text of the smaller document once per about ``FANOUT`` partners, and streams them past it. A
 Bloom filter of the ids keeps all other texts where they are.
@@ -58,8 +61,6 @@ POOL = 2**POOL_BITS
 # Eighths of an octave; heavier shingles (some 65,000 times in one text) share the last level.
 LEVELS = 8 * 17
 FANOUT = 200
-# A pair whose sample bytes agree less than this is no candidate in step 5: four deviations below the threshold.
-LOOKS = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
 ROW_BLOCK, COLUMN_BLOCK = 256, 2048
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,6 +168,7 @@ def draws() -> np.ndarray:
 
 
 MULTIPLIERS = np.random.default_rng(21).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLAIN_MULTIPLIERS = np.random.default_rng(22).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sample(s: np.ndarray, levels: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -180,6 +182,19 @@ def sample(s: np.ndarray, levels: np.ndarray, starts: np.ndarray, keys: np.ndarr
     return result
 
 
+def plain_sample(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SAMPLES samples of the set of shingles of each bag, laid out as in ``sample``."""
+    result = np.empty((len(starts), SAMPLES), np.uint64)
+    for k, by in enumerate(PLAIN_MULTIPLIERS):
+        result[:, k] = np.minimum.reduceat(s * by, starts)
+    return result
+
+
+def looks(threshold: float) -> float:
+    """Step 5 passes over pairs whose sample bytes agree less than this: four deviations below the threshold."""
+    return threshold - 4 * (threshold * (1 - threshold) / SAMPLES) ** 0.5
+
+
 def share(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> Broadcast:
     """The packed sketch of document frequencies and the number of documents, sent to the workers once."""
     table = np.minimum(frequencies[0], 2**31 - 1).astype(np.int32)
@@ -192,12 +207,15 @@ def opened(packed: bytes, documents: int) -> Weights:
 
 
 def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """doc_id, digest, bands (array of long; none for texts without words) and brief (a byte per sample)."""
+    """doc_id, digest, bands (array of long; none for texts without words) and brief (a byte per sample).
+
+    Bands and bytes of the weighted samples come first, then those of the plain ones.
+    """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = opened(*shared.value)
         shingles, keys = Shingles(), draws()
-        turn = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+        turn = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
         for batch in batches:
             ids = pd.array([None if pd.isna(d) else int(d) for d in batch["doc_id"]], dtype="Int64")
             found = [shingles.words(t) for t in batch["text"]]
@@ -210,9 +228,9 @@ def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 s = np.concatenate([bags[i][0] for i in part])
                 counts = np.concatenate([bags[i][1] for i in part])
                 starts = np.cumsum([0] + [len(bags[i][0]) for i in part[:-1]])
-                drawn = sample(s, weights.levels(s, counts), starts, keys)
+                drawn = np.hstack([sample(s, weights.levels(s, counts), starts, keys), plain_sample(s, starts)])
                 scrambled = mixed(drawn ^ turn)
-                grouped = mixed(scrambled.reshape(len(part), BANDS, DEPTH).sum(axis=2)).view(np.int64)
+                grouped = mixed(scrambled.reshape(len(part), 2 * BANDS, DEPTH).sum(axis=2)).view(np.int64)
                 short = scrambled.astype(np.uint8)
                 for row, i in enumerate(part):
                     bands[i], brief[i] = grouped[row], short[row].tobytes()
@@ -339,7 +357,7 @@ def settle(
 ) -> DataFrame:
     """a, b: links between different components within the tiles.
 
-    Only members whose samples look similar are compared exactly. A member that has found a link to a component in
+    Only members whose samples of some kind look similar are compared exactly. A member that has found a link to a component in
     its tile looks for no other to that one, since one link joins the two.
     """
     spark = docs.sparkSession
@@ -350,7 +368,7 @@ def settle(
     ordered = rows.repartition(tasks, "group", "r", "c").sortWithinPartitions("group", "r", "c", F.desc("away"), "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bag = bagger(*shared.value)
+        bag, alike = bagger(*shared.value), looks(threshold)
         tile, held, samples, linked = None, [], [], set()
         names = ("group", "r", "c", "away", "node", "label", "brief", "text")
         for batch in batches:
@@ -364,9 +382,10 @@ def settle(
                     samples.append(own)
                     continue
                 if isinstance(samples, list):
-                    samples = np.stack(samples) if samples else np.zeros((0, SAMPLES), np.uint8)
+                    samples = np.stack(samples) if samples else np.zeros((0, len(own)), np.uint8)
                 mine = None
-                for k in np.flatnonzero((samples == own).mean(axis=1) >= LOOKS):
+                same = (samples == own).reshape(len(samples), len(own) // SAMPLES, SAMPLES).mean(axis=2)
+                for k in np.flatnonzero((same >= alike).any(axis=1)):
                     other, other_label, other_bag = held[k]
                     if other == node or other_label == label or (other, label) in linked:
                         continue

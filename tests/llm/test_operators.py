@@ -131,6 +131,41 @@ def test_buckets_are_compared_to_the_end(spark):
     assert [tuple(r) for r in found.collect()] == [(3, 2)]
 
 
+def test_plain_similarity_finds_candidates_in_large_groups(spark):
+    """Where a third of ten million documents share their shingles, pairs of plain similarity 0.8 are candidates too."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    shingles = near_dedup.Shingles()
+    table = np.zeros((2, near_dedup.COUNTERS), np.int64)
+    for row, at in enumerate(near_dedup.slots(shingles.of([w.encode() for w in base])[0])):
+        table[row][at] = 3_300_000
+    texts = []
+    for _ in range(600):  # two of them are alike to 396 / (396 + 2 * 47)
+        texts.append(" ".join([*base, *(f"own{rng.random()}" for _ in range(47))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r for r in near_dedup.sketches(docs, near_dedup.share(docs, (table, 10_000_000))).collect()}
+    pairs, missed, unlike = 0, 0, 0
+    for i in range(0, 600, 2):
+        a, b = (set(shingles.of(shingles.words(texts[k]))[0].tolist()) for k in (i, i + 1))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.81
+        pairs += 1
+        missed += not any(x == y for x, y in zip(made[i].bands, made[i + 1].bands))
+        x, y = (np.frombuffer(made[k].brief, np.uint8).reshape(-1, near_dedup.SAMPLES) for k in (i, i + 1))
+        unlike += (x == y).mean(axis=1).max() < 0.8 - 4 * (0.8 * 0.2 / near_dedup.SAMPLES) ** 0.5
+    assert pairs > 100 and missed <= 0.02 * pairs and unlike <= 0.01 * pairs
+
+
+def test_plain_bytes_alone_lead_to_comparison(spark):
+    rng = np.random.default_rng(7)
+    text = " ".join(f"w{i}" for i in range(50))
+    half, other, plain = (rng.integers(0, 256, near_dedup.SAMPLES, dtype=np.uint8).tobytes() for _ in range(3))
+    laid = [(2, 2, half + plain, 1, 0, 0, True), (3, 3, other + plain, 1, 0, 0, False)]
+    laid = spark.createDataFrame(laid, "node long, label long, brief binary, group long, r int, c int, away boolean")
+    docs = spark.createDataFrame([(2, text), (3, text)], "doc_id long, text string")
+    found = near_dedup.settle(docs, laid, near_dedup.share(docs, near_dedup.document_frequencies(docs)))
+    assert [tuple(r) for r in found.collect()] == [(3, 2)]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
