@@ -14,10 +14,12 @@ from tarifflens.llm import (
     license_rules,
     line_dedup,
     link_trust,
+    merkle_manifest,
     near_dedup,
     packing,
     pu_toxicity,
     robust_outliers,
+    whitening,
 )
 from tarifflens.llm.common import fold, table, whole
 
@@ -126,6 +128,16 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first whitened components of every embedding."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and verdict of every document."""
+    return merkle_manifest.verify(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -137,6 +149,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_link_trust": op9_link_trust,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 # A line and its key, as the contract of op1 has it.
@@ -160,4 +174,8 @@ from marked group by r, doc_id
 
 def llm_sql() -> dict[str, str]:
     """DuckDB twins, where SQL can express the query."""
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op4_license_rules": license_rules.scan_sql()}
+    return {
+        "op1_line_dedup": LINE_DEDUP_SQL,
+        "op4_license_rules": license_rules.scan_sql(),
+        "op12_merkle_manifest": merkle_manifest.verify_sql(),
+    }
