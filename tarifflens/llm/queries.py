@@ -11,6 +11,7 @@ from tarifflens.llm import (
     byte_bpe,
     compression_quality,
     fingerprints,
+    jaccard_join,
     license_rules,
     line_dedup,
     link_trust,
@@ -138,6 +139,11 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.verify(table(spark, folder, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of links of every document."""
+    return jaccard_join.linked_components(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -151,6 +157,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 # A line and its key, as the contract of op1 has it.
