@@ -9,19 +9,24 @@ the component of each document, so a link inside a component that is known alrea
    n - ceil(0.85 n) + 1 shingles, so one more scan writes an entry (shingle, set, size, position) for each of those; shingles with
    a single set go, by count and by a Bloom filter, before any entry is shuffled. What the sketch gets wrong costs work, not links.
 3. Index lists are skipped by position: in each list every entry meets the first set of the list (its leader), unless sizes or
-   positions leave no room for enough common shingles. Surviving pairs are verified exactly, each once, and a linked set keeps
-   its relation to its most similar leader: the shingles it lacks and those it has besides.
+   positions leave no room for enough common shingles. Pairs whose outlines leave room are verified exactly, each once, and a linked
+   set keeps its relation to its most similar leader: the shingles it lacks and those it has besides.
 4. Lists that still hold several components go on in groups, one for each component of a leader: all members of other components
    (``away``) are compared with all members of the group. This happens in tiles of bounded size, one size class against its
-   neighbours, and only links come out. A tile holds an index of its away sets. A member with a relation derives its answers from
-   those of its leader, which are counted once per tile: the overlap with each away set less what the member lacks plus what it has
-   besides. A member without one walks the lists of its first shingles, blocked by position, so that a list is left at
-   the first position from which no set can reach the threshold; only sets met there are counted.
+   neighbours, first on outlines alone, which leaves the members that may link with one of another component. For these, a tile holds
+   an index of its away sets. A member with a relation derives its answers from those of its leader, which are counted once per
+   tile: the overlap with each away set less what the member lacks plus what it has besides. A member without one walks the
+   lists of its first shingles, blocked by position, so that a list is left at the first position from which no set can reach the
+   threshold; only sets met there are counted. Only links come out.
 5. Components of all links; the smallest doc_id of each.
 
-Texts are read three times and moved never, but for those that share an index list. Hot lists: a leader's pairs are as many as the
-members, verified in parts of ``FANOUT``; the rest goes through tiles in which members travel as relations. What is broadcast
-is the sketch (at most 32 MB) and Bloom filters (128 MB); beyond that, more entries are moved than need be, none less.
+An outline has the number of shingles in each of some size / 8 to size / 4 hash buckets; the sum of the smaller numbers of two
+outlines is never less than the overlap of the sets, and for unlike sets it is well below the threshold.
+
+Texts are read a few times and never moved; of the sets, only those move whose outlines leave room for a link. Hot lists: a
+leader's pairs are as many as the members, verified in parts of ``FANOUT``; the rest goes through tiles in which members travel as
+relations. What is broadcast is the sketch (at most 32 MB) and Bloom filters (128 MB); beyond that, more entries are moved than
+need be, none less.
 
 Sets and shingles are told apart by hashes, of 128 and of 64 bits.
 
@@ -43,6 +48,7 @@ import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarifflens.llm.bloom import filter_of, maybe_in
 from tarifflens.llm.common import prepare, stored, written
@@ -97,14 +103,48 @@ def prefix(size: int) -> int:
     return size - (PART * size + WHOLE - 1) // WHOLE + 1
 
 
+def outline_length(size: int) -> int:
+    """Buckets of the outline of a set: a power of two."""
+    return 1 << max(4, (max(1, size) // 8).bit_length())
+
+
+def outline(s: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket, a byte each; numbers over 255 count as 255."""
+    length = outline_length(len(s))
+    counts = np.bincount((s & np.uint64(length - 1)).astype(np.int64), minlength=length)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def opened(outlines: list[bytes], length: int) -> np.ndarray:
+    """Outlines, a row each, all brought to one length no larger than theirs."""
+    result = np.empty((len(outlines), length), np.uint16)
+    lengths = np.array([len(o) for o in outlines])
+    for own in np.unique(lengths):
+        at = np.flatnonzero(lengths == own)
+        counts = np.frombuffer(b"".join([outlines[i] for i in at]), np.uint8)
+        # The low bits of a hash choose the bucket, so buckets that agree in them fall together.
+        result[at] = counts.reshape(len(at), own // length, length).sum(axis=1, dtype=np.uint16)
+    return result
+
+
+def may_link(one: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether sets of such opened outlines may link, row by row."""
+    beyond = np.minimum(size - one.sum(axis=-1, dtype=np.int64), other_size - other.sum(axis=-1, dtype=np.int64))
+    overlap = np.minimum(one, other).sum(axis=-1, dtype=np.int64) + beyond
+    return WHOLE * overlap >= PART * (size + other_size - overlap)
+
+
 def slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The counter of each shingle in either row of the sketch."""
     return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), (s & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (null without shingles) of every document; further rows have segment and part of the sketch."""
-    schema = "doc_id long, n_shingles long, node binary, segment int, part binary"
+    """doc_id, n_shingles, node and outline (null without shingles) of every document.
+
+    Further rows have segment and part of the sketch.
+    """
+    schema = "doc_id long, n_shingles long, node binary, outline binary, segment int, part binary"
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((2, COUNTERS), np.int64)
@@ -118,6 +158,7 @@ def described(docs: DataFrame) -> DataFrame:
                     "doc_id": whole_ids(batch["doc_id"]),
                     "n_shingles": [len(s) for s in sets],
                     "node": [name_of(s) if len(s) else None for s in sets],
+                    "outline": [outline(s) if len(s) else None for s in sets],
                     "segment": pd.array([None] * len(sets), dtype="Int32"),
                     "part": [None] * len(sets),
                 }
@@ -125,7 +166,8 @@ def described(docs: DataFrame) -> DataFrame:
         flat = table.reshape(-1, SEGMENT)
         for segment in np.flatnonzero(flat.any(axis=1)):
             part = zstandard.compress(flat[segment].tobytes(), 1)
-            rest = {"doc_id": pd.array([None], dtype="Int64"), "n_shingles": pd.array([None], dtype="Int64"), "node": [None]}
+            none = pd.array([None], dtype="Int64")
+            rest = {"doc_id": none, "n_shingles": none, "node": [None], "outline": [None]}
             yield pd.DataFrame({**rest, "segment": pd.array([segment], dtype="Int32"), "part": [part]})
 
     return written(docs.mapInPandas(describe, schema), "jaccard-sets")
@@ -243,6 +285,33 @@ def room() -> Column:
     return enough((ahead + behind).cast("long"), F.col("size").cast("long"), F.col("leader.size").cast("long"))
 
 
+def outlines(known: DataFrame) -> DataFrame:
+    """node, size and outline of every set; ``known`` has n_shingles for size."""
+    return known.where("node is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("size"), "outline")
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(one: pd.Series, size: pd.Series, other: pd.Series, other_size: pd.Series) -> pd.Series:
+    result = np.zeros(len(one), bool)
+    length = np.minimum(one.str.len(), other.str.len()).to_numpy(np.int64)
+    for own in np.unique(length):
+        at = np.flatnonzero(length == own)
+        rows = (opened(column.iloc[at].tolist(), int(own)) for column in (one, other))
+        sizes = (column.iloc[at].to_numpy(np.int64) for column in (size, other_size))
+        (a, b), (n, m) = rows, sizes
+        result[at] = may_link(a, n, b, m)
+    return pd.Series(result)
+
+
+def star(members: DataFrame, drawn: DataFrame) -> DataFrame:
+    """node and leader: the pairs of an entry and its leader that positions, sizes and outlines leave room for."""
+    pairs = members.where((F.col("node") != F.col("leader.node")) & room())
+    pairs = pairs.select("node", F.col("leader.node").alias("leader")).distinct()
+    heads = drawn.select(F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("outline").alias("leader_outline"))
+    both = pairs.join(drawn, "node").join(heads, "leader")
+    return both.where(_alike("outline", "size", "leader_outline", "leader_size")).select("node", "leader")
+
+
 def needed_sets(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and tokens (ascending hashes) of the given nodes, from the texts of some document that has each.
 
@@ -339,6 +408,42 @@ def tiles(grouped: DataFrame) -> DataFrame:
     return down.unionByName(across.select(*down.columns))
 
 
+def live(laid: DataFrame, drawn: DataFrame) -> DataFrame:
+    """group and node: the members that by their outlines may link with a member of another component, in the tiles of ``tiles``."""
+    place = ["group", "k", "r", "c"]
+    rows = laid.join(drawn, "node")
+    tasks = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, *place).sortWithinPartitions(*place, F.desc("away"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, table, hit = None, [], None, set()
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                if (row.group, row.k, row.r, row.c) != here:
+                    here, held, table, hit = (row.group, row.k, row.r, row.c), [], None, set()
+                if row.away:
+                    held.append(row)
+                    continue
+                if table is None:
+                    # Any size that meets this class has an outline of this length at least.
+                    length = min(outline_length(int(CLASS_RATIO ** (1 - row.k))), min(len(h.outline) for h in held))
+                    sizes, labels = np.array([h.size for h in held], np.int64), np.array([h.label for h in held], object)
+                    table = opened([h.outline for h in held], length)
+                shorter = min(length, len(row.outline))
+                if shorter < length:
+                    length, table = shorter, table.reshape(len(held), -1, shorter).sum(axis=1, dtype=np.uint16)
+                own = opened([row.outline], length)
+                near = np.flatnonzero(may_link(table, sizes, own, np.int64(row.size)) & (labels != row.label))
+                if len(near):
+                    found.append((row.group, row.node))
+                    found += [(row.group, held[i].node) for i in near if i not in hit]
+                    hit.update(near.tolist())
+            yield pd.DataFrame(found, columns=["group", "node"])
+
+    return ordered.mapInPandas(compare, "group binary, node binary").distinct()
+
+
 class Tile:
     """The away sets of a tile, indexed."""
 
@@ -462,14 +567,21 @@ def linked_components(docs: DataFrame) -> DataFrame:
     known = made.where("segment is null")
     shared = share(docs, rarity(sketch(made.where("segment is not null"))))
     members = lists(docs, shared)
-    sets = needed_sets(docs, known.where("node is not null").select("doc_id", "node"), stored(members.select("node").distinct()))
-    star = members.where((F.col("node") != F.col("leader.node")) & room())
-    tied = relations(star.select("node", F.col("leader.node").alias("leader")).distinct(), sets)
+    drawn = outlines(known)
+    pairs = stored(star(members, drawn))
+    named = known.where("node is not null").select("doc_id", "node")
+    ends = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+    tied = relations(pairs, needed_sets(docs, named, stored(ends)))
     found = stored(components(tied, "node", "leader"))
     best = F.max(F.struct("shared", "leader")).alias("best")
     homes = tied.groupBy("node").agg(best).select("node", F.col("best.leader").alias("leader"))
     homes = stored(tied.join(homes, ["node", "leader"]).select("node", "leader", "lacks", "has"))
-    more = stored(settle(tiles(stored(unsettled(stored(labelled(members, found))))), sets, homes, shared))
+    grouped = stored(unsettled(stored(labelled(members, found))))
+    grouped = stored(grouped.join(live(tiles(grouped), drawn), ["group", "node"], "left_semi"))
+    inside = stored(grouped.select("node").distinct())
+    heads = homes.join(inside, "node", "left_semi").select(F.col("leader").alias("node"))
+    sets = needed_sets(docs, named, stored(inside.unionByName(heads).distinct()))
+    more = stored(settle(tiles(grouped), sets, homes, shared))
     if not more.isEmpty():
         # The components found so far are as good as all their links.
         so_far = found.select(F.col("node").alias("a"), F.col("label").alias("b"))

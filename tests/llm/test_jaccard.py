@@ -122,10 +122,10 @@ def test_sets_of_a_large_group_are_not_compared_in_pairs(spark):
     made = jaccard_join.described(docs)
     shared = jaccard_join.share(docs, jaccard_join.rarity(jaccard_join.sketch(made.where("segment is not null"))))
     members = jaccard_join.lists(docs, shared)
-    star = members.where("node != leader.node").selectExpr("node", "leader.node as leader").distinct()
-    assert star.count() < 20 * 300
+    pairs = jaccard_join.star(members, jaccard_join.outlines(made.where("segment is null")))
+    assert pairs.count() < 20 * 300
     nodes = members.select("node").distinct()
-    tied = jaccard_join.relations(star, jaccard_join.needed_sets(docs, made.where("segment is null"), nodes))
+    tied = jaccard_join.relations(pairs, jaccard_join.needed_sets(docs, made.where("segment is null"), nodes))
     found = jaccard_join.components(tied, "node", "leader")
     assert jaccard_join.unsettled(jaccard_join.labelled(members, found)).isEmpty()
 
@@ -149,6 +149,26 @@ def test_answers_are_derived(spark):
             assert tile.met(order.of(s)[: jaccard_join.prefix(len(s))], len(s))
 
 
+def test_outlines_never_understate(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        tokens = rng.integers(0, 2**64, rng.integers(1, 3000), dtype=np.uint64)
+        if rng.random() < 0.2:
+            tokens &= ~np.uint64(1023)  # all in one bucket, beyond what a byte can hold
+        one, other = (np.unique(rng.choice(tokens, max(1, int(len(tokens) * rng.uniform(0.8, 1))))) for _ in range(2))
+        drawn = [jaccard_join.outline(s) for s in (one, other)]
+        length = min(map(len, drawn))
+        a, b = (jaccard_join.opened([d], length) for d in drawn)
+        shared = len(np.intersect1d(one, other))
+        may = jaccard_join.may_link(a, np.int64(len(one)), b, np.int64(len(other)))[0]
+        assert may or 100 * shared < 85 * (len(one) + len(other) - shared)
+    unlike = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(40)]
+    table = jaccard_join.opened([jaccard_join.outline(s) for s in unlike], jaccard_join.outline_length(500))
+    for i, s in enumerate(unlike):
+        may = jaccard_join.may_link(table, np.full(40, 500), table[i : i + 1], np.int64(500))
+        assert np.flatnonzero(may).tolist() == [i]
+
+
 def test_edges(spark):
     long = " ".join(f"word{i}" for i in range(60_000))
     rows = [
