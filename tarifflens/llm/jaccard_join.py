@@ -3,11 +3,12 @@
 A document is the set of its distinct shingles (four words). Two sets link when 100 * intersection >= 85 * union. What is asked for is
 the component of each document, so a link inside a component that is known already need not be found.
 
-1. Sets: one scan writes the digest of each set and fills a count sketch of shingles (two rows of ``COUNTERS`` counters, merged by
-   segments). Equal digests are equal sets: one set stands for them from here on.
-2. Index: the shingles of a set are ordered rarest first, by the sketch and then by hash. Linked sets share one of their first
-   n - ceil(0.85 n) + 1 shingles, so one more scan writes an entry (shingle, set, size, position) for each of those; shingles with
-   a single set go, by count and by a Bloom filter, before any entry is shuffled. What the sketch gets wrong costs work, not links.
+1. Sets: one scan writes the digest of each set, and the shingles of a task at a time, sorted, packed by their differences and
+   cut by hash range. Ranges are merged into exact numbers of documents, and the shingles of ``LEVELS`` or more go into Bloom
+   filters. Equal digests are equal sets: one set stands for them from here on.
+2. Index: the shingles of a set are ordered rarest first, by those filters and then by hash. Linked sets share one of their first
+   n - ceil(0.85 n) + 1 shingles, so one more scan writes an entry (shingle, set, size, position) for each of those that some
+   other document has too. What a filter gets wrong costs work, not links.
 3. Index lists are skipped by position: in each list every entry meets the first set of the list (its leader), unless sizes or
    positions leave no room for enough common shingles. Pairs whose outlines leave room are verified exactly, each once, and a linked
    set keeps its relation to its most similar leader: the shingles it lacks and those it has besides.
@@ -25,8 +26,8 @@ outlines is never less than the overlap of the sets, and for unlike sets it is w
 
 Texts are read a few times and never moved; of the sets, only those move whose outlines leave room for a link. Hot lists: a
 leader's pairs are as many as the members, verified in parts of ``FANOUT``; the rest goes through tiles in which members travel as
-relations. What is broadcast is the sketch (at most 32 MB) and Bloom filters (128 MB); beyond that, more entries are moved than
-need be, none less.
+relations. What is broadcast is Bloom filters (128 MB each at most, one per level); once they are too small for a corpus, more
+entries are written than need be, none less.
 
 Sets and shingles are told apart by hashes, of 128 and of 64 bits.
 
@@ -50,16 +51,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarifflens.llm.bloom import filter_of, maybe_in
+from tarifflens.llm.bloom import filter_of, hits, maybe_in
 from tarifflens.llm.common import prepare, stored, written
 from tarifflens.llm.components import components
 
 SPAN = 4
 # Two sets link when WHOLE * intersection >= PART * union.
 PART, WHOLE = 85, 100
-COUNTER_BITS = 21
-COUNTERS = 2**COUNTER_BITS
-SEGMENT = 2**13
+# Shingles of so many documents are told apart from rarer ones.
+LEVELS = (2, 16, 256)
+# Shingles are counted by so many bits of their hash; a task packs so many of them at a time.
+COUNT_BITS = 44
+PACKED = 1_000_000
 FANOUT = 200
 # Sets whose sizes lie two classes of this ratio apart cannot link (it is wider than PART / WHOLE, so rounding cannot matter).
 CLASS_RATIO = 0.8
@@ -134,41 +137,73 @@ def may_link(one: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: n
     return WHOLE * overlap >= PART * (size + other_size - overlap)
 
 
-def slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each shingle in either row of the sketch."""
-    return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+def counted_bits(s: np.ndarray) -> np.ndarray:
+    """What a shingle is counted by: the top bits of its hash, in the order of the hashes."""
+    return s >> np.uint64(64 - COUNT_BITS)
+
+
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, byte by byte of all of them, so that what is zero throughout takes no room."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def tasks_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node and outline (null without shingles) of every document.
 
-    Further rows have segment and part of the sketch.
+    Further rows have the shingles of a range of hashes that a task has met (``range``, ``part``) and how often (``times``).
     """
-    schema = "doc_id long, n_shingles long, node binary, outline binary, segment int, part binary"
+    schema = "doc_id long, n_shingles long, node binary, outline binary, range int, part binary, times binary"
+    ranges = tasks_of(docs)
+    step = 2**COUNT_BITS // ranges + 1
+
+    def ranged(met: list[np.ndarray]) -> pd.DataFrame:
+        values, times = np.unique(counted_bits(np.concatenate(met)), return_counts=True)
+        cuts = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(step))
+        found = [(at, low, high) for at, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])) if low < high]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None] * len(found), dtype="Int64"),
+                "n_shingles": pd.array([None] * len(found), dtype="Int64"),
+                "node": [None] * len(found),
+                "outline": [None] * len(found),
+                "range": pd.array([at for at, _, _ in found], dtype="Int32"),
+                "part": [packed(values[low:high]) for _, low, high in found],
+                "times": [zstandard.compress(times[low:high].astype(np.uint32).tobytes(), 1) for _, low, high in found],
+            }
+        )
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((2, COUNTERS), np.int64)
+        met, held = [], 0
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
-            if sets:
-                for row, at in enumerate(slots(np.concatenate(sets))):
-                    np.add.at(table[row], at, 1)
             yield pd.DataFrame(
                 {
                     "doc_id": whole_ids(batch["doc_id"]),
                     "n_shingles": [len(s) for s in sets],
                     "node": [name_of(s) if len(s) else None for s in sets],
                     "outline": [outline(s) if len(s) else None for s in sets],
-                    "segment": pd.array([None] * len(sets), dtype="Int32"),
+                    "range": pd.array([None] * len(sets), dtype="Int32"),
                     "part": [None] * len(sets),
+                    "times": [None] * len(sets),
                 }
             )
-        flat = table.reshape(-1, SEGMENT)
-        for segment in np.flatnonzero(flat.any(axis=1)):
-            part = zstandard.compress(flat[segment].tobytes(), 1)
-            none = pd.array([None], dtype="Int64")
-            rest = {"doc_id": none, "n_shingles": none, "node": [None], "outline": [None]}
-            yield pd.DataFrame({**rest, "segment": pd.array([segment], dtype="Int32"), "part": [part]})
+            met += sets
+            held += sum(map(len, sets))
+            if held >= PACKED:
+                yield ranged(met)
+                met, held = [], 0
+        if held:
+            yield ranged(met)
 
     return written(docs.mapInPandas(describe, schema), "jaccard-sets")
 
@@ -178,62 +213,83 @@ def whole_ids(ids: pd.Series) -> pd.api.extensions.ExtensionArray:
     return pd.array([None if pd.isna(d) else int(d) for d in ids], dtype="Int64")
 
 
-def sketch(segments: DataFrame) -> np.ndarray:
-    """The counters (2 x COUNTERS) from the parts of all tasks."""
+def repeated(parts: DataFrame) -> DataFrame:
+    """bits and n: the shingles that several documents have, with the number of documents, from the parts of all tasks."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        bits, times = (np.concatenate(column) for column in zip(*held))
+        order = np.argsort(bits, kind="stable")
+        bits, times = bits[order], times[order]
+        start = np.flatnonzero(np.concatenate([[True], bits[1:] != bits[:-1]]))
+        n = np.add.reduceat(times.astype(np.int64), start)
+        return pd.DataFrame({"bits": bits[start][n >= 2].view(np.int64), "n": n[n >= 2]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, []
         for batch in batches:
-            for segment, part in zip(batch["segment"], batch["part"]):
-                part = np.frombuffer(zstandard.decompress(part), np.int64)
-                totals[segment] = totals[segment] + part if segment in totals else part
-        for segment, total in totals.items():
-            yield pd.DataFrame({"segment": [segment], "part": [zstandard.compress(total.tobytes(), 1)]})
+            for at, part, times in zip(batch["range"], batch["part"], batch["times"]):
+                if at != here and held:
+                    yield merged(held)
+                    held = []
+                here = at
+                held.append((unpacked(part), np.frombuffer(zstandard.decompress(times), np.uint32)))
+        if held:
+            yield merged(held)
 
-    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = segments.select("segment", "part").repartition(tasks, "segment").mapInPandas(add, "segment int, part binary")
-    table = np.zeros(2 * COUNTERS, np.int64)
-    for row in merged.toLocalIterator():
-        table[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(zstandard.decompress(row["part"]), np.int64)
-    return table.reshape(2, COUNTERS)
+    laid = parts.select("range", "part", "times").repartition(tasks_of(parts), "range").sortWithinPartitions("range")
+    return stored(laid.mapInPandas(merge, "bits long, n long"))
 
 
-def rarity(table: np.ndarray) -> np.ndarray:
-    """Classes of frequency, one byte per counter: the octave of its count, less the load that any counter has.
+def filters(found: DataFrame) -> list[np.ndarray]:
+    """A Bloom filter of the shingles of each level, from ``repeated``."""
+    reach = [found.where(F.col("n") >= level).select("bits") for level in LEVELS]
+    return [filter_of(bits.select(_scrambled("bits").alias("h")), bits.count()) for bits in reach]
 
-    Counts within the usual spread of that load are all of one class, so a large corpus orders its rare shingles by hash.
-    """
-    classes = np.empty(table.shape, np.uint8)
-    for row, counts in enumerate(table):
-        load = counts.mean()
-        least = 2 + 4 * math.sqrt(load)
-        classes[row] = np.floor(np.log2(np.maximum(counts - load, least))).astype(np.uint8)
-    return classes
+
+@F.pandas_udf(T.LongType())
+def _scrambled(bits: pd.Series) -> pd.Series:
+    return pd.Series(scrambled(bits.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-def share(docs: DataFrame, classes: np.ndarray) -> Broadcast:
-    """The classes of frequency, sent to the workers once (4 MB before compression)."""
-    return docs.sparkSession.sparkContext.broadcast(zstandard.compress(classes.tobytes(), 1))
+def share(docs: DataFrame, known: list[np.ndarray]) -> Broadcast:
+    """The filters, sent to the workers once."""
+    return docs.sparkSession.sparkContext.broadcast([(zstandard.compress(f.tobytes(), 1), len(f)) for f in known])
 
 
 class Order:
     """The order of shingles, rarest first."""
 
-    def __init__(self, packed: bytes):
-        self.classes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(2, COUNTERS)
+    def __init__(self, shared: list[tuple[bytes, int]]):
+        self.filters = [np.frombuffer(zstandard.decompress(data), np.uint64) for data, _ in shared]
+
+    def levels(self, s: np.ndarray) -> np.ndarray:
+        """How many levels each shingle seems to reach; 0 means that a single document has it."""
+        h = scrambled(counted_bits(s))
+        reached, inside = np.zeros(len(s), np.int8), np.arange(len(s))
+        for known in self.filters:
+            inside = inside[hits(h[inside], known)]
+            reached[inside] += 1
+        return reached
 
     def of(self, s: np.ndarray) -> np.ndarray:
         """The shingles in this order; ``s`` ascends."""
-        return s[np.argsort(np.minimum(*(self.classes[row][at] for row, at in enumerate(slots(s)))), kind="stable")]
+        return s[np.argsort(self.levels(s), kind="stable")]
+
+    def heads(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the first shingles that another set may have, and their positions."""
+        reached = self.levels(s)
+        order = np.argsort(reached, kind="stable")[: prefix(len(s))]
+        pos = np.flatnonzero(reached[order])
+        return s[order[pos]], pos
 
 
 def entries(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """token, node, size and pos: the index entries of all sets. Copies may be there several times."""
+    """token, node, size and pos: the index entries of all sets, but for shingles of one set. Copies may be there several times."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Order(shared.value), set()
         for batch in batches:
-            nodes, sizes, first = [], [], []
+            nodes, sizes, first, pos = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 node = name_of(s)
@@ -244,14 +300,20 @@ def entries(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 seen.add(node)
                 nodes.append(node)
                 sizes.append(len(s))
-                first.append(order.of(s)[: prefix(len(s))])
+                head, at = order.heads(s)
+                first.append(head)
+                pos.append(at.astype(np.int32))
             counts = np.array([len(f) for f in first], np.int64)
-            total = int(counts.sum())
-            pos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+            if not counts.sum():
+                continue
             named = pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), counts)))
-            tokens = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), named, pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(pos.astype(np.int32))],
+                [
+                    pa.array(np.concatenate(first).view(np.int64)),
+                    named,
+                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
+                    pa.array(np.concatenate(pos)),
+                ],
                 names=["token", "node", "size", "pos"],
             )
 
@@ -260,13 +322,9 @@ def entries(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
 def lists(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """token, node, size, pos, n (sets of the list) and leader (node, size, pos): the index lists of two sets or more."""
-    every = written(entries(docs, shared), "jaccard-entries")
-    repeated = stored(every.groupBy("token").count().where("count > 1").select("token"))
-    known = filter_of(repeated.select(F.xxhash64("token").alias("h")), repeated.count())
-    maybe = every.where(maybe_in(F.col("token"), known, every))
-    inside = stored(maybe.join(repeated, "token").dropDuplicates(["token", "node"]))
-    heads = inside.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "pos")).alias("leader"))
-    return written(inside.join(heads.where("n > 1"), "token"), "jaccard-lists")
+    every = stored(entries(docs, shared).dropDuplicates(["token", "node"]))
+    heads = every.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "pos")).alias("leader"))
+    return written(every.join(heads.where("n > 1"), "token"), "jaccard-lists")
 
 
 def enough(overlap: Column, size: Column, other: Column) -> Column:
@@ -340,8 +398,7 @@ def relations(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     partners = dealt.select("leader", "part", "node", F.lit(True).alias("partner"))
     heads = dealt.select("leader", "part", F.col("leader").alias("node"), F.lit(False).alias("partner")).distinct()
     rows = heads.unionByName(partners).join(sets, "node")
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartition(tasks, "leader", "part").sortWithinPartitions("leader", "part", "partner")
+    laid = rows.repartition(tasks_of(pairs), "leader", "part").sortWithinPartitions("leader", "part", "partner")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
@@ -370,12 +427,9 @@ def size_class(size: Column) -> Column:
 def unsettled(members: DataFrame) -> DataFrame:
     """group, node, size and label: the members of lists that hold several components, by the component of their leader.
 
-    ``members`` has token, node, size, n, label and home (the label of the leader). A list of two has had its only pair decided.
+    ``members`` is what ``labelled`` returns; a list of two has had its only pair decided.
     """
-    away = F.col("label") != F.col("home")
-    open_lists = members.where(away & (F.col("n") > 2)).select("token").distinct()
-    inside = members.join(open_lists, "token", "left_semi")
-    return inside.groupBy(F.col("home").alias("group"), "node").agg(F.first("size").alias("size"), F.first("label").alias("label"))
+    return members.groupBy(F.col("home").alias("group"), "node").agg(F.first("size").alias("size"), F.first("label").alias("label"))
 
 
 def tiles(grouped: DataFrame) -> DataFrame:
@@ -412,8 +466,7 @@ def live(laid: DataFrame, drawn: DataFrame) -> DataFrame:
     """group and node: the members that by their outlines may link with a member of another component, in the tiles of ``tiles``."""
     place = ["group", "k", "r", "c"]
     rows = laid.join(drawn, "node")
-    tasks = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(tasks, *place).sortWithinPartitions(*place, F.desc("away"))
+    ordered = rows.repartition(tasks_of(laid), *place).sortWithinPartitions(*place, F.desc("away"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, held, table, hit = None, [], None, set()
@@ -513,8 +566,7 @@ def settle(laid: DataFrame, sets: DataFrame, homes: DataFrame, shared: Broadcast
     derived = tied.where("leader is not null").select(
         *place, F.lit(2).alias("kind"), "node", "label", F.col("leader").alias("of"), "has", "lacks"
     )
-    tasks = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = full.unionByName(derived).repartition(tasks, *place).sortWithinPartitions(*place, "kind", "node")
+    ordered = full.unionByName(derived).repartition(tasks_of(laid), *place).sortWithinPartitions(*place, "kind", "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = Order(shared.value)
@@ -552,11 +604,14 @@ def settle(laid: DataFrame, sets: DataFrame, homes: DataFrame, shared: Broadcast
 
 
 def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The list members with label and home, the components so far of the node and of its leader."""
-    labels = found.select("node", "label")
-    homes = found.select(F.col("node").alias("head"), F.col("label").alias("home"))
-    both = members.withColumn("head", F.col("leader.node")).join(labels, "node", "left").join(homes, "head", "left")
-    return both.withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "head")}).drop("head")
+    """token, node, size, label and home of the lists of more than two: the components so far of the node and of its leader."""
+    open_lists = members.where("n > 2").select("token", "node", "size").join(found.select("node", "label"), "node", "left")
+    both = stored(open_lists.withColumn("label", F.coalesce("label", "node")))
+    # The leader of a list is its smallest node.
+    homes = both.groupBy("token").agg(
+        F.min(F.struct("node", "label"))["label"].alias("home"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    return both.join(homes.where("low < high").select("token", "home"), "token")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -564,8 +619,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = described(docs)
-    known = made.where("segment is null")
-    shared = share(docs, rarity(sketch(made.where("segment is not null"))))
+    known = made.where("range is null")
+    shared = share(docs, filters(repeated(made.where("range is not null"))))
     members = lists(docs, shared)
     drawn = outlines(known)
     pairs = stored(star(members, drawn))
@@ -576,7 +631,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct("shared", "leader")).alias("best")
     homes = tied.groupBy("node").agg(best).select("node", F.col("best.leader").alias("leader"))
     homes = stored(tied.join(homes, ["node", "leader"]).select("node", "leader", "lacks", "has"))
-    grouped = stored(unsettled(stored(labelled(members, found))))
+    grouped = stored(unsettled(labelled(members, found)))
     grouped = stored(grouped.join(live(tiles(grouped), drawn), ["group", "node"], "left_semi"))
     inside = stored(grouped.select("node").distinct())
     heads = homes.join(inside, "node", "left_semi").select(F.col("leader").alias("node"))

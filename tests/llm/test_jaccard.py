@@ -120,12 +120,12 @@ def test_sets_of_a_large_group_are_not_compared_in_pairs(spark):
     texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in rng.sample(range(400), 300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     made = jaccard_join.described(docs)
-    shared = jaccard_join.share(docs, jaccard_join.rarity(jaccard_join.sketch(made.where("segment is not null"))))
+    shared = jaccard_join.share(docs, jaccard_join.filters(jaccard_join.repeated(made.where("range is not null"))))
     members = jaccard_join.lists(docs, shared)
-    pairs = jaccard_join.star(members, jaccard_join.outlines(made.where("segment is null")))
+    pairs = jaccard_join.star(members, jaccard_join.outlines(made.where("range is null")))
     assert pairs.count() < 20 * 300
     nodes = members.select("node").distinct()
-    tied = jaccard_join.relations(pairs, jaccard_join.needed_sets(docs, made.where("segment is null"), nodes))
+    tied = jaccard_join.relations(pairs, jaccard_join.needed_sets(docs, made.where("range is null"), nodes))
     found = jaccard_join.components(tied, "node", "leader")
     assert jaccard_join.unsettled(jaccard_join.labelled(members, found)).isEmpty()
 
@@ -133,7 +133,7 @@ def test_sets_of_a_large_group_are_not_compared_in_pairs(spark):
 def test_answers_are_derived(spark):
     """Overlaps by relation equal those counted, and lists are left only where nothing can link."""
     rng = np.random.default_rng(5)
-    order = jaccard_join.Order(jaccard_join.zstandard.compress(np.zeros(2 * jaccard_join.COUNTERS, np.uint8).tobytes()))
+    order = jaccard_join.Order([])
     tokens = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
     sets = [np.sort(rng.choice(tokens, size, replace=False)) for size in rng.integers(1, 290, 200)]
     tile = jaccard_join.Tile([(bytes([i]), b"", s) for i, s in enumerate(sets)], order)
@@ -149,6 +149,25 @@ def test_answers_are_derived(spark):
             assert tile.met(order.of(s)[: jaccard_join.prefix(len(s))], len(s))
 
 
+def test_documents_are_counted_exactly(spark, monkeypatch):
+    """Shingles of several documents, by brute force, with parts of a few shingles only; all of them are in the filters."""
+    monkeypatch.setattr(jaccard_join, "PACKED", 500)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40)) + words[: rng.randint(0, 30)]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = jaccard_join.repeated(jaccard_join.described(docs).where("range is not null"))
+    counts = {}
+    for text in texts:
+        for h in jaccard_join.counted_bits(jaccard_join.shingles(text)).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    assert {r["bits"]: r["n"] for r in found.collect()} == {h: n for h, n in counts.items() if n > 1}
+    order = jaccard_join.Order(jaccard_join.share(docs, jaccard_join.filters(found)).value)
+    every = np.unique(np.concatenate([jaccard_join.shingles(t) for t in texts]))
+    wanted = [sum(counts[h] >= level for level in jaccard_join.LEVELS) for h in jaccard_join.counted_bits(every).tolist()]
+    assert (order.levels(every) >= wanted).all() and (order.levels(every) == wanted).mean() > 0.99
+
+
 def test_outlines_never_understate(spark):
     rng = np.random.default_rng(6)
     for _ in range(300):
