@@ -232,6 +232,41 @@ walk AS (
   FROM walk w JOIN acting a ON a.user_id = w.user_id AND a.turn = w.turn + 1)
 SELECT user_id, has_access, price_id, customer_id, trial_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn DESC) AS r FROM walk) WHERE r = 1"""
 
+# Whom a checkout acts on, then a replay per account; older accounts come first where several hold a customer id.
+_ACCOUNTS = f"""WITH RECURSIVE {with_views('billing_journal', 'users')[5:]}, {_FIRST_PLAN},
+priced AS (SELECT b.*, CASE WHEN f.tier IS NOT NULL THEN b.price_id END AS known_price, event_type = 'checkout.session.completed' AS is_checkout,
+  nullif(lower(trim(customer_email)), '') AS mail FROM v_billing_journal b LEFT JOIN first_plan f ON f.price_id = b.price_id),
+paid AS (SELECT p.*, coalesce(i.user_id, (SELECT min(u.user_id) FROM v_users u WHERE u.email = p.mail)) AS found
+  FROM priced p LEFT JOIN v_users i ON i.user_id = p.client_reference_id WHERE is_checkout AND known_price IS NOT NULL),
+bought AS (SELECT event_id, arrived_at, 'grant' AS effect, TRUE AS is_checkout, known_price, customer_id,
+   {{'fresh': found IS NULL, 'id': coalesce(found, 0), 'mail': CASE WHEN found IS NULL THEN mail ELSE '' END}} AS account FROM paid WHERE found IS NOT NULL OR mail IS NOT NULL),
+other AS (SELECT event_id, arrived_at, known_price, customer_id,
+   CASE WHEN event_type = 'customer.subscription.deleted' THEN 'revoke'
+     WHEN event_type = 'invoice.paid' THEN CASE WHEN known_price IS NOT NULL THEN 'grant' END
+     WHEN subscription_status IN ('active', 'trialing', 'past_due') THEN CASE WHEN known_price IS NOT NULL THEN 'grant' END
+     WHEN subscription_status IN ('canceled', 'incomplete_expired', 'unpaid') THEN 'revoke' ELSE 'touch' END AS effect
+  FROM priced WHERE NOT is_checkout AND customer_id IS NOT NULL),
+accounts AS (SELECT {{'fresh': FALSE, 'id': user_id, 'mail': ''}} AS account, user_id, email, has_access, price_id, customer_id, trial_status FROM v_users
+  UNION ALL SELECT DISTINCT account, CAST(NULL AS BIGINT), account.mail, CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'not_started' FROM bought WHERE account.fresh),
+held AS (SELECT account, customer_id, TIMESTAMP '1900-01-01' AS since, CAST(-1 AS BIGINT) AS since_id FROM accounts WHERE customer_id IS NOT NULL
+  UNION ALL SELECT account, customer_id, arrived_at, event_id FROM bought WHERE customer_id IS NOT NULL),
+spans AS (SELECT *, lead(since) OVER w AS till, lead(since_id) OVER w AS till_id FROM held WINDOW w AS (PARTITION BY account ORDER BY since, since_id)),
+acts AS (SELECT * FROM bought UNION ALL BY NAME
+  SELECT o.event_id, o.arrived_at, o.effect, FALSE AS is_checkout, o.known_price, o.customer_id, min(s.account) AS account FROM other o JOIN spans s ON s.customer_id = o.customer_id
+    AND (o.arrived_at > since OR (o.arrived_at = since AND o.event_id > since_id)) AND (till IS NULL OR o.arrived_at < till OR (o.arrived_at = till AND o.event_id < till_id))
+  WHERE o.effect IS NOT NULL GROUP BY ALL),
+acting AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY arrived_at, event_id) AS turn FROM acts),
+walk AS (
+  SELECT account, user_id, email, CAST(0 AS BIGINT) AS turn, has_access, price_id, customer_id, trial_status FROM accounts
+  UNION ALL
+  SELECT w.account, w.user_id, w.email, a.turn,
+    CASE effect WHEN 'grant' THEN TRUE WHEN 'revoke' THEN FALSE ELSE w.has_access END,
+    CASE effect WHEN 'grant' THEN known_price WHEN 'revoke' THEN NULL ELSE coalesce(known_price, w.price_id) END,
+    CASE WHEN is_checkout THEN coalesce(a.customer_id, w.customer_id) ELSE w.customer_id END,
+    CASE WHEN effect = 'grant' AND w.trial_status = 'active' THEN 'converted' ELSE w.trial_status END
+  FROM walk w JOIN acting a ON a.account = w.account AND a.turn = w.turn + 1)
+SELECT user_id, email, has_access, price_id, customer_id, trial_status FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY turn DESC) AS r FROM walk) WHERE r = 1"""
+
 _DELIVERIES = f"""WITH RECURSIVE {with_views('billing_events')[5:]},
 d AS MATERIALIZED (SELECT event_id * 3 + copy AS delivery_id, event_id, arrived_at + to_seconds(CASE copy WHEN 1 THEN 120 WHEN 2 THEN 600 ELSE 0 END) AS arrived_at, (event_id + copy) % 3 AS turn,
    row_number() OVER (PARTITION BY event_id ORDER BY copy) AS n
@@ -350,6 +385,7 @@ RECORD_SQL = {
  SELECT u.user_id, coalesce(c.currency, 'GBP') AS currency, coalesce(c.billing_period, 'custom') AS billing_period, coalesce(n.notes, CASE WHEN u.user_id IN (SELECT user_id FROM v_users) THEN 'kept' END) AS notes, coalesce(c.plan_count, 0) AS plan_count
  FROM (SELECT user_id FROM v_users UNION SELECT user_id FROM l) u LEFT JOIN l USING (user_id) LEFT JOIN checked c ON c.change_id = l.change_id LEFT JOIN n ON n.user_id = u.user_id""",
     "billing_state": _BILLING,
+    "billing_accounts": _ACCOUNTS,
     "billing_effects": f"{_EFFECTS} SELECT event_type, effect, count(*) AS events, count(known_price) AS with_price FROM effects GROUP BY 1, 2",
     "checkout_matching": f"""{with_views('users')}, c AS (SELECT o_orderkey AS checkout_id, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN o_custkey ELSE o_custkey + 1000000 END AS ref,
    CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'u' || o_custkey || '@example.com' ELSE 'new' || o_custkey || '@example.com' END AS mail FROM orders)
@@ -359,9 +395,9 @@ RECORD_SQL = {
   CASE o_orderkey % 3 WHEN 0 THEN 'price_pro' WHEN 1 THEN 'price_unknown' ELSE 'price_starter' END AS price, CASE WHEN o_orderkey % 7 <> 0 THEN 'cus_n' || o_custkey END AS cus
   FROM orders WHERE o_orderkey % 4 > 0 AND NOT (o_orderkey % 3 = 1 AND o_custkey IN (SELECT user_id FROM v_users))
    AND NOT (o_orderkey % 3 = 2 AND o_custkey + 1000000 IN (SELECT user_id FROM v_users))),
- n AS (SELECT c.*, tier IS NOT NULL AS paid FROM c LEFT JOIN first_plan ON price_id = price WHERE email NOT IN (SELECT email FROM v_users WHERE email IS NOT NULL))
- SELECT email, min(id) AS first_checkout_id, max_by(price, id) FILTER (paid) AS price_id, max_by(cus, id) FILTER (paid AND cus IS NOT NULL) AS customer_id,
-  bool_or(paid) AS has_access, count(*) AS checkouts, 'not_started' AS trial_status FROM n GROUP BY email""",
+ n AS (SELECT c.* FROM c JOIN first_plan ON price_id = price WHERE email NOT IN (SELECT email FROM v_users WHERE email IS NOT NULL))
+ SELECT email, min(id) AS first_checkout_id, max_by(price, id) AS price_id, max_by(cus, id) FILTER (cus IS NOT NULL) AS customer_id,
+  TRUE AS has_access, count(*) AS checkouts, 'not_started' AS trial_status FROM n GROUP BY email""",
     "event_delivery": _DELIVERIES,
     "rate_limit": _LIMITS,
     "audit_log": f"{with_views('audit_input')}, map AS (SELECT * FROM (VALUES {_AUDIT_VALUES}) m(event_type, actor_type, resource_type, status)) SELECT event_id, user_id, actor_type, event_type AS action, resource_type, coalesce(CAST(company_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS resource_id, status FROM v_audit_input JOIN map USING (event_type)",

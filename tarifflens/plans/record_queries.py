@@ -556,6 +556,12 @@ def billing_state(spark: SparkSession, folder: str) -> DataFrame:
     return states.select("user_id", "has_access", "price_id", "customer_id", "trial_status")
 
 
+def billing_accounts(spark: SparkSession, folder: str) -> DataFrame:
+    """All accounts after a journal whose checkouts also find accounts by e-mail and create new ones."""
+    states = billing.account_states(_view(spark, folder, "users"), _view(spark, folder, "billing_journal"), PLANS)
+    return states.select("user_id", "email", "has_access", "price_id", "customer_id", "trial_status")
+
+
 def billing_effects(spark: SparkSession, folder: str) -> DataFrame:
     effects = billing.with_event_effect(_view(spark, folder, "billing_events"), PLANS)
     return effects.groupBy("event_type", "effect").agg(
@@ -686,7 +692,7 @@ RECORD_QUERIES = {
         feed_page, feed_next_page, feed_strict, feed_cursors, overview, comparison, comparison_buckets, public_users, company_listing,
         digest_rows, digest_text, digest_funnel,
         company_intake, primary_selection, price_list_checks, price_list_upsert,
-        billing_state, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit, request_budgets,
+        billing_state, billing_accounts, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit, request_budgets,
         audit_log, audit_clean, catalog_related, catalog_categories, catalog_latest, catalog_by_author,
     )
 }

@@ -130,6 +130,18 @@ VIEWS: dict[str, tuple[str, bool, str | None, dict[str, str]]] = {
         # Some events carry no customer id, some the id of another user, some one that nobody has.
         "customer_id": "case when event_id % 11 = 10 then null when event_id % 13 = 5 then concat('cus_', cast(user_id + 1 as string)) when event_id % 17 = 3 then 'cus_none' else concat('cus_', cast(user_id as string)) end",
     }),
+    # The same kind of journal as it comes in: checkouts name a user, an e-mail (known or not), both or nothing.
+    "billing_journal": ("events", False, None, {
+        "event_id": "event_id",
+        "arrived_at": "ts",
+        "client_reference_id": "case user_id % 5 when 0 then user_id when 1 then null when 2 then user_id + 1000000 when 3 then null else user_id end",
+        "customer_email": "case when event_id % 23 = 7 then '  ' when user_id % 5 = 1 then concat(' U', cast(user_id as string), '@Example.com ') when user_id % 5 = 2 then concat('New', cast(user_id % 40 as string), '@example.com') when user_id % 5 = 3 and event_id % 2 = 0 then concat('new', cast(user_id % 40 as string), '@example.com') end",
+        "event_type": "case event_type when 'signup' then 'checkout.session.completed' when 'purchase' then 'invoice.paid' when 'error' then 'customer.subscription.deleted' when 'click' then 'customer.subscription.updated' else 'checkout.session.completed' end",
+        "subscription_status": "case event_id % 7 when 0 then 'active' when 1 then 'trialing' when 2 then 'past_due' when 3 then 'canceled' when 4 then 'unpaid' when 5 then 'incomplete' else 'paused' end",
+        "price_id": "case event_id % 5 when 0 then 'price_pro' when 1 then null when 2 then 'price_unknown' else 'price_starter' end",
+        # Ids are brought again and again, change hands, are shared by several accounts and come back.
+        "customer_id": "case when event_id % 11 = 10 then null when event_id % 13 = 5 then concat('cus_', cast(user_id + 1 as string)) when event_id % 17 = 3 then 'cus_none' when user_id % 5 in (2, 3) then concat('cus_new', cast(user_id % 40 as string)) else concat('cus_', cast(user_id as string)) end",
+    }),
     "requests": ("events", False, None, {
         "request_id": "event_id",
         "key": "user_id",

@@ -1,12 +1,14 @@
 """Hand-made cases for the quirks of the rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tarifflens.functions import numbers, prices, text, urls
 from tarifflens.functions.cursor import decode_cursor, encode_cursor
 from tarifflens import policies as P
-from tarifflens.operators import audit, billing, crawl, delivery, diffing, discovery, entitlements, intake
+from tarifflens.operators import audit, billing, crawl, delivery, diffing, discovery, entitlements, intake, intervals
 
 MENTIONS = [
     ("$49 per member", [(49.0, "USD", "month")]),
@@ -207,3 +209,119 @@ def test_fixed_values():
     assert P.REQUEST_BUDGETS["trial-start"] == (3, 60) and P.REQUEST_BUDGETS["company-create"] == (10, 60)
     assert [w for _, w in P.PATH_PLUS] == [0.85, 0.78, 0.52, 0.35]
     assert [w for _, w in P.TEXT_PLUS] == [0.42, 0.38, 0.26, 0.22, 0.20, 0.14]
+
+
+def replayed(users, events):
+    """Accounts after the events, one by one, as the webhook handles them: the oldest account that holds an id acts."""
+    accounts = [dict(zip(("user_id", "email", "customer_id", "access", "price"), u)) for u in users]
+    for event_id, _, ref, mail, kind, price, customer in sorted(events, key=lambda e: (e[1], e[0])):
+        known = price in ("price_pro", "price_starter")
+        mail = (mail or "").strip().lower() or None
+        if kind == CHECKOUT:
+            if not known:
+                continue
+            account = next((a for a in accounts if ref is not None and a["user_id"] == ref), None)
+            account = account or next((a for a in accounts if mail and a["email"] == mail), None)
+            if account is None:
+                if mail is None:
+                    continue
+                account = {"user_id": None, "email": mail, "customer_id": None}
+                accounts.append(account)
+            account.update(access=True, price=price, customer_id=customer or account["customer_id"])
+            continue
+        holding = [a for a in accounts if customer is not None and a["customer_id"] == customer]
+        if not holding or (kind == PAID and not known):
+            continue
+        account = min(holding, key=lambda a: (a["user_id"] is None, a["user_id"] or 0, a["email"] or ""))
+        account.update(access=kind == PAID, price=price if kind == PAID else None)
+    return sorted(repr((a["user_id"], a["email"], a["access"], a["price"], a["customer_id"])) for a in accounts)
+
+
+JOURNAL = (
+    "event_id long, arrived_at string, client_reference_id long, customer_email string, event_type string, "
+    "price_id string, customer_id string, subscription_status string"
+)
+
+
+def journal_states(spark, users, events):
+    given = spark.createDataFrame([(*e, None) for e in events], JOURNAL).withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz"))
+    schema = "user_id long, email string, customer_id string, has_access boolean, price_id string, trial_status string"
+    frame = spark.createDataFrame([(*u, "none") for u in users], schema)
+    return frame, given, billing.account_states(frame, given, PLANS)
+
+
+def test_a_new_customer_pays_and_leaves(spark):
+    """A checkout of an unknown e-mail makes an account, and what follows under its customer id acts on it."""
+    events = [
+        (1, "2024-01-01 00:00:00", None, " New@Example.com", CHECKOUT, "price_pro", "cus_9"),
+        (2, "2024-01-02 00:00:00", None, None, PAID, "price_starter", "cus_9"),
+        (3, "2024-01-03 00:00:00", None, None, DELETED, None, "cus_9"),
+        (4, "2024-01-04 00:00:00", None, "seven@example.com", CHECKOUT, "price_pro", "cus_7"),
+        (5, "2024-01-05 00:00:00", None, "ghost@example.com", CHECKOUT, "price_unknown", "cus_8"),
+    ]
+    users = [(7, "seven@example.com", None, False, None)]
+    states = journal_states(spark, users, events)[2].collect()
+    found = {(r.user_id, r.email): (r.has_access, r.price_id, r.customer_id) for r in states}
+    assert found == {
+        (7, "seven@example.com"): (True, "price_pro", "cus_7"),
+        (None, "new@example.com"): (False, None, "cus_9"),
+    }
+
+
+@pytest.mark.parametrize("folded", [512, 3])
+def test_accounts_equal_a_replay(spark, monkeypatch, folded):
+    """Ids that change hands, are shared, come back and are brought again, by users and by accounts of the same run."""
+    monkeypatch.setattr(billing, "FOLDED", folded)
+    rng = random.Random(3)
+    users = [(i, f"u{i}@x.com" if i % 3 else None, f"cus_{i % 4}" if i % 2 else None, False, None) for i in range(8)]
+    events = []
+    for event_id in range(600):
+        at = f"2024-0{rng.randint(1, 3)}-{rng.randint(1, 9):02} {rng.randint(0, 23):02}:00:00"
+        ref = rng.choice([None, rng.randrange(12)])
+        mail = rng.choice([None, " ", f"U{rng.randrange(8)}@x.com", f"new{rng.randrange(4)}@x.com"])
+        kind = rng.choice([CHECKOUT, PAID, DELETED])
+        price = rng.choice(["price_pro", "price_starter", None, "price_gone"])
+        events.append((event_id, at, ref, mail, kind, price, rng.choice([None, *(f"cus_{k}" for k in range(6))])))
+    frame, given, states = journal_states(spark, users, events)
+    wanted = replayed(users, events)
+    shown = ("user_id", "email", "has_access", "price_id", "customer_id")
+    assert sorted(repr(tuple(r[c] for c in shown)) for r in states.collect()) == wanted
+    # In two runs, the second of which meets the accounts of the first.
+    times = sorted((e[1], e[0]) for e in events)[:300]
+    first = [e for e in events if (e[1], e[0]) in set(times)]
+    rest = [e for e in events if (e[1], e[0]) not in set(times)]
+    middle = journal_states(spark, users, first)[2]
+    given = journal_states(spark, users, rest)[1]
+    final = billing.account_states(middle, given, PLANS)
+    assert sorted(repr(tuple(r[c] for c in shown)) for r in final.collect()) == wanted
+
+
+def test_a_busy_customer_id_stays_linear(spark):
+    """As many rows as events and changes: for one user's checkouts, and for one id that many users bring."""
+    def sizes(count, owners):
+        users = [(i, None, None, False, None) for i in range(owners)]
+        at = lambda k: f"2024-01-01 {k // 3600:02}:{k // 60 % 60:02}:{k % 60:02}"
+        events = [(2 * k, at(k), k % owners, None, CHECKOUT, "price_pro", "cus_hot") for k in range(count)]
+        events += [(2 * k + 1, at(k), None, None, PAID, "price_pro", "cus_hot") for k in range(count)]
+        frame, given, _ = journal_states(spark, users, events)
+        acting = billing.with_event_effect(given, PLANS)
+        bought = billing.checkout_accounts(acting.where("is_checkout"), frame)
+        named = frame.withColumn("account", billing._account(F.col("user_id"), F.col("email")))
+        changes = billing.holder_changes(named, bought)
+        held = billing.with_holder(acting.where("not is_checkout"), named, bought)
+        return changes.count(), billing.holder_rows(changes).count(), held.count()
+
+    assert sizes(300, 1) == (1, 1, 300)
+    assert sizes(300, 300) == (300, 300, 300)
+
+
+def test_least_cover_equals_brute_force(spark):
+    rng = random.Random(4)
+    spans = [(rng.choice("ab"), low := rng.randint(1, 200), rng.choice([low, rng.randint(low, 220), intervals.NEVER]), v) for v in range(150)]
+    points = [(key, at) for key in "abc" for at in range(1, 221)]
+    found = intervals.with_least_cover(
+        spark.createDataFrame(points, "k string, at long"),
+        spark.createDataFrame(spans, "k string, low long, high long, v long"), ["k"], "at", "v", into="least",
+    )
+    wanted = {(k, at): min((v for s, low, high, v in spans if s == k and low <= at < high), default=None) for k, at in points}
+    assert {(r.k, r.at): r.least for r in found.collect()} == wanted
