@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tarifflens.operators import ratelimit
 from tarifflens.operators.claims import NEVER, mark_claims
 from tarifflens.operators.history import carry_forward, running_total, with_previous
 from tarifflens.functions.columns import floor_div
@@ -34,6 +35,45 @@ def test_claims_equal_replay(spark):
         assert found == expected
 
 
+def test_limits_of_a_busy_key(spark, monkeypatch):
+    """A key with a third of all rows in one window, one spread over many, one without a name: as a plain replay has it."""
+    monkeypatch.setattr(ratelimit, "FOLDED", 100)
+    rng = random.Random(9)
+    second = 1_000_000
+    data = [("hot", rng.randrange(600 * second)) for _ in range(1000)]
+    data += [("long", rng.randrange(200_000 * second)) for _ in range(1200)] + [("hot", 605 * second), ("hot", 90_000 * second)]
+    data += [(rng.choice([None, "a", "b"]), rng.randrange(5_000) * second) for _ in range(250)]
+    rows = [(i, key, at) for i, (key, at) in enumerate(data)]
+    window, most = 600, 3
+    expected, state = {}, {}
+    for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        opened, used = state.get(key, (None, 0))
+        if opened is None or at >= opened + window * second:
+            opened, used = at, 0
+        used += 1
+        state[key] = opened, used
+        expected[i] = (opened, used <= most, max(0, most - used))
+    df = spark.createDataFrame(rows, "request_id long, key string, at long")
+    decided = ratelimit.limit_requests(df.withColumn("ts", F.timestamp_micros("at")), most, window)
+    found = {r.request_id: (r.opened, r.allowed, r.remaining) for r in decided.withColumn("opened", ratelimit.micros("window_started_at")).collect()}
+    assert found == expected
+
+
+def test_no_task_gets_a_busy_key(spark):
+    """All that a task is given at once of a key with a third of all rows in one window is below a twentieth of the rows."""
+    rng = random.Random(10)
+    total = 30_000
+    at = [rng.randrange(86_400_000_000) if i % 3 else 10**9 + int(10**6 * rng.random() ** 4) for i in range(total)]
+    rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 900}", t) for i, t in enumerate(at)], "key string, at long").distinct()
+    busy = rows.where("key = 'hot'")
+    slices = ratelimit.sliced(busy.unionByName(busy.withColumn("at", F.col("at") + 60_000_000)))
+    assert max(r["count"] for r in slices.groupBy("key", "slice").count().collect()) < total / 20
+    assert slices.select("slice").distinct().count() <= ratelimit.SLICES
+    # Pointers meet on key and instant: no value of both comes twice on the side that answers.
+    found = ratelimit.successors(busy, 60_000_000)
+    assert found.groupBy("key", "at").count().where("count > 1").isEmpty() and found.count() == busy.count()
+
+
 def test_sliced_order_equals_plain_order(spark):
     rng = random.Random(7)
     data = [("hot" if i % 3 else "cold", i, rng.choice([None, rng.randrange(9)]), 1) for i in range(900)]
