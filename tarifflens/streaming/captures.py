@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from tarifflens.operators.changes import SNAPSHOT_FIELDS, detect_changes
 from tarifflens.operators.extraction import extract_pricing
 from tarifflens.operators.history import newest
-from tarifflens.streaming.versions import VersionedTable, write_batch
+from tarifflens.streaming.versions import BUCKETS, BucketedTable, write_batch
 
 
 def watch_captures(
@@ -21,29 +21,34 @@ def watch_captures(
     checkpoint: str,
     files_per_trigger: int = 100,
     every: str | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Snapshots and diffs from a folder of capture files.
 
     Without ``every`` the stream drains what is there and stops; with it (say ``15 minutes``) it keeps
-    running.  Each micro-batch uses the batch operators against the newest snapshot per company,
-    a table of one row per company that is rewritten under the batch number.  All outputs are
-    written under the batch number too, so a batch that is repeated after a failure replaces
-    itself.
+    running.  Each micro-batch uses the batch operators against the newest snapshot per company: one row per company, in
+    hash buckets, of which a batch reads and writes those of its own companies.  All outputs are written under the batch
+    number, so a batch that is repeated after a failure replaces itself.
     """
-    latest = VersionedTable(spark, f"{target}/latest")
+    tables: list[BucketedTable] = []
+
+    def latest(fields: StructType) -> BucketedTable:
+        if not tables:
+            tables.append(BucketedTable(spark, f"{target}/latest", fields, F.col("company_id"), buckets))
+        return tables[0]
 
     def step(batch: DataFrame, number: int) -> None:
-        known = latest.before(number)
         # The extraction is read by three outputs; it is written once and then read back.
         extracted = extract_pricing(batch).select("status", *SNAPSHOT_FIELDS)
         facts = spark.read.parquet(write_batch(extracted, f"{target}/captures", number))
+        table = latest(StructType([facts.schema[c] for c in SNAPSHOT_FIELDS]))
+        touched = [r["bucket"] for r in facts.select(table.bucket.alias("bucket")).distinct().collect()]
+        known = table.before(number, touched)
         snapshots, diffs = detect_changes(facts, known)
         stored = spark.read.parquet(write_batch(snapshots, f"{target}/snapshots", number))
         write_batch(diffs, f"{target}/diffs", number)
-        everything = stored if known is None else stored.unionByName(known)
-        latest.store(
-            newest(everything, ["company_id"], [F.desc("captured_at"), F.desc("snapshot_id")]), number
-        )
+        newer = newest(stored.unionByName(known), ["company_id"], [F.desc("captured_at"), F.desc("snapshot_id")])
+        table.replace(newer, touched, number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -11,7 +11,7 @@ from tarifflens.operators.delivery import handle_deliveries
 from tarifflens.plans import record_queries as R
 from tarifflens.sources.fixtures import view
 from tarifflens.streaming import stateful
-from tarifflens.streaming.accounts import fold_billing_events
+from tarifflens.streaming.accounts import AccountTable, fold_billing_events
 from tarifflens.streaming.captures import watch_captures
 from tests.conftest import SMALL
 
@@ -70,16 +70,60 @@ def test_delivery_stream(spark, tmp_path):
     assert rows(streamed, *columns) == rows(handle_deliveries(deliveries), *columns)
 
 
+ACCOUNT_COLUMNS = ["user_id", "email", "has_access", "price_id", "customer_id", "trial_status"]
+
+
+def written_files(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*.parquet")}
+
+
 def test_account_stream(spark, tmp_path):
-    users, events, plans = view(spark, SMALL, "users"), view(spark, SMALL, "billing_events"), R.PLANS
-    schema = in_files(events, "arrived_at", str(tmp_path / "in"), 4)
+    """In arrival order, with accounts that one batch creates and a later one finds."""
+    users, events, plans = view(spark, SMALL, "users"), view(spark, SMALL, "billing_journal"), R.PLANS
+    schema = in_files(events, "arrived_at", str(tmp_path / "in"), 3)
     fold_billing_events(
-        spark, str(tmp_path / "in"), schema, users, plans, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=1
+        spark, str(tmp_path / "in"), schema, users, plans, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=1, buckets=8
     ).awaitTermination()
-    last = max(tmp_path.joinpath("out").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
-    assert last.name == "batch=3"
-    columns = ["user_id", "has_access", "price_id", "customer_id", "trial_status"]
-    assert rows(spark.read.parquet(str(last)), *columns) == rows(account_states(users, events, plans), *columns)
+    found = AccountTable(spark, str(tmp_path / "out"), users, plans, 8).latest()
+    assert rows(found, *ACCOUNT_COLUMNS) == rows(account_states(users, events, plans), *ACCOUNT_COLUMNS)
+
+
+def test_account_batches_out_of_order(spark, tmp_path):
+    """Three batches in the wrong order give the answer of all events; one that is repeated changes nothing."""
+    users, events, plans = view(spark, SMALL, "users"), view(spark, SMALL, "billing_journal"), R.PLANS
+    ranked = events.withColumn("_part", F.ntile(3).over(Window.orderBy("arrived_at")))
+    accounts = AccountTable(spark, str(tmp_path / "out"), users, plans, 8)
+    for number, part in enumerate((2, 1, 3)):
+        accounts.step(ranked.where(F.col("_part") == part).drop("_part"), number)
+    wanted = rows(account_states(users, events, plans), *ACCOUNT_COLUMNS)
+    assert rows(accounts.latest(), *ACCOUNT_COLUMNS) == wanted
+    accounts.step(ranked.where("_part = 3").drop("_part"), 2)
+    assert rows(accounts.latest(), *ACCOUNT_COLUMNS) == wanted
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    users, plans = view(spark, SMALL, "users"), R.PLANS
+    events = view(spark, SMALL, "billing_journal").where("client_reference_id is not null")
+    accounts = AccountTable(spark, str(tmp_path / "out"), users, plans, 64)
+    accounts.step(events.where("event_id % 2 = 0"), 0)
+    later = F.col("arrived_at") + F.expr("interval 9 years")
+    one = users.where("user_id = 5").selectExpr("user_id as client_reference_id").crossJoin(
+        events.where("event_type = 'checkout.session.completed' and price_id = 'price_pro'").limit(1).drop("client_reference_id")
+    )
+    one = one.withColumns({"arrived_at": later, "customer_email": F.lit(None).cast("string"), "customer_id": F.lit("cus_own")}).select(*events.columns)
+    accounts.step(one, 1)
+    data = tmp_path / "out/accounts/data"
+    assert len(list(data.glob("batch=1/hash_bucket=*"))) == 1 and len(list(data.glob("batch=0/hash_bucket=*"))) > 30
+    row = accounts.latest().where("user_id = 5").collect()
+    assert len(row) == 1 and row[0]["customer_id"] == "cus_own" and row[0]["has_access"]
+    assert accounts.latest().count() == account_states(users, events.where("event_id % 2 = 0"), plans).count()
+    # What the batch would start from again is kept, anything older goes.
+    before = written_files(data)
+    accounts.step(one, 1)
+    assert written_files(data).keys() >= {k for k in before if k.startswith("batch=0")}
+    accounts.step(one.withColumn("arrived_at", later), 2)
+    accounts.step(one.withColumn("arrived_at", later + F.expr("interval 1 day")), 3)
+    assert not list(data.glob("batch=1/hash_bucket=*")) and sorted(p.name for p in (tmp_path / "out/accounts/lists").iterdir()) == ["batch=2", "batch=3"]
 
 
 def test_capture_stream(spark, tmp_path):
