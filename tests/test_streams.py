@@ -1,5 +1,8 @@
 """Streams give the answers of their batch twins."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tarifflens.sources.fixtures import view
 from tarifflens.streaming import stateful
 from tarifflens.streaming.accounts import AccountTable, fold_billing_events
 from tarifflens.streaming.captures import watch_captures
+from tarifflens.streaming.changes import ChangeHistory, current_diffs, current_snapshots, watch_changes
 from tests.conftest import SMALL
 
 
@@ -70,6 +74,31 @@ def test_delivery_stream(spark, tmp_path):
     assert rows(streamed, *columns) == rows(handle_deliveries(deliveries), *columns)
 
 
+def test_delivery_stream_with_a_retention(spark, tmp_path):
+    """Deliveries in the wrong order across batches are decided in order, and the state is empty in the end."""
+    stateful.use_rocksdb(spark)
+    deliveries = R._deliveries(spark, SMALL).withColumn("at", micros("arrived_at")).withColumn("done", micros("finished_at"))
+    timed = deliveries.withColumn("ts", F.timestamp_micros("at"))
+    hours = (F.col("at") / 3_600_000_000).cast("long")
+    # Within an hour, the later ones come first; a delivery long after all others moves the watermark to the end.
+    last = timed.agg(F.max("at")).first()[0] + 40 * 86_400_000_000
+    end = spark.createDataFrame([(last + 3_600_000_000 * k, -k) for k in (1, 30)], "at long, delivery_id long").select(
+        "delivery_id", F.col("delivery_id").alias("event_id"), "at", F.lit("processed").alias("result"), F.lit(None).cast("long").alias("done"),
+        F.timestamp_micros("at").alias("ts"),
+    )
+    told = timed.select(*end.columns).withColumn("turn", hours * 10**10 - F.col("at") % 3_600_000_000)
+    told = told.unionByName(end.withColumn("turn", F.lit(10**18) + F.col("at")))
+    schema = in_files(told, "turn", str(tmp_path / "in"), 5)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stateful.delivery_stream(source, late_by="2 hours", retain_seconds=30 * 86400)
+    query = stream.writeStream.format("memory").queryName("kept_deliveries").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    columns = ["delivery_id", "action", "reason", "attempt"]
+    assert rows(spark.table("kept_deliveries").where("event_id >= 0"), *columns) == rows(handle_deliveries(deliveries), *columns)
+    assert query.lastProgress.stateOperators[0].numRowsTotal < 20
+    query.stop()
+
+
 ACCOUNT_COLUMNS = ["user_id", "email", "has_access", "price_id", "customer_id", "trial_status"]
 
 
@@ -144,3 +173,56 @@ def test_capture_stream(spark, tmp_path):
     columns = ["current_snapshot_id", "previous_snapshot_id", "severity", "verification_state"]
     streamed = rows(spark.read.parquet(str(tmp_path / "out/diffs")), *columns)
     assert streamed == rows(diffs, *columns) and streamed
+
+
+def test_change_stream_with_late_files(spark, tmp_path):
+    """Days come in the wrong order, with the same hash and with other ones in between; the answer is that of all captures."""
+    days = [("captures", 3), ("old_captures", 1), ("old_captures", 5), ("captures", 2), ("old_captures", 4), ("old_captures", 2)]
+    frames = []
+    for turn, (name, day) in enumerate(days):
+        part = view(spark, SMALL, name).withColumn("captured_at", F.expr(f"timestamp_ntz'2001-08-0{day} 00:00:00' + interval {turn} minutes"))
+        frames.append(part.withColumn("snapshot_id", F.format_string("%s-%s-%s", "company_id", F.lit(day), F.lit(turn))).withColumn("turn", F.lit(turn)))
+    captures = frames[0]
+    for part in frames[1:]:
+        captures = captures.unionByName(part)
+    schema = in_files(captures, "turn", str(tmp_path / "in"), 6)
+    watch_changes(
+        spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=1
+    ).awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "out"))
+    extracted = extract_pricing(captures)
+    snapshots, diffs = detect_changes(extracted)
+    assert rows(current_snapshots(told), "snapshot_id") == rows(snapshots, "snapshot_id")
+    columns = ["current_snapshot_id", "previous_snapshot_id", "detected_at", "severity", "verification_state", "normalized_diff"]
+    found = current_diffs(told, extracted.schema["payload"].dataType.simpleString())
+    assert rows(found, *columns) == rows(diffs, *columns) and rows(diffs, *columns)
+    assert not told.where("action = 'drop'").isEmpty()
+
+
+def test_change_history_forgets_what_is_settled():
+    """With a horizon, the captures kept are those after the newest settled snapshot, and answers stay the same."""
+    class State:
+        rows: list = []
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    def told(late):
+        history, out = ChangeHistory(late), {}
+        history.state = State()
+        rng = random.Random(1)
+        most = 0
+        for turn in range(200):
+            at = max(0, turn * 10 - rng.choice([0, 0, 0, 35]))
+            batch = pd.DataFrame([(at, f"s{turn}", rng.choice("ab"), "{}", True)], columns=["at", "snapshot_id", "content_hash", "payload", "is_verified"])
+            for change in history.handleInputRows((1,), iter([batch]), None):
+                for row in change.itertuples():
+                    out[row.snapshot_id] = (row.action, row.previous_snapshot_id)
+            most = max(most, len(history.state.rows))
+        return out, most
+
+    whole, all_kept = told(None)
+    short, kept = told(60)
+    assert short == whole and all_kept == 200 and kept < 25
