@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import lookup
+from tarifflens.functions.columns import bind, lookup
 
 ACTORS = ("user", "system", "stripe_webhook", "cron")
 STATUSES = ("success", "failure", "rejected")
@@ -53,41 +48,58 @@ def accepted_and_rejected(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(is_valid_event()), events.where(~is_valid_event())
 
 
-def _clean(value: object, depth: int) -> object:
-    if isinstance(value, str):
-        limit = P.AUDIT_TEXT_LIMIT
-        return value if len(value) <= limit else value[: limit - 3] + "..."
-    if isinstance(value, list):
-        return [] if depth >= P.AUDIT_DEPTH_LIMIT else [_clean(v, depth + 1) for v in value[: P.AUDIT_KEY_LIMIT]]
-    if isinstance(value, dict):
-        if depth >= P.AUDIT_DEPTH_LIMIT:
-            return {}
-        return {k: _clean(v, depth + 1) for k, v in list(value.items())[: P.AUDIT_KEY_LIMIT]}
-    return value
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    packed = F.to_json(F.array(text))
+    return F.substring(packed, F.lit(2), F.length(packed) - 2)
+
+
+def _shortened(text: Column) -> Column:
+    limit = P.AUDIT_TEXT_LIMIT
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
+
+
+def _value(text: Column, typed: Column, depth: int) -> Column:
+    """A value as bounded JSON: ``text`` is a string as it is and anything else as JSON, ``typed`` tells which it is."""
+    is_text = F.schema_of_variant(typed) == "STRING"
+    opened = depth < P.AUDIT_DEPTH_LIMIT
+    return (
+        F.when(text.isNull(), F.lit("null"))
+        .when(is_text, _quoted(_shortened(text)))
+        .when(text.startswith("{"), _object(text, depth + 1) if opened else F.lit("{}"))
+        .when(text.startswith("["), _list(text, depth + 1) if opened else F.lit("[]"))
+        .otherwise(text)
+    )
+
+
+def _list(text: Column, depth: int) -> Column:
+    first = lambda kind: F.slice(F.from_json(text, f"array<{kind}>"), 1, P.AUDIT_KEY_LIMIT)
+    each = F.zip_with(first("string"), first("variant"), lambda t, v: _value(t, v, depth))
+    return F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
+
+
+def _object(text: Column, depth: int) -> Column:
+    """An object with its first keys in the order of the text; of a key that is repeated the last value counts."""
+    sides = F.struct(F.from_json(text, "map<string,string>").alias("text"), F.from_json(text, "map<string,variant>").alias("typed"))
 
+    def parts(both: Column) -> Column:
+        keys = F.map_keys(both["text"])
+        back, values, typed = F.reverse(keys), F.reverse(F.map_values(both["text"])), F.reverse(F.map_values(both["typed"]))
 
-def cleaned(text: str | None) -> str:
-    """One metadata object within its bounds, in compact layout; anything else becomes an empty object."""
-    try:
-        value = json.loads(text or "{}")
-    except ValueError:
-        return "{}"
-    if not isinstance(value, dict):
-        return "{}"
-    kept = {k: _clean(v, 0) for k, v in list(value.items())[: P.AUDIT_KEY_LIMIT]}
-    return json.dumps(kept, ensure_ascii=False, separators=(",", ":"))
+        def entry(key: Column) -> Column:
+            at = (F.array_position(back, key) - 1).cast("int")
+            return F.concat(_quoted(key), F.lit(":"), _value(F.get(values, at), F.get(typed, at), depth))
 
+        return F.transform(F.slice(F.array_distinct(keys), 1, P.AUDIT_KEY_LIMIT), entry)
 
-@F.pandas_udf(T.StringType())
-def _cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(cleaned)
+    return F.coalesce(bind(sides, lambda both: F.concat(F.lit("{"), F.array_join(parts(both), ","), F.lit("}"))), F.lit("{}"))
 
 
 def clean_metadata(events: DataFrame, column: str = "metadata") -> DataFrame:
     """Bound the size of metadata (X24): keys, text length, list length, depth.
 
-    The first keys are kept in the order of the text, which Spark's variants do not keep, so this is a small Python
-    helper over Arrow batches.  All rows take the same way and get the same layout.
+    Whatever is no JSON object becomes an empty one. Each level is read twice, as text, which keeps the order of
+    the keys, and as variants, which tell a string from what only looks like a number; the depth is bounded, so all levels are one
+    expression. All rows take the same way and get the same compact layout.
     """
-    return events.withColumn(column, _cleaned(column))
+    return events.withColumn(column, _object(F.col(column), 0))

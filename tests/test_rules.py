@@ -1,5 +1,6 @@
 """Hand-made cases for the quirks of the rules."""
 
+import json
 import random
 
 import pytest
@@ -176,14 +177,37 @@ def test_any_plan_limit_holds(spark, limit):
     assert admitted.count() == limit
 
 
-def test_metadata_has_one_layout():
+def bounded(value, depth=0):
+    """The bounds on a parsed value, one by one."""
+    if isinstance(value, str):
+        return value if len(value) <= P.AUDIT_TEXT_LIMIT else value[: P.AUDIT_TEXT_LIMIT - 3] + "..."
+    if isinstance(value, list):
+        return [bounded(v, depth + 1) for v in value[: P.AUDIT_KEY_LIMIT]] if depth < P.AUDIT_DEPTH_LIMIT else []
+    if isinstance(value, dict):
+        return {k: bounded(v, depth + 1) for k, v in list(value.items())[: P.AUDIT_KEY_LIMIT]} if depth < P.AUDIT_DEPTH_LIMIT else {}
+    return value
+
+
+def test_metadata_has_one_layout(spark):
+    """Flat, nested, wide, invalid and repeated keys: the bounds of a plain walk, in the order of the text, without Python."""
     long = "x" * 600
-    assert audit.cleaned('{"a": 1.50,  "b": [1, {"c": 2}]}') == '{"a":1.5,"b":[1,{"c":2}]}'
-    assert audit.cleaned('{"a": 1.50, "b": "%s"}' % long) == '{"a":1.5,"b":"%s..."}' % long[: P.AUDIT_TEXT_LIMIT - 3]
-    assert audit.cleaned("[1]") == audit.cleaned("no json") == audit.cleaned(None) == "{}"
-    wide = audit.cleaned("{" + ",".join(f'"k{i:03d}": {i}' for i in reversed(range(60))) + "}")
-    assert wide.startswith('{"k059":59') and wide.count(":") == P.AUDIT_KEY_LIMIT
-    assert audit.cleaned('{"a": {"b": {"c": {"d": {"e": 1}}}}}') == '{"a":{"b":{"c":{"d":{}}}}}'
+    objects = [
+        '{"a": 1.50,  "b": [1, {"c": 2}]}',
+        '{"a": 1.50, "b": "%s"}' % long,
+        "{" + ",".join(f'"k{i:03d}": {i}' for i in reversed(range(60))) + "}",
+        '{"a": {"b": {"c": {"d": {"e": 1}}}}, "l": [[[["x"]]]]}',
+        '{"z": "1", "y": 1, "x": true, "w": null, "v": "null", "u": "{}", "t": "[1]", "s": {}, "r": []}',
+        '{"q": "say \\"hi\\" \\u00e9\\n", "é\\"": {"b": "%s", "a": ["%s", {"z": 1, "b": 2}]}}' % (long, long),
+        '{"a": 1, "b": 2, "a": "last"}',
+        '{"list": [%s]}' % ",".join(f'"{i}"' for i in range(70)),
+        "{}",
+    ]
+    rows = [*enumerate(objects), (100, "[1]"), (101, "no json"), (102, None), (103, ""), (104, '"text"'), (105, '{"a": ')]
+    cleaned = audit.clean_metadata(spark.createDataFrame(rows, "id long, metadata string"))
+    found = {r.id: r.metadata for r in cleaned.collect()}
+    layout = lambda text: json.dumps({k: bounded(v) for k, v in list(json.loads(text).items())[: P.AUDIT_KEY_LIMIT]}, ensure_ascii=False, separators=(",", ":"))
+    assert found == {i: layout(text) for i, text in enumerate(objects)} | {i: "{}" for i in range(100, 106)}
+    assert "Python" not in cleaned._jdf.queryExecution().toString()
 
 
 def test_plan_table_and_list_agree(spark):
