@@ -116,4 +116,16 @@ PAGE_SQL = {
   UNION ALL SELECT page_id, regexp_extract({normal_url('url')}, '^([a-z]+://[^/]*)', 1) || '/pricing', 0.31e0, TRUE FROM pages),
  merged AS (SELECT page_id, url, max(confidence) AS confidence, bool_or(sel) AS selected_by_user FROM listed GROUP BY 1, 2)
  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, url) AS rank, url, confidence, selected_by_user FROM merged""",
+    "rediscovered": f"""{_CANDIDATES}, own AS (SELECT page_id AS company_id, {normal_url('url')} AS site, page_id % 11 <> 0 AND page_id % 7 <> 0 AS ran,
+   CASE WHEN page_id % 3 = 0 THEN 'https://own.example.com/pricing' END AS given FROM pages),
+ known AS (SELECT company_id, 1 AS place, site AS url, 0.5e0 AS confidence, company_id % 2 = 0 AS sel FROM own
+  UNION ALL SELECT company_id, 2, regexp_extract(site, '^([a-z]+://[^/]*)', 1) || '/pricing', 0.31e0, TRUE FROM own),
+ merged AS (SELECT company_id, url, max(confidence) AS confidence, bool_or(sel) AS selected_by_user
+  FROM (SELECT company_id, url, confidence, sel FROM known UNION ALL SELECT page_id, url, confidence, FALSE FROM top) GROUP BY 1, 2),
+ listed AS (SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY confidence DESC, url) AS rank, url, confidence, selected_by_user FROM merged
+   WHERE company_id IN (SELECT company_id FROM own WHERE ran)
+  UNION ALL SELECT company_id, place, url, confidence, sel FROM known WHERE company_id IN (SELECT company_id FROM own WHERE NOT ran)),
+ win AS (SELECT page_id, url FROM top WHERE rank = 1 AND confidence >= {P.PRIMARY_MIN_CONFIDENCE} AND (runner_up IS NULL OR confidence - runner_up >= {P.PRIMARY_MIN_GAP}::DOUBLE))
+ SELECT l.company_id, coalesce(given, CASE WHEN ran THEN w.url END) AS primary_pricing_url, rank, l.url, confidence, selected_by_user
+ FROM listed l JOIN own USING (company_id) LEFT JOIN win w ON w.page_id = l.company_id""",
 }

@@ -17,9 +17,9 @@ from oracle.common import (
     strip_ends,
     with_views,
 )
-from oracle.pages import _HEADING_ROWS
+from oracle.pages import _CANDIDATES, _HEADING_ROWS
 from tarifflens import policies as P
-from tarifflens.sources.fixtures import PLANS
+from tarifflens.sources.fixtures import PLANS, duckdb_view
 
 # --- snapshots and diffs ---------------------------------------------------------------------
 
@@ -372,6 +372,15 @@ RECORD_SQL = {
  count(*) FILTER (stage IN ('recently_sent', 'no_diffs', 'sent')) AS eligible, count(*) FILTER (stage = 'recently_sent') AS skipped_recently_sent, count(*) FILTER (stage = 'no_diffs') AS skipped_no_diffs,
  count(*) FILTER (stage = 'sent') AS with_diffs, count(*) FILTER (stage = 'sent') AS sent, CAST(0 AS BIGINT) AS send_errors FROM stages""",
     "company_intake": _INTAKE_FOLD,
+    "new_companies": f"""{_CANDIDATES.replace(duckdb_view('homepages'), duckdb_view('site_captures')).replace('WITH ', 'WITH RECURSIVE ', 1)},
+ found AS (SELECT page_id, string_agg(url || ' ' || printf('%.2f', confidence) || ' false', '|' ORDER BY rank) AS list,
+   max(url) FILTER (rank = 1 AND confidence >= {P.PRIMARY_MIN_CONFIDENCE} AND (runner_up IS NULL OR confidence - runner_up >= {P.PRIMARY_MIN_GAP}::DOUBLE)) AS best FROM top GROUP BY 1),
+ decided AS ({_INTAKE_FOLD}), kept AS (SELECT * FROM decided WHERE reject_reason IS NULL)
+ SELECT k.request_id, k.user_id, {strip_ends('o.name')} AS name, k.type, k.company_domain AS domain, k.homepage AS homepage_url, coalesce(k.pricing, best) AS primary_pricing_url,
+  CASE WHEN k.pricing IS NOT NULL THEN {normal_url('k.pricing')} || ' 1.00 true' ELSE coalesce(list, '') END AS candidates,
+  CASE WHEN k.type = 'competitor' THEN {stamp(NOW_SQL)} END AS next_crawl_at
+ FROM kept k JOIN ({duckdb_view('intake')}) o USING (request_id)
+ LEFT JOIN found f ON k.type = 'competitor' AND k.pricing IS NULL AND k.homepage = 'https://www.s' || f.page_id || '.example.com/'""",
     "primary_selection": f"""{with_views('companies')}, {_COMMANDS}, raw AS (SELECT command_id, company_id, user_id, 'c' || company_id || '.example.com' AS site, command_id % 6 AS n FROM cmd),
  given AS (SELECT *, CASE n WHEN 0 THEN 'https://' || site || '/cost' WHEN 1 THEN 'https://foreign.example.org/pricing' WHEN 3 THEN 'http://' || site || '/pricing' WHEN 4 THEN 'https://' || site || '/unlisted' END AS target FROM raw),
  r AS (SELECT g.*, c.domain, c.primary_pricing_url AS before, CASE WHEN n = 5 THEN 'invalid_request_body' WHEN n = 2 THEN 'invalid_pricing_url' WHEN c.company_id IS NULL THEN 'company_not_found' WHEN n = 1 THEN 'domain_mismatch' WHEN n = 4 THEN 'candidate_url_not_found' END AS reject_reason

@@ -201,38 +201,25 @@ def candidate_rows(discovered: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def merge_candidate_tables(*tables: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge candidates that arrive as rows from several tables (D7 at table level)."""
-    union = reduce(lambda left, right: left.unionByName(right), tables)
-    clean = union.withColumn("url", urls.normalize_url(F.col("url"))).where(F.col("url").isNotNull())
-    return clean.groupBy(*keys, "url").agg(
-        F.max(unit_interval2(F.col("confidence"))).alias("confidence"),
-        F.bool_or(F.coalesce(F.col("selected_by_user"), F.lit(False))).alias("selected_by_user"),
-    )
-
-
 def rediscover(companies: DataFrame, homepages: DataFrame) -> DataFrame:
-    """On-demand discovery for companies with a stored home page capture.
+    """On-demand discovery for companies with a home page that was captured (D10); the others stay as they are.
 
-    ``homepages``: ``company_id, html``.  The primary address is only filled when empty.
+    ``homepages``: ``company_id, html``. What is found is merged into what is known, and the primary address is
+    only filled when empty.
     """
-    pages = companies.select(
+    pages = companies.where(F.col("homepage_url").isNotNull()).select(
         "company_id", "homepage_url", F.col("domain").alias("allowed_domain")
-    ).join(homepages.select("company_id", "html"), "company_id")
-    found = discover_pricing_urls(pages).select(
+    )
+    found = discover_pricing_urls(pages.join(homepages.select("company_id", "html"), "company_id")).select(
         "company_id", F.col("candidates").alias("found"), "recommended_primary_url"
     )
     joined = companies.join(found, "company_id", "left")
-    ran = F.col("found").isNotNull()
+    known = F.col("pricing_url_candidates")
     return (
         joined.withColumn(
             "pricing_url_candidates",
-            F.when(ran, merge_candidates(F.col("pricing_url_candidates"), F.col("found"))).otherwise(
-                F.col("pricing_url_candidates")
-            ),
-        )
-        .withColumn(
-            "primary_pricing_url", F.coalesce("primary_pricing_url", "recommended_primary_url")
+            F.when(F.col("found").isNotNull(), merge_candidates(known, F.col("found"))).otherwise(known),
         )
+        .withColumn("primary_pricing_url", F.coalesce("primary_pricing_url", "recommended_primary_url"))
         .drop("found")
     )

@@ -9,7 +9,7 @@ from tarifflens import policies as P
 from tarifflens.functions import urls
 from tarifflens.functions.columns import bind, blank_to_null, computed_once, first_true
 from tarifflens.functions.text import strip_ends
-from tarifflens.operators.discovery import merge_candidates
+from tarifflens.operators.discovery import CANDIDATE_TYPE, discover_pricing_urls, merge_candidates
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:
@@ -138,21 +138,42 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
     return joined.withColumn("reject_reason", reason).select(*shown, "reject_reason")
 
 
-def new_companies(admitted: DataFrame, now: Column) -> DataFrame:
-    """Rows to append for admitted requests; competitors are due at once."""
+def new_companies(admitted: DataFrame, now: Column, homepages: DataFrame | None = None) -> DataFrame:
+    """Rows to append for admitted requests; competitors are due at once.
+
+    A competitor without a pricing page gets the candidates of its home page, if that was captured. ``homepages``:
+    ``homepage, html``, one row per canonical address. A home page is searched once, however many requests name it.
+    """
+    kept = admitted.where(F.col("reject_reason").isNull())
+    if homepages is None:
+        kept = kept.withColumns({"_found": F.lit(None).cast(CANDIDATE_TYPE), "_primary": F.lit(None).cast("string")})
+    else:
+        searching = (F.col("type") == "competitor") & F.col("pricing").isNull() & F.col("homepage").isNotNull()
+        keyed = kept.withColumn("_site", F.when(searching, F.col("homepage")))
+        sites = keyed.where(F.col("_site").isNotNull()).select("_site", "company_domain").distinct()
+        pages = sites.join(homepages.select(F.col("homepage").alias("_site"), "html"), "_site").select(
+            F.col("_site").alias("homepage_url"), F.col("company_domain").alias("allowed_domain"), "html"
+        )
+        found = discover_pricing_urls(pages).select(
+            F.col("homepage_url").alias("_site"),
+            F.col("allowed_domain").alias("company_domain"),
+            F.col("candidates").alias("_found"),
+            F.col("recommended_primary_url").alias("_primary"),
+        )
+        kept = keyed.join(found, ["_site", "company_domain"], "left")
     chosen = F.when(
         F.col("pricing").isNotNull(),
         F.array(F.struct(F.col("pricing").alias("url"), F.lit(1.0).alias("confidence"), F.lit(True).alias("selected_by_user"))),
     )
-    return admitted.where(F.col("reject_reason").isNull()).select(
+    return kept.select(
         "request_id",
         "user_id",
         F.col("clean_name").alias("name"),
         "type",
         F.col("company_domain").alias("domain"),
         F.col("homepage").alias("homepage_url"),
-        F.col("pricing").alias("primary_pricing_url"),
-        merge_candidates(chosen).alias("pricing_url_candidates"),
+        F.coalesce("pricing", "_primary").alias("primary_pricing_url"),
+        merge_candidates(chosen, F.col("_found")).alias("pricing_url_candidates"),
         F.when(F.col("type") == "competitor", now).alias("next_crawl_at"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifflens.functions import text, urls
@@ -150,8 +150,15 @@ def recommended_primary(spark: SparkSession, folder: str) -> DataFrame:
 
 def merged_candidates(spark: SparkSession, folder: str) -> DataFrame:
     found = discovery.discover_pricing_urls(_homepages(spark, folder))
+    merged = found.withColumn("candidates", discovery.merge_candidates(_known_candidates(), F.col("candidates")))
+    rows = discovery.candidate_rows(merged, "page_id")
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _known_candidates() -> Column:
+    """What is known of a site before its home page is searched."""
     own = urls.normalize_url(F.col("homepage_url"))
-    known = F.array(
+    return F.array(
         F.struct(
             own.alias("url"), F.lit(0.5).alias("confidence"), (F.col("page_id") % 2 == 0).alias("selected_by_user")
         ),
@@ -161,8 +168,22 @@ def merged_candidates(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(True).alias("selected_by_user"),
         ),
     )
-    merged = found.withColumn("candidates", discovery.merge_candidates(known, F.col("candidates")))
-    rows = discovery.candidate_rows(merged, "page_id")
+
+
+def rediscovered(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates and primary address of every site after a search on demand; some have no home page, some no capture."""
+    pages = _homepages(spark, folder)
+    own = F.when(F.col("page_id") % 3 == 0, F.lit("https://own.example.com/pricing"))
+    companies = pages.select(
+        F.col("page_id").alias("company_id"),
+        F.when(F.col("page_id") % 11 != 0, F.col("homepage_url")).alias("homepage_url"),
+        F.lit(None).cast("string").alias("domain"),
+        own.alias("primary_pricing_url"),
+        _known_candidates().alias("pricing_url_candidates"),
+    )
+    captured = pages.where("page_id % 7 != 0").select(F.col("page_id").alias("company_id"), "html")
+    done = discovery.rediscover(companies, captured)
+    rows = discovery.candidate_rows(done.withColumnRenamed("pricing_url_candidates", "candidates"), "company_id", "primary_pricing_url")
     return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -171,6 +192,6 @@ PAGE_QUERIES = {
     for f in (
         page_text_hash, page_meta, price_mentions, price_buckets, page_signals, extraction_status,
         plan_headings, canonical_prices, canonical_texts, normalized_urls, input_domains, anchors,
-        resolved_links, url_candidates, recommended_primary, merged_candidates,
+        resolved_links, url_candidates, recommended_primary, merged_candidates, rediscovered,
     )
 }

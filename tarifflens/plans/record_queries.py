@@ -472,12 +472,29 @@ def digest_funnel(spark: SparkSession, folder: str) -> DataFrame:
 # --- user input ------------------------------------------------------------------------------------------------
 
 
-def company_intake(spark: SparkSession, folder: str) -> DataFrame:
+def _admitted(spark: SparkSession, folder: str) -> DataFrame:
     users = entitlements.with_entitlements(
         entitlements.refresh_trials(_view(spark, folder, "users"), _now()), PLANS, _now()
     )
-    decided = intake.admit_companies(spread(_view(spark, folder, "intake")), users, _view(spark, folder, "companies"))
-    return decided.select("request_id", "user_id", "type", "homepage", "pricing", "company_domain", "reject_reason")
+    return intake.admit_companies(spread(_view(spark, folder, "intake")), users, _view(spark, folder, "companies"))
+
+
+def company_intake(spark: SparkSession, folder: str) -> DataFrame:
+    return _admitted(spark, folder).select("request_id", "user_id", "type", "homepage", "pricing", "company_domain", "reject_reason")
+
+
+def new_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that admitted requests append, with what their home pages offer."""
+    sites = spread(_view(spark, folder, "site_captures")).select(F.col("homepage_url").alias("homepage"), "html")
+    made = intake.new_companies(_admitted(spark, folder), _now(), sites)
+    shown = F.transform(
+        "pricing_url_candidates",
+        lambda c: F.concat_ws(" ", c["url"], F.format_string("%.2f", c["confidence"]), c["selected_by_user"].cast("string")),
+    )
+    return made.select(
+        "request_id", "user_id", "name", "type", "domain", "homepage_url", "primary_pricing_url",
+        F.array_join(shown, "|").alias("candidates"), _stamp("next_crawl_at").alias("next_crawl_at"),
+    )
 
 
 def primary_selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -691,7 +708,7 @@ RECORD_QUERIES = {
         crawl_new_snapshots, crawl_new_diffs, crawl_new_insights, feed_documents, comparison_own_prices, digest_marked,
         feed_page, feed_next_page, feed_strict, feed_cursors, overview, comparison, comparison_buckets, public_users, company_listing,
         digest_rows, digest_text, digest_funnel,
-        company_intake, primary_selection, price_list_checks, price_list_upsert,
+        company_intake, new_companies, primary_selection, price_list_checks, price_list_upsert,
         billing_state, billing_accounts, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit, request_budgets,
         audit_log, audit_clean, catalog_related, catalog_categories, catalog_latest, catalog_by_author,
     )

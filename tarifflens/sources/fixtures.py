@@ -99,6 +99,12 @@ VIEWS: dict[str, tuple[str, bool, str | None, dict[str, str]]] = {
         "homepage_url": "url",
         "html": f"concat(html, {_LINK_PART})",
     }),
+    # The same pages as the home pages of the sites that intake requests name.
+    "site_captures": ("pages", False, None, {
+        "page_id": "page_id",
+        "homepage_url": "concat('https://www.s', cast(page_id as string), '.example.com/')",
+        "html": f"concat(html, {_LINK_PART})",
+    }),
     "snapshot_prices": ("lineitem", True, None, {
         "company_id": "l_suppkey",
         "captured_at": "cast(date_trunc('month', l_shipdate) as @TYPE)",
