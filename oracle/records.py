@@ -325,6 +325,13 @@ RECORD_SQL = {
     "due_queue": f"{with_views('companies')} SELECT company_id, user_id, {stamp('next_crawl_at')} AS next_crawl_at FROM (SELECT * FROM v_companies WHERE {_DUE} ORDER BY next_crawl_at NULLS FIRST, updated_at NULLS FIRST, company_id LIMIT 20)",
     "lease_claims": f"{with_views('companies')}, taken AS (SELECT company_id FROM v_companies WHERE {_DUE} ORDER BY next_crawl_at NULLS FIRST, updated_at NULLS FIRST, company_id LIMIT 20) SELECT company_id, company_id IN (SELECT company_id FROM taken) AS claimed, {stamp(f'CASE WHEN company_id IN (SELECT company_id FROM taken) THEN {NOW_SQL} + INTERVAL 6 MINUTE ELSE crawl_lease_until END')} AS crawl_lease_until FROM v_companies",
     "crawl_outcome": f"{_CRAWL} SELECT company_id, user_id, status, error, skipped_by_hash IS TRUE AS skipped_by_hash, changed IS TRUE AS changed, diff_created IS TRUE AS diff_created, insight_created IS TRUE AS insight_created, CASE WHEN diff_created THEN severity END AS severity, CASE WHEN status = 'ok' THEN evidence END AS confidence, {stamp('next_at')} AS next_crawl_at FROM final",
+    "crawl_discovery": f"""{_CRAWL.replace('due AS (SELECT * FROM v_page_companies WHERE', f"""winners AS ({_CANDIDATES} SELECT page_id, string_agg(url || ' ' || printf('%.2f', confidence) || ' false', '|' ORDER BY rank) AS list,
+   max(url) FILTER (rank = 1 AND confidence >= {P.PRIMARY_MIN_CONFIDENCE} AND (runner_up IS NULL OR confidence - runner_up >= {P.PRIMARY_MIN_GAP}::DOUBLE)) AS url FROM top GROUP BY 1),
+ due AS (SELECT c.* REPLACE (coalesce(primary_pricing_url, w.url) AS primary_pricing_url) FROM v_page_companies c
+   LEFT JOIN winners w ON w.page_id = c.company_id AND primary_pricing_url IS NULL AND homepage_url IS NOT NULL WHERE""")}
+ SELECT x.company_id, w.url AS found_primary, coalesce(list, '') AS candidates, x.status, x.error, x.changed IS TRUE AS snapshot_created, {stamp('next_at')} AS next_crawl_at
+ FROM final x JOIN v_page_companies c USING (company_id) LEFT JOIN winners w ON w.page_id = x.company_id
+ WHERE c.primary_pricing_url IS NULL AND c.homepage_url IS NOT NULL""",
     "crawl_summary": f"{_CRAWL} SELECT count(*) AS processed, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, count(*) FILTER (changed) AS snapshots_created, count(*) FILTER (diff_created) AS diffs_created, count(*) FILTER (insight_created) AS insights_created, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'manual_needed') AS manual_needed, count(*) FILTER (status = 'error') AS errored FROM final",
     "company_update": f"""{_CRAWL} SELECT c.company_id, coalesce(x.status, c.last_crawl_status) AS last_crawl_status, CASE WHEN x.company_id IS NULL THEN 'old error' ELSE x.error END AS last_crawl_error,
  CASE WHEN x.status = 'ok' THEN x.content_hash WHEN o.status = 'ok' THEN o.content_hash END AS latest_content_hash, CASE WHEN x.status = 'ok' THEN x.evidence ELSE 0.5e0 END AS latest_confidence,

@@ -16,6 +16,7 @@ from tarifflens.operators import (
     crawl,
     delivery,
     diffing,
+    discovery,
     entitlements,
     history,
     insights,
@@ -227,8 +228,8 @@ def lease_claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _crawl(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """All due page companies crawled once, after a crawl of the day before."""
+def _crawl(spark: SparkSession, folder: str, search: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All due page companies crawled once, after a crawl of the day before; with ``search``, home pages are searched too."""
     before = extract_pricing(spread(_view(spark, folder, "old_captures"))).where("status = 'ok'")
     yesterday = seconds_after(_now(), -86400)
     snapshots = before.select(
@@ -239,12 +240,37 @@ def _crawl(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         before.select("company_id", F.col("content_hash").alias("latest_content_hash")), "company_id", "left"
     )
     due = crawl.due_queue(companies, _now(), None)
+    homepages = None
+    if search:
+        none = F.lit(None).cast(discovery.CANDIDATE_TYPE)
+        due = due.withColumns({"domain": F.lit(None).cast("string"), "pricing_url_candidates": none})
+        homepages = spread(_view(spark, folder, "homepages")).select(F.col("page_id").alias("company_id"), "html")
     outcomes = crawl.crawl_outcomes(
-        due, _view(spark, folder, "users"), PLANS, spread(_view(spark, folder, "captures")), snapshots, _now()
+        due, _view(spark, folder, "users"), PLANS, spread(_view(spark, folder, "captures")), snapshots, _now(), homepages
     )
     return companies, outcomes
 
 
+def _candidate_text(candidates: str) -> Column:
+    """Candidates as one text: address, confidence and choice of each."""
+    return F.array_join(
+        F.transform(
+            candidates,
+            lambda c: F.concat_ws(" ", c["url"], F.format_string("%.2f", c["confidence"]), c["selected_by_user"].cast("string")),
+        ),
+        "|",
+    )
+
+
+def crawl_discovery(spark: SparkSession, folder: str) -> DataFrame:
+    """The crawl of companies without a pricing page, which search their home pages first."""
+    searched = _crawl(spark, folder, search=True)[1].where("found_candidates is not null")
+    return searched.select(
+        "company_id", "found_primary", _candidate_text("found_candidates").alias("candidates"), "status", "error",
+        "snapshot_created", _stamp("next_crawl_at").alias("next_crawl_at"),
+    )
+
+
 def crawl_outcome(spark: SparkSession, folder: str) -> DataFrame:
     return _crawl(spark, folder)[1].select(
         "company_id", "user_id", "status", "error", "skipped_by_hash", "changed", "diff_created", "insight_created",
@@ -487,13 +513,9 @@ def new_companies(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that admitted requests append, with what their home pages offer."""
     sites = spread(_view(spark, folder, "site_captures")).select(F.col("homepage_url").alias("homepage"), "html")
     made = intake.new_companies(_admitted(spark, folder), _now(), sites)
-    shown = F.transform(
-        "pricing_url_candidates",
-        lambda c: F.concat_ws(" ", c["url"], F.format_string("%.2f", c["confidence"]), c["selected_by_user"].cast("string")),
-    )
     return made.select(
         "request_id", "user_id", "name", "type", "domain", "homepage_url", "primary_pricing_url",
-        F.array_join(shown, "|").alias("candidates"), _stamp("next_crawl_at").alias("next_crawl_at"),
+        _candidate_text("pricing_url_candidates").alias("candidates"), _stamp("next_crawl_at").alias("next_crawl_at"),
     )
 
 
@@ -704,7 +726,7 @@ RECORD_QUERIES = {
     for f in (
         snapshot_pairs, hash_gate, latest_snapshot, diff_buckets, diff_updates, diff_severity, hint_changes, stored_payloads,
         entitlement_states, trial_refresh, trial_start, price_insights,
-        due_queue, lease_claims, crawl_outcome, crawl_summary, company_update, crawl_audit, crawl_commands,
+        due_queue, lease_claims, crawl_outcome, crawl_discovery, crawl_summary, company_update, crawl_audit, crawl_commands,
         crawl_new_snapshots, crawl_new_diffs, crawl_new_insights, feed_documents, comparison_own_prices, digest_marked,
         feed_page, feed_next_page, feed_strict, feed_cursors, overview, comparison, comparison_buckets, public_users, company_listing,
         digest_rows, digest_text, digest_funnel,

@@ -73,6 +73,7 @@ VIEWS: dict[str, tuple[str, bool, str | None, dict[str, str]]] = {
         "user_id": "page_id % 60",
         "name": "concat('Site ', cast(page_id as string))",
         "type": "case when page_id % 25 = 24 then 'self' else 'competitor' end",
+        "homepage_url": "case when page_id % 20 = 19 then null else url end",
         "primary_pricing_url": "case when page_id % 10 = 9 then null else url end",
         "last_crawl_status": "case page_id % 5 when 0 then 'idle' when 1 then 'ok' when 2 then 'blocked' when 3 then 'manual_needed' else 'error' end",
         "next_crawl_at": "case when page_id % 9 = 0 then null else @T'2001-07-31 00:00:00' + (page_id % 5) * interval '8' hour end",
