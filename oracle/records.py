@@ -416,6 +416,12 @@ RECORD_SQL = {
   TRUE AS has_access, count(*) AS checkouts, 'not_started' AS trial_status FROM n GROUP BY email""",
     "event_delivery": _DELIVERIES,
     "rate_limit": _LIMITS,
+    "audit_rejects": f"""{with_views('audit_input')}, map AS (SELECT * FROM (VALUES {_AUDIT_VALUES}) m(event_type, actor_type, resource_type, status)),
+ e AS (SELECT event_id, event_id % 50 AS n, user_id, CASE WHEN event_id % 50 = 0 THEN 'unheard_of' ELSE event_type END AS event_type,
+   coalesce(CAST(company_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS id FROM v_audit_input),
+ s AS (SELECT event_id, n, user_id, CASE n WHEN 1 THEN '' WHEN 2 THEN repeat('x', 121) ELSE e.event_type END AS action, status, id FROM e LEFT JOIN map USING (event_type))
+ SELECT event_id, user_id, action, status, CASE WHEN n = 0 THEN 'actor_type' WHEN n IN (1, 2) THEN 'action' ELSE 'resource_id' END AS reject_reason
+ FROM s WHERE n < 3 OR (n = 3 AND length(id) * 130 > 120)""",
     "audit_log": f"{with_views('audit_input')}, map AS (SELECT * FROM (VALUES {_AUDIT_VALUES}) m(event_type, actor_type, resource_type, status)) SELECT event_id, user_id, actor_type, event_type AS action, resource_type, coalesce(CAST(company_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS resource_id, status FROM v_audit_input JOIN map USING (event_type)",
     "audit_clean": "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 497) || '...' ELSE text END AS text, lang, '{\"d\":{}}' AS deep FROM documents",
     "catalog_related": f"""{_ARTICLES}, heads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY published DESC, article_id) AS r FROM tagged) WHERE r <= 4),
@@ -451,3 +457,22 @@ RECORD_SQL |= {
     "comparison_own_prices": f"WITH shown AS ({RECORD_SQL['comparison']}), own AS ({RECORD_SQL['price_list_upsert']}) SELECT user_id, company_id, snapshot_id, currency AS own_currency, billing_period AS own_period, notes AS own_notes, plan_count AS own_plan_count FROM shown LEFT JOIN own USING (user_id)",
     "digest_marked": f"{_DIGEST} SELECT u.user_id, {stamp(f"CASE WHEN s.user_id IS NOT NULL THEN {NOW_SQL} ELSE u.last_digest_sent_at END")} AS last_digest_sent_at FROM v_users u LEFT JOIN (SELECT user_id FROM stages WHERE stage = 'sent') s USING (user_id)",
 }
+
+_WHO = "CAST(user_id AS BIGINT) AS user_id"
+RECORD_SQL["activity_log"] = f"""WITH RECURSIVE map AS (SELECT * FROM (VALUES {_AUDIT_VALUES}) m(event_type, actor_type, resource_type, status)),
+asked AS ({RECORD_SQL['company_intake']}), chosen AS ({RECORD_SQL['primary_selection']}), tried AS ({RECORD_SQL['trial_start']}),
+paid AS ({_ACCOUNTS[:_ACCOUNTS.index('acting AS (')].rstrip().rstrip(',')} SELECT * FROM acts),
+cmds AS (WITH {_COMMANDS} SELECT * FROM cmd),
+told AS (
+  SELECT {_WHO}, CAST(NULL AS BIGINT) AS company_id, 'competitor_cap_hit' AS event_type, '{{"source":"api:companies.post"}}' AS metadata, CAST(o_orderdate AS TIMESTAMP) AS happened
+  FROM asked JOIN orders ON o_orderkey = request_id WHERE reject_reason = 'competitor_limit_reached'
+  UNION ALL SELECT {_WHO}, request_id, 'company_created', '{{"source":"api:companies.post","companyType":"' || type || '","domain":"' || company_domain || '"}}', CAST(o_orderdate AS TIMESTAMP)
+  FROM asked JOIN orders ON o_orderkey = request_id WHERE reject_reason IS NULL
+  UNION ALL SELECT c.user_id, p.company_id, 'primary_pricing_url_changed', '{{"source":"api:companies.primary-pricing.patch","nextPrimaryPricingUrl":"' || primary_pricing_url || '"}}', {NOW_SQL}
+  FROM chosen p JOIN cmds c USING (command_id) WHERE primary_changed
+  UNION ALL SELECT {_WHO}, NULL, CASE WHEN started THEN 'trial_started' ELSE 'trial_start_blocked' END,
+   '{{"source":"api:trial.start","reason":"' || reason || '","trialStatus":"' || trial_status || '","started":' || started || '}}', {NOW_SQL} FROM tried
+  UNION ALL SELECT CASE WHEN NOT account.fresh THEN account.id END, NULL, 'webhook_access_' || CASE effect WHEN 'grant' THEN 'granted' ELSE 'revoked' END,
+   '{{"source":"api:webhook.stripe","eventId":' || event_id || '}}', arrived_at FROM paid WHERE effect IN ('grant', 'revoke'))
+SELECT user_id, actor_type, event_type AS action, resource_type, coalesce(CAST(company_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS resource_id, status, metadata, {stamp('happened')} AS created_at
+FROM told JOIN map USING (event_type)"""

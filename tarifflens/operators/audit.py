@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import bind, lookup
+from tarifflens.functions.columns import bind, first_true, lookup
+from tarifflens.sources.tables import append
 
 ACTORS = ("user", "system", "stripe_webhook", "cron")
 STATUSES = ("success", "failure", "rejected")
@@ -32,20 +33,42 @@ def lifecycle_events(events: DataFrame) -> DataFrame:
     )
 
 
-def is_valid_event() -> Column:
-    return F.coalesce(
-        F.col("actor_type").isin(*ACTORS)
-        & F.col("status").isin(*STATUSES)
-        & F.length("action").between(1, 120)
-        & F.length("resource_type").between(1, 80)
-        & (F.col("resource_id").isNull() | (F.length("resource_id") <= 120)),
-        F.lit(False),
+def reject_reason() -> Column:
+    """What is wrong with an audit event, the first fault counting; null if nothing is."""
+    within = lambda c, low, high: F.coalesce(F.length(c).between(low, high), F.lit(False))
+    return first_true(
+        [
+            (~F.coalesce(F.col("actor_type").isin(*ACTORS), F.lit(False)), "actor_type"),
+            (~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status"),
+            (~within("action", 1, 120), "action"),
+            (~within("resource_type", 1, 80), "resource_type"),
+            (F.col("resource_id").isNotNull() & ~within("resource_id", 0, 120), "resource_id"),
+        ],
+        F.lit(None).cast("string"),
     )
 
 
 def accepted_and_rejected(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split for the append sink (S7): a bad row never fails the batch."""
-    return events.where(is_valid_event()), events.where(~is_valid_event())
+    """Split for the append sink (S7): a bad row never fails the batch, and says what is wrong with it."""
+    judged = events.withColumn("reject_reason", reject_reason())
+    good = F.col("reject_reason").isNull()
+    return judged.where(good).drop("reject_reason"), judged.where(~good)
+
+
+def append_audit(events: DataFrame, path: str, commit: str, rows_per_file: int = 1_000_000) -> None:
+    """Write a batch of audit events (``created_at``) in one pass, accepted and rejected ones into folders of their own.
+
+    A batch that is written again under its commit replaces itself.
+    """
+    judged = events.withColumn("reject_reason", reject_reason())
+    verdict = F.when(F.col("reject_reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    append(judged.withColumn("verdict", verdict), path, "created_at", commit, rows_per_file, by=("verdict",))
+
+
+def stored_audit(spark: SparkSession, path: str, verdict: str = "accepted") -> DataFrame:
+    """The audit events of all batches with that verdict (accepted, rejected)."""
+    rows = spark.read.parquet(path).where(F.col("verdict") == verdict).drop("verdict", "commit", "day")
+    return rows.drop("reject_reason") if verdict == "accepted" else rows
 
 
 def _quoted(text: Column) -> Column:

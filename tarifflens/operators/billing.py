@@ -193,15 +193,8 @@ def _by_frame(events: DataFrame, changes: DataFrame) -> DataFrame:
     return acting.select("event.*", F.col("holder")["account"].alias("account"))
 
 
-def account_states(users: DataFrame, events: DataFrame, plans: Plans) -> DataFrame:
-    """Accounts after all events, in arrival order (T5), those that checkouts create included.
-
-    A checkout acts on the user of its ``client_reference_id`` (or ``user_id``, where events have no such column), else on
-    the account of its ``customer_email``, which it creates if there is none; created accounts have an e-mail and no
-    ``user_id``, and a later run finds them by it. Every other event acts on the account that holds its customer id at that instant.
-    Every field is the last write to it, so one map-side combined aggregate replaces the ordered replay and an account
-    with very many events stays cheap.
-    """
+def acting_events(users: DataFrame, events: DataFrame, plans: Plans) -> tuple[DataFrame, DataFrame]:
+    """Users with their ``account``, and the events that change accounts, each with its ``effect`` and ``account``."""
     acting = with_event_effect(events, plans).where(F.col("effect").isin("grant", "revoke", "touch"))
     nothing = F.lit(None).cast("string")
     email = F.col("email") if "email" in users.columns else nothing
@@ -217,7 +210,19 @@ def account_states(users: DataFrame, events: DataFrame, plans: Plans) -> DataFra
     )
     bought = checkout_accounts(acting.where("is_checkout"), users)
     others = acting.where("not is_checkout")
-    acting = bought.unionByName(with_holder(others, named, bought).select(*bought.columns))
+    return named, bought.unionByName(with_holder(others, named, bought).select(*bought.columns))
+
+
+def account_states(users: DataFrame, events: DataFrame, plans: Plans) -> DataFrame:
+    """Accounts after all events, in arrival order (T5), those that checkouts create included.
+
+    A checkout acts on the user of its ``client_reference_id`` (or ``user_id``, where events have no such column), else on
+    the account of its ``customer_email``, which it creates if there is none; created accounts have an e-mail and no
+    ``user_id``, and a later run finds them by it. Every other event acts on the account that holds its customer id at that instant.
+    Every field is the last write to it, so one map-side combined aggregate replaces the ordered replay and an account
+    with very many events stays cheap.
+    """
+    named, acting = acting_events(users, events, plans)
     effect, price = F.col("effect"), F.col("known_price")
     grants = effect == "grant"
     changes = grants | (effect == "revoke")

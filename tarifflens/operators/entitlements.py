@@ -64,10 +64,6 @@ def with_entitlements(users: DataFrame, plans: Plans, now: Column) -> DataFrame:
     )
 
 
-def may_add_competitor(current_count: Column) -> Column:
-    return F.col("access_granted") & (current_count < F.col("competitor_limit"))
-
-
 def may_generate_insight(severity: Column) -> Column:
     return F.col("access_granted") & F.array_contains("allowed_severities", severity)
 

@@ -35,16 +35,6 @@ def page_limit(limit: int | None, most: int | None = None) -> int:
     return value
 
 
-def before_cursor(detected_at: Column | datetime, diff_id: Column | object | None) -> Column:
-    """Strictly older than the cursor row."""
-    at = detected_at if isinstance(detected_at, Column) else F.lit(detected_at).cast("timestamp_ntz")
-    older = F.col("detected_at") < at
-    if diff_id is None:
-        return older
-    key = diff_id if isinstance(diff_id, Column) else F.lit(diff_id)
-    return older | ((F.col("detected_at") == at) & (F.col("diff_id") < key))
-
-
 def latest_insights(insights: DataFrame) -> DataFrame:
     """Newest insight per diff."""
     return newest(insights, ["diff_id"], [F.desc("generated_at"), F.desc("insight_id")])

@@ -10,6 +10,7 @@ from tarifflens.functions import prices, text
 from tarifflens.functions.columns import count_where, floor_div, seconds_after
 from tarifflens.functions.cursor import decode_cursor, encode_cursor
 from tarifflens.operators import (
+    activity,
     audit,
     billing,
     catalog,
@@ -519,7 +520,7 @@ def new_companies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def primary_selection(spark: SparkSession, folder: str) -> DataFrame:
+def _selected(spark: SparkSession, folder: str) -> DataFrame:
     site = F.concat(F.lit("c"), F.col("company_id").cast("string"), F.lit(".example.com"))
     candidate = lambda url, c: F.struct(
         url.alias("url"), F.lit(c).alias("confidence"), F.lit(False).alias("selected_by_user")
@@ -541,7 +542,11 @@ def primary_selection(spark: SparkSession, folder: str) -> DataFrame:
         F.when(n.isin(3, 5), F.concat(F.lit(" http://"), site, F.lit("/pricing ")))
         .when(n == 4, F.concat(F.lit("https://"), site, F.lit("/unlisted"))).alias("candidate_url"),
     )
-    done = intake.select_primary(commands, companies)
+    return intake.select_primary(commands, companies)
+
+
+def primary_selection(spark: SparkSession, folder: str) -> DataFrame:
+    done = _selected(spark, folder)
     return done.select(
         "command_id", "company_id", "accepted", "reject_reason", "primary_pricing_url", "primary_changed",
         F.array_join(
@@ -686,6 +691,37 @@ def audit_log(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("event_id", "user_id", "actor_type", "action", "resource_type", "resource_id", "status")
 
 
+def activity_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit rows of what users and the payment provider did, from the results of intake, choice, trials and billing."""
+    users = _view(spark, folder, "users")
+    acting = billing.acting_events(users, _view(spark, folder, "billing_journal"), PLANS)[1]
+    events = activity.together(
+        activity.intake_activity(_admitted(spark, folder)),
+        activity.selection_activity(_selected(spark, folder), _now()),
+        activity.trial_activity(entitlements.start_trials(users, _now()), _now()),
+        activity.billing_activity(acting),
+    )
+    kept, _ = audit.accepted_and_rejected(audit.lifecycle_events(events))
+    return kept.select(
+        "user_id", "actor_type", "action", "resource_type", "resource_id", "status", "metadata", _stamp("created_at").alias("created_at")
+    )
+
+
+def audit_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit events that the sink puts aside: of unknown types, with bad names and over-long ids."""
+    n = F.col("event_id")
+    mapped = audit.lifecycle_events(
+        _view(spark, folder, "audit_input").withColumn("event_type", F.when(n % 50 == 0, F.lit("unheard_of")).otherwise(F.col("event_type")))
+    )
+    spoiled = mapped.withColumns(
+        {
+            "action": F.when(n % 50 == 1, F.lit("")).when(n % 50 == 2, F.repeat(F.lit("x"), F.lit(121))).otherwise(F.col("action")),
+            "resource_id": F.when(n % 50 == 3, F.repeat(F.col("resource_id"), F.lit(130))).when(n % 50 > 3, F.col("resource_id")),
+        }
+    )
+    return audit.accepted_and_rejected(spoiled)[1].select("event_id", "user_id", "action", "status", "reject_reason")
+
+
 def audit_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata with a whole document text in it."""
     docs = spread(table(tune(spark), folder, "documents"))
@@ -732,6 +768,6 @@ RECORD_QUERIES = {
         digest_rows, digest_text, digest_funnel,
         company_intake, new_companies, primary_selection, price_list_checks, price_list_upsert,
         billing_state, billing_accounts, billing_effects, checkout_matching, billing_new_users, event_delivery, rate_limit, request_budgets,
-        audit_log, audit_clean, catalog_related, catalog_categories, catalog_latest, catalog_by_author,
+        audit_log, activity_log, audit_rejects, audit_clean, catalog_related, catalog_categories, catalog_latest, catalog_by_author,
     )
 }

@@ -27,21 +27,33 @@ def companies_of(companies: DataFrame, user_id: int | None = None) -> DataFrame:
     return scoped.orderBy("user_id", F.desc("created_at"), "company_id")
 
 
-def owned_by_command(commands: DataFrame, companies: DataFrame) -> DataFrame:
-    """Point look-ups for a whole table of commands (S3): company and owner must match."""
-    return commands.join(companies, ["company_id", "user_id"], "left")
-
-
-def append(df: DataFrame, path: str, day_of: str | None = None) -> None:
-    """Append sink (S6), one folder per day when ``day_of`` names a timestamp."""
-    if day_of is None:
-        df.write.mode("append").parquet(path)
+def append(
+    df: DataFrame,
+    path: str,
+    day_of: str | None = None,
+    commit: str | None = None,
+    rows_per_file: int = 1_000_000,
+    by: tuple[str, ...] = (),
+) -> None:
+    """Append sink (S6), one folder per day when ``day_of`` names a timestamp, and per value of the columns ``by``.
+
+    Rows are clustered by day, and a day is dealt out into as many parts as its rows fill files, so a busy day is written by many
+    tasks and a quiet one by one. The hash of a row chooses its part and, unlike a random number, gives the same answer when a
+    task is run again. With ``commit`` the rows go under that name, and a batch that is repeated replaces itself.
+    """
+    target = path if commit is None else f"{path}/commit={commit}"
+    mode = "append" if commit is None else "overwrite"
+    if day_of is None and not by:
+        df.write.mode(mode).parquet(target)
         return
-    dated = df.withColumn("day", F.to_date(day_of))
-    # Cluster by day so a batch writes few files per folder; the hash of the row splits a busy day
-    # and, unlike a random number, gives the same answer when a task is run again.
-    shard = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    dated.repartition(F.col("day"), shard).write.mode("append").partitionBy("day").parquet(path)
+    dated = df if day_of is None else df.withColumn("day", F.to_date(day_of))
+    folders = [*by, *([] if day_of is None else ["day"])]
+    placed = dated.withColumn("_folder", F.struct(*folders))
+    parts = placed.groupBy("_folder").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_parts"))
+    shard = F.pmod(F.xxhash64(*df.columns), F.col("_parts"))
+    dealt = placed.join(parts, "_folder").withColumn("_shard", shard).repartition("_folder", "_shard")
+    writer = dealt.drop("_folder", "_parts", "_shard").write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy(*folders).parquet(target)
 
 
 def public_json(df: DataFrame, private: tuple[str, ...] = ("email",), key: str = "user_id") -> DataFrame:

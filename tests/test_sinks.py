@@ -20,6 +20,35 @@ def test_append_by_day(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2 * diffs.count()
 
 
+def test_a_busy_day_is_dealt_out(spark, tmp_path):
+    """A day with nine tenths of the rows fills many files, a quiet one a single file, and a repeated batch replaces itself."""
+    rows = spark.range(5000).withColumn("at", F.expr("if(id % 10 = 0, timestamp_ntz'2001-01-02 00:00:00', timestamp_ntz'2001-01-01 00:00:00')"))
+    rows = rows.unionByName(spark.range(5000, 5003).withColumn("at", F.lit(None).cast("timestamp_ntz")))
+    for _ in range(2):
+        append(rows, str(tmp_path / "d"), day_of="at", commit="7", rows_per_file=500)
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 5003
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "d/commit=7").glob("day=*")}
+    assert files.pop("day=2001-01-01") > 8 and all(n <= 2 for n in files.values()) and len(files) == 2
+
+
+def test_audit_batches(spark, tmp_path):
+    """Accepted and rejected events of a batch are written together, apart from each other and once only."""
+    rows = [
+        (1, "user", "a", "company", "1", "success", "2001-01-01"),
+        (2, "ghost", "a", "company", "1", "success", "2001-01-01"),
+        (3, "user", "x" * 121, "company", None, "failure", "2001-01-02"),
+        (4, "cron", "a", None, "1", "done", None),
+    ]
+    schema = "id long, actor_type string, action string, resource_type string, resource_id string, status string, created_at string"
+    events = spark.createDataFrame(rows, schema).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    for commit in ("1", "1", "2"):
+        audit.append_audit(events.where("id < 4") if commit == "1" else events.where("id in (1, 4)"), str(tmp_path / "a"), commit)
+    kept = audit.stored_audit(spark, str(tmp_path / "a"))
+    assert [r.id for r in kept.orderBy("id").collect()] == [1, 1] and kept.columns == events.columns
+    rejected = audit.stored_audit(spark, str(tmp_path / "a"), "rejected").orderBy("id").collect()
+    assert [(r.id, r.reject_reason) for r in rejected] == [(2, "actor_type"), (3, "action"), (4, "status")]
+
+
 def test_bad_audit_rows_go_aside(spark):
     rows = [("user", "a", "company", "1", "success"), ("ghost", "a", "company", "1", "success"), ("user", "x" * 121, "company", None, "failure")]
     df = spark.createDataFrame(rows, "actor_type string, action string, resource_type string, resource_id string, status string")
