@@ -45,6 +45,7 @@ import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarifflens.llm.bloom import filter_of, maybe_in
 from tarifflens.llm.common import boxed, prepare, stored, whole
@@ -433,22 +434,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return made.select("doc_id", "digest").join(stored(names), "digest").select("doc_id", "class_id", "digest")
 
 
+@F.pandas_udf(T.BinaryType())
+def _digest(texts: pd.Series) -> pd.Series:
+    words = Shingles().words
+    return texts.map(lambda t: hashlib.blake2b(b" ".join(words(t)), digest_size=16).digest())
+
+
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one of the smallest doc_id, with its own columns.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay. Rows that repeat a doc_id are decided text by text: each different one stays unless it
+    is a near copy of a smaller doc_id, and equal ones stay once.
     """
     found = stored(classes(docs, threshold))
+    counts = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count()
+    repeated = stored(counts.where("count > 1").select("__id"))
     gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    touched = gone.withColumn("__gone", F.lit(True)).unionByName(
-        repeated.select(F.col("doc_id").alias("__id"), F.lit(False).alias("__gone"))
+    own = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    stay = own.join(repeated, "__id", "left_semi").distinct()
+    touched = stored(
+        gone.join(repeated, "__id", "left_anti").withColumn("__many", F.lit(False)).unionByName(repeated.withColumn("__many", F.lit(True)))
     )
-    touched = stored(touched.groupBy("__id").agg(F.max("__gone").alias("__gone")))
     # Only documents that may be among those move; the others pass in the scan.
     known = filter_of(touched.select(F.xxhash64("__id").alias("h")), touched.count())
     maybe = maybe_in(F.col("doc_id").cast("long"), known, docs)
     asked = boxed(docs.where(maybe)).join(touched, F.col("row.doc_id") == F.col("__id"), "left")
-    once = asked.where("__gone is null").select("row.*")
-    again = asked.where("not __gone").dropDuplicates(["__id"]).select("row.*")
+    once = asked.where("__many is null").select("row.*")
+    many = asked.where("__many").withColumn("__digest", _digest(whole(F.col("row.text"))))
+    again = many.join(stay, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select("row.*")
     return docs.where(~maybe).unionByName(once).unionByName(again)

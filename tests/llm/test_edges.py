@@ -144,3 +144,11 @@ def test_stages(spark, docs, nothing, name, stage):
     rows.collect()
     assert name == corpus_pipeline.STAGES[-1][0] or rows.columns == docs.columns
     assert stage(spark, nothing, SMALL).collect() == []
+
+
+def test_near_duplicates_lose_no_text_of_a_repeated_id(spark):
+    """Different texts under one doc_id are told apart; only copies of a smaller one go."""
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    docs = spark.createDataFrame([(1, a), (2, b), (2, c), (2, a), (2, b), (3, c + " end")], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_first(docs).collect())
+    assert kept == [(1, a), (2, b), (2, c)]
