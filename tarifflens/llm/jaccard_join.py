@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarifflens.llm.bloom import filter_of, hits, maybe_in
+from tarifflens.llm.bloom import filter_of, hits
 from tarifflens.llm.common import prepare, stored, written
 from tarifflens.llm.components import components
 
@@ -214,7 +214,7 @@ def whole_ids(ids: pd.Series) -> pd.api.extensions.ExtensionArray:
 
 
 def repeated(parts: DataFrame) -> DataFrame:
-    """bits and n: the shingles that several documents have, with the number of documents, from the parts of all tasks."""
+    """hash and n: the shingles that several documents have (scrambled), with the number of documents, from the parts of all tasks."""
 
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
         bits, times = (np.concatenate(column) for column in zip(*held))
@@ -222,7 +222,7 @@ def repeated(parts: DataFrame) -> DataFrame:
         bits, times = bits[order], times[order]
         start = np.flatnonzero(np.concatenate([[True], bits[1:] != bits[:-1]]))
         n = np.add.reduceat(times.astype(np.int64), start)
-        return pd.DataFrame({"bits": bits[start][n >= 2].view(np.int64), "n": n[n >= 2]})
+        return pd.DataFrame({"hash": scrambled(bits[start][n >= 2]).view(np.int64), "n": n[n >= 2]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, held = None, []
@@ -237,30 +237,29 @@ def repeated(parts: DataFrame) -> DataFrame:
             yield merged(held)
 
     laid = parts.select("range", "part", "times").repartition(tasks_of(parts), "range").sortWithinPartitions("range")
-    return stored(laid.mapInPandas(merge, "bits long, n long"))
+    return stored(laid.mapInPandas(merge, "hash long, n long"))
 
 
 def filters(found: DataFrame) -> list[np.ndarray]:
     """A Bloom filter of the shingles of each level, from ``repeated``."""
-    reach = [found.where(F.col("n") >= level).select("bits") for level in LEVELS]
-    return [filter_of(bits.select(_scrambled("bits").alias("h")), bits.count()) for bits in reach]
+    reach = [found.where(F.col("n") >= level).select("hash") for level in LEVELS]
+    return [filter_of(hashes, hashes.count()) for hashes in reach]
 
 
-@F.pandas_udf(T.LongType())
-def _scrambled(bits: pd.Series) -> pd.Series:
-    return pd.Series(scrambled(bits.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+def packed_filter(known: np.ndarray) -> bytes:
+    return zstandard.compress(known.tobytes(), 1)
 
 
 def share(docs: DataFrame, known: list[np.ndarray]) -> Broadcast:
     """The filters, sent to the workers once."""
-    return docs.sparkSession.sparkContext.broadcast([(zstandard.compress(f.tobytes(), 1), len(f)) for f in known])
+    return docs.sparkSession.sparkContext.broadcast([packed_filter(f) for f in known])
 
 
 class Order:
     """The order of shingles, rarest first."""
 
-    def __init__(self, shared: list[tuple[bytes, int]]):
-        self.filters = [np.frombuffer(zstandard.decompress(data), np.uint64) for data, _ in shared]
+    def __init__(self, shared: list[bytes]):
+        self.filters = [np.frombuffer(zstandard.decompress(data), np.uint64) for data in shared]
 
     def levels(self, s: np.ndarray) -> np.ndarray:
         """How many levels each shingle seems to reach; 0 means that a single document has it."""
@@ -370,21 +369,23 @@ def star(members: DataFrame, drawn: DataFrame) -> DataFrame:
     return both.where(_alike("outline", "size", "leader_outline", "leader_size")).select("node", "leader")
 
 
-def needed_sets(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+def needed_sets(docs: DataFrame, holders: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and tokens (ascending hashes) of the given nodes, from the texts of some document that has each.
 
-    ``known`` has doc_id and node. A filter of bounded size sorts out the documents that cannot have one, by id.
+    ``holders`` has doc_id and node. A filter of bounded size sorts out the documents that cannot have one, by id.
     """
-    ids = known.join(nodes, "node").groupBy("node").agg(F.max("doc_id").alias("doc_id"))
+    ids = holders.join(nodes, "node").groupBy("node").agg(F.max("doc_id").alias("doc_id"))
     ids = stored(ids.select("doc_id").distinct())
-    filter_ = filter_of(ids.select(F.xxhash64("doc_id").alias("h")), ids.count())
-    asked = docs.where(maybe_in(F.col("doc_id"), filter_, docs)).select("text")
+    known = docs.sparkSession.sparkContext.broadcast(packed_filter(filter_of(ids.select(F.xxhash64("doc_id").alias("h")), ids.count())))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.frombuffer(zstandard.decompress(known.value), np.uint64)
         for batch in batches:
-            sets = [s for s in map(shingles, batch["text"]) if len(s)]
+            maybe = hits(batch["h"].to_numpy(np.int64).view(np.uint64), wanted)
+            sets = [s for s in map(shingles, batch["text"][maybe]) if len(s)]
             yield pd.DataFrame({"node": [name_of(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
 
+    asked = docs.select("text", F.xxhash64("doc_id").alias("h"))
     made = asked.mapInPandas(make, "node binary, tokens binary")
     # Copies differ in nothing, so any one of them will do.
     return written(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-needed")

@@ -161,7 +161,9 @@ def test_documents_are_counted_exactly(spark, monkeypatch):
     for text in texts:
         for h in jaccard_join.counted_bits(jaccard_join.shingles(text)).tolist():
             counts[h] = counts.get(h, 0) + 1
-    assert {r["bits"]: r["n"] for r in found.collect()} == {h: n for h, n in counts.items() if n > 1}
+    several = np.array([h for h, n in counts.items() if n > 1], np.uint64)
+    wanted = dict(zip(jaccard_join.scrambled(several).view(np.int64).tolist(), (counts[h] for h in several.tolist())))
+    assert {r["hash"]: r["n"] for r in found.collect()} == wanted
     order = jaccard_join.Order(jaccard_join.share(docs, jaccard_join.filters(found)).value)
     every = np.unique(np.concatenate([jaccard_join.shingles(t) for t in texts]))
     wanted = [sum(counts[h] >= level for level in jaccard_join.LEVELS) for h in jaccard_join.counted_bits(every).tolist()]
