@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarifflens.operators import ratelimit
+from tarifflens.operators import delivery, ratelimit
 from tarifflens.operators.claims import NEVER, mark_claims
 from tarifflens.operators.history import carry_forward, running_total, with_previous
 from tarifflens.functions.columns import floor_div
@@ -74,6 +74,25 @@ def test_no_task_gets_a_busy_key(spark):
     assert found.groupBy("key", "at").count().where("count > 1").isEmpty() and found.count() == busy.count()
 
 
+def test_deliveries_in_a_row_and_in_blocks(spark, monkeypatch):
+    """Events of few and of many deliveries are decided alike, whichever way they go."""
+    rng = random.Random(11)
+    rows = []
+    for event, size, span in ((1, 300, 30_000), (2, 40, 900), (3, 1, 1), *((k, 3, 700) for k in range(4, 40))):
+        for _ in range(size):
+            at, result = rng.randrange(span), rng.choice(["failed", "lost", "failed", "lost", "processed" if rng.random() < 0.2 else "lost"])
+            done = None if result == "lost" else at + rng.choice([1, 20, 299, 300, 301, 700])
+            rows.append((len(rows), event, at, result, done))
+    df = spark.createDataFrame(rows, "delivery_id long, event_id long, at long, result string, done long").select(
+        "delivery_id", "event_id", F.timestamp_seconds("at").alias("arrived_at"), "result", F.timestamp_seconds("done").alias("finished_at")
+    )
+    answers = []
+    for folded in (10**6, 50, 0):
+        monkeypatch.setattr(delivery, "FOLDED", folded)
+        answers.append(sorted(map(str, delivery.handle_deliveries(df).collect())))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == len(rows)
+
+
 def test_sliced_order_equals_plain_order(spark):
     rng = random.Random(7)
     data = [("hot" if i % 3 else "cold", i, rng.choice([None, rng.randrange(9)]), 1) for i in range(900)]
