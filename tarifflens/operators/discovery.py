@@ -108,18 +108,20 @@ def merge_candidates(*lists: Column) -> Column:
         lambda c: c["url"].isNotNull(),
     )
 
-    def fold(all_of_them: Column) -> Column:
-        names = F.array_distinct(F.transform(all_of_them, lambda c: c["url"]))
-
-        def one(name: Column) -> Column:
-            same = F.filter(all_of_them, lambda c: c["url"] == name)
-            return F.struct(
-                name.alias("url"),
-                F.array_max(F.transform(same, lambda c: c["confidence"])).alias("confidence"),
-                F.exists(same, lambda c: c["selected_by_user"]).alias("selected_by_user"),
-            )
+    def firsts(by_url: Column) -> Column:
+        return F.filter(by_url, lambda c, i: (i == 0) | (F.get(by_url, i - 1)["url"] != c["url"]))
 
-        return F.transform(names, one)
+    def fold(all_of_them: Column) -> Column:
+        # Sorted by address and falling confidence, or chosen ones first, the first of each run says all; both have the same runs.
+        ranked = F.transform(all_of_them, lambda c: F.struct(c["url"].alias("url"), (-c["confidence"]).alias("rank")))
+        chosen = F.transform(all_of_them, lambda c: F.struct(c["url"].alias("url"), (~c["selected_by_user"]).alias("not_chosen")))
+        return F.zip_with(
+            bind(F.array_sort(ranked), firsts),
+            bind(F.array_sort(chosen), firsts),
+            lambda best, mark: F.struct(
+                best["url"].alias("url"), (-best["rank"]).alias("confidence"), (~mark["not_chosen"]).alias("selected_by_user")
+            ),
+        )
 
     return ordered_candidates(bind(clean, fold))
 

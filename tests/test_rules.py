@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,26 @@ def bounded(value, depth=0):
     return value
 
 
+def test_long_candidate_lists_merge_in_one_go(spark):
+    """Lists of very many addresses, some of them twice: the best confidence and any choice survive, in short time."""
+    def listed(low, high, chosen):
+        each = F.sequence(F.lit(low), F.lit(high))
+        url = lambda i: F.concat(F.lit("https://a.com/p"), i.cast("string"))
+        return F.transform(each, lambda i: F.struct(url(i).alias("url"), (F.lit(0.5) + (i % 7) / 100 * chosen).alias("confidence"), F.lit(bool(chosen)).alias("selected_by_user")))
+
+    def seconds(size):
+        start = time.perf_counter()
+        merged = discovery.merge_candidates(listed(0, size, 0), listed(size // 2, size + size // 2, 1))
+        rows = spark.range(1).select(F.inline(merged)).collect()
+        assert len(rows) == size + size // 2 + 1
+        assert all(r.selected_by_user == (int(r.url[15:]) >= size // 2) for r in rows)
+        assert all(r.confidence == round(0.5 + int(r.url[15:]) % 7 / 100 * r.selected_by_user, 2) for r in rows)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 60
+
+
 def test_metadata_has_one_layout(spark):
     """Flat, nested, wide, invalid and repeated keys: the bounds of a plain walk, in the order of the text, without Python."""
     long = "x" * 600
