@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarifflens import policies as P
 from tarifflens.functions.columns import first_true
 
 
@@ -33,7 +34,7 @@ def _each(rows: DataFrame, *events: Column) -> DataFrame:
 def intake_activity(admitted: DataFrame) -> DataFrame:
     """Events of decided company requests: created ones (known by their request) and full plans."""
     reason, at, user = F.col("reject_reason"), F.col("requested_at"), F.col("user_id")
-    source, none = "api:companies.post", F.lit(None).cast("long")
+    source, none = P.AUDIT_SOURCES["company"], F.lit(None).cast("long")
     return _each(
         admitted,
         F.when(reason == "competitor_limit_reached", _event("competitor_cap_hit", user, none, at, source)),
@@ -47,7 +48,7 @@ def intake_activity(admitted: DataFrame) -> DataFrame:
 def selection_activity(selected: DataFrame, now: Column) -> DataFrame:
     """Events of chosen pricing pages that differ from the ones before."""
     event = _event(
-        "primary_pricing_url_changed", F.col("user_id"), F.col("company_id"), now, "api:companies.primary-pricing.patch",
+        "primary_pricing_url_changed", F.col("user_id"), F.col("company_id"), now, P.AUDIT_SOURCES["primary"],
         nextPrimaryPricingUrl=F.col("primary_pricing_url"),
     )
     return _each(selected, F.when(F.col("primary_changed"), event))
@@ -57,7 +58,7 @@ def trial_activity(decided: DataFrame, now: Column) -> DataFrame:
     """Events of users who asked for a trial, whether they got one or not."""
     kind = F.when(F.col("started"), F.lit("trial_started")).otherwise(F.lit("trial_start_blocked"))
     told = {"reason": F.col("reason"), "trialStatus": F.col("trial_status"), "started": F.col("started")}
-    return _each(decided, _event(kind, F.col("user_id"), F.lit(None).cast("long"), now, "api:trial.start", **told))
+    return _each(decided, _event(kind, F.col("user_id"), F.lit(None).cast("long"), now, P.AUDIT_SOURCES["trial"], **told))
 
 
 def billing_activity(acting: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def crawl_audit(outcomes: DataFrame) -> DataFrame:
         F.col("crawled_at").alias("created_at"),
         F.to_json(
             F.struct(
-                F.lit("crawler:runner").alias("source"),
+                F.lit(P.AUDIT_SOURCES["crawl"]).alias("source"),
                 "status",
                 F.col("error").alias("reason"),
                 F.col("next_crawl_at").alias("nextCrawlAt"),

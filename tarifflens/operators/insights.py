@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifflens import policies as P
-from tarifflens.functions.columns import first_true
 from tarifflens.operators.diffing import total_of
 from tarifflens.operators.entitlements import may_generate_insight
 
@@ -34,27 +33,16 @@ def action_items(severity: Column, verification_state: Column, summary: Column)
     return F.when(F.size(picked) > 0, picked).otherwise(F.array(F.lit(P.TEXT_ACTION_MONITOR)))
 
 
-def insight_decision(severity: Column) -> Column:
-    """NULL when an insight is due, else why not."""
-    return first_true(
-        [
-            (F.col("insight_gate").isNull(), "No insight severity gate available for user"),
-            (
-                ~may_generate_insight(severity),
-                F.concat(
-                    F.lit("Severity "), severity, F.lit(" not allowed for plan gate "), F.col("insight_gate")
-                ),
-            ),
-        ],
-        F.lit(None).cast("string"),
-    )
+def insight_due(severity: Column) -> Column:
+    """Whether the owner's plan has a gate and lets this severity through."""
+    return F.col("insight_gate").isNotNull() & may_generate_insight(severity)
 
 
 def recommendation(severity: Column, verification_state: Column, summary: Column) -> Column:
-    headline = F.concat(F.lit("Competitor pricing moved ("), severity, F.lit(")"))
+    headline = F.concat(F.lit(P.TEXT_HEADLINE[0]), severity, F.lit(P.TEXT_HEADLINE[1]))
     text = F.when(
         summary["updated"] > 0,
-        F.concat(summary["updated"].cast("string"), F.lit(" existing price points changed.")),
+        F.concat(summary["updated"].cast("string"), F.lit(P.TEXT_SUMMARY_UPDATED)),
     ).otherwise(F.lit(P.TEXT_SUMMARY_NEW))
     return F.struct(
         headline.alias("headline"),
@@ -69,11 +57,11 @@ def recommendation(severity: Column, verification_state: Column, summary: Column
 
 def build_insights(diffs: DataFrame, now: Column) -> DataFrame:
     """Insights for diffs that already carry the owner's entitlement columns."""
-    gated = diffs.where(insight_decision(F.col("severity")).isNull())
+    gated = diffs.where(insight_due(F.col("severity")))
     summary = change_summary(F.col("normalized_diff.price_changes"))
     return gated.select(
         *[c for c in ("user_id", "company_id", "diff_id", "current_snapshot_id") if c in diffs.columns],
-        F.lit("rules-v1").alias("model"),
+        F.lit(P.INSIGHT_MODEL).alias("model"),
         F.lit(0).cast("bigint").alias("prompt_tokens"),
         F.lit(0).cast("bigint").alias("completion_tokens"),
         F.lit(0.0).alias("total_cost_usd"),

@@ -145,6 +145,9 @@ TEXT_ACTION_COMPARE = "Compare changed price points against your plan tiers and
 TEXT_ACTION_AUDIT = "Audit your sales messaging for affected segments and adjust objection handling."
 TEXT_ACTION_VERIFY = "Manually verify the competitor pricing page before acting on this change."
 TEXT_ACTION_MONITOR = "Monitor this competitor for repeated movement before making pricing changes."
+TEXT_HEADLINE = ("Competitor pricing moved (", ")")
+TEXT_SUMMARY_UPDATED = " existing price points changed."
+INSIGHT_MODEL = "rules-v1"
 TEXT_SUMMARY_NEW = "New pricing structure changes were detected."
 
 # --- fixed values: lifecycle event -> (actor, resource, status) --------------------------------------
@@ -161,6 +164,14 @@ AUDIT_EVENTS = {
     "crawl_error": ("cron", "crawl", "rejected"),
 }
 
+# --- fixed values: where lifecycle events come from ---------------------------------------------------
+AUDIT_SOURCES = {
+    "trial": "api:trial.start",
+    "company": "api:companies.post",
+    "primary": "api:companies.primary-pricing.patch",
+    "crawl": "crawler:runner",
+}
+
 # --- fixed values: request budgets (name -> (max requests, window seconds)) ---------------------------
 REQUEST_BUDGETS = {
     "company-create": (10, 60),
