@@ -12,10 +12,10 @@ find the candidates of that rule. A class is a connected component of links.
 1. Document frequencies: one scan fills a count sketch of fixed size (two rows of ``COUNTERS`` counters, 16 MB), merged
    by segments. The expected load of a counter is taken off, so that rare shingles stay rare in a large corpus. This
    table and filters of bounded size are all that is broadcast.
-2. Samples: one scan writes a digest of the words, the band keys and one byte per sample of either kind. Weights are
-   rounded to an eighth of an octave, for sampling and similarity alike; the random numbers of a shingle are looked up
-   in a table of ``POOL`` draws by its hash, weights included, so a sample costs a multiplication and a look-up. Plain
-   samples are the smallest products themselves.
+2. Samples: one scan writes a digest of the words, the band keys and one byte per sample of either kind. Every shingle
+   has its own draws in every sample, made from its hash. A first look at 16 bits of it bounds the sampling key from
+   below, so that only shingles that may have the smallest key of their bag are worked out; a bag in which none stays
+   under the bound is worked out whole. Plain samples are the smallest hash products themselves.
 3. Equal digests are exact copies: one of each class, the smallest doc_id, stands for them from here on.
 4. In every band bucket, each member is verified against the smallest one: as many pairs as members, however large.
 5. Buckets that still hold several components go on in groups, one for each component of a smallest member: all
@@ -57,10 +57,10 @@ BANDS, DEPTH = 20, 6
 SAMPLES = BANDS * DEPTH
 COUNTERS = 2**21
 SEGMENT = 2**13
-POOL_BITS = 14
-POOL = 2**POOL_BITS
-# Eighths of an octave; heavier shingles (some 65,000 times in one text) share the last level.
-LEVELS = 8 * 17
+# A bag of total weight W has no sampling key below REACH / W with probability exp(-REACH).
+REACH = 5.0
+# Samples worked out together.
+BLOCK = 8
 FANOUT = 200
 ROW_BLOCK, COLUMN_BLOCK = 256, 2048
 
@@ -140,47 +140,110 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Weights:
-    """Weight levels of shingles, from the broadcast sketch of document frequencies."""
+    """Weights of shingles, from the broadcast sketch of document frequencies less the expected load."""
 
-    def __init__(self, table: np.ndarray, documents: int):
-        self.table = table
+    def __init__(self, excess: np.ndarray, documents: int):
+        self.excess = excess
         self.documents = max(2, documents)
-        self.load = table.sum(axis=1) / COUNTERS
 
-    def levels(self, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weight of each shingle in eighths of an octave."""
-        df = np.minimum(*(self.table[row][at] - self.load[row] for row, at in enumerate(slots(s)))) + 1
-        df = np.clip(df, 1, self.documents)
+    def of(self, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Count times an inverse document frequency between 1 and 2."""
+        one, other = (self.excess[row][at] for row, at in enumerate(slots(s)))
+        df = np.clip(np.minimum(one, other).astype(np.float64) + 1, 1, self.documents)
         top = np.log(self.documents + 1.0)
-        weight = counts * (1 + (top - np.log(df + 1)) / top)
-        return np.clip(np.rint(8 * np.log2(weight)), 0, LEVELS - 1).astype(np.int64)
+        return counts * (1 + (top - np.log(df + 1)) / top)
 
 
-def draws() -> np.ndarray:
-    """Sampling keys by weight level and pool entry: ln a of consistent weighted sampling, as sortable high bits."""
-    rng = np.random.default_rng(20)
-    r, ln_c = rng.gamma(2, 1, POOL), np.log(rng.gamma(2, 1, POOL))
-    beta = rng.uniform(0, 1, POOL)
-    ln_w = np.arange(LEVELS)[:, None] * (np.log(2) / 8)
-    t = np.floor(ln_w / r + beta)
-    ln_a = ln_c - r * (t - beta) - r
-    value = (ln_a - ln_a.min() + 1).astype(np.float32)  # positive floats sort like their bits
-    return (value.view(np.uint32).astype(np.uint64) << np.uint64(32)).ravel()
+def gamma_quantile(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2, by Newton's method on x - ln(1 + x) = -ln(1 - u)."""
+    y = -np.log1p(-u)
+    x = np.sqrt(2 * y) + y
+    for _ in range(6):
+        x = x - np.divide((x - np.log1p(x) - y) * (1 + x), x, out=np.zeros_like(x), where=x > 0)
+    return x
+
+
+class Draws:
+    """Improved consistent weighted sampling: r and c of shape 2 and beta, for each shingle and sample on its own.
+
+    The upper half of a shingle's product holds a byte that picks one of 256 cells of c and one for r; a scramble of the
+    product gives the place inside the cells, and beta. The sampling key is ln a = ln c - r (t - beta + 1) with
+    t = floor(ln w / r + beta), so it is never below ln c - r - ln w, which the cells bound from below. Quantiles come
+    from tables of 65,536 steps, with straight lines between them, and exactly in the first and the last cell.
+    """
+
+    def __init__(self):
+        edges = np.arange(1, 2**16) / 2**16
+        x = gamma_quantile(edges)
+        self.ln_c, self.r = (np.concatenate([[0], v, [0]]).astype(np.float32) for v in (np.log(x), x))
+        ends, step = slice(2**8, 2**16, 2**8), np.float32(1e-4)
+        least = np.append(np.float32(-np.inf), self.ln_c[ends])
+        most = np.append(self.r[ends], np.float32(np.inf))
+        self.least = (least[:, None] - most[None, :] - step).ravel()
+
+    def quantile(self, table: np.ndarray, u: np.ndarray, exact) -> np.ndarray:
+        """Of numbers of 32 bits."""
+        at = (u >> np.uint64(16)).view(np.int64)
+        x, after = table.take(at), table.take(at + 1)
+        x = x + (after - x) * ((u & np.uint64(0xFFFF)).astype(np.float64) / 2**16)
+        outer = np.flatnonzero((at - 2**8).view(np.uint64) >= np.uint64(2**16 - 2**9))
+        x[outer] = exact(gamma_quantile((u[outer] + 0.5) / 2**32))
+        return x
+
+    def keys(self, product: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t."""
+        fine, top, byte = mixed(product), np.uint64(0xFF000000), np.uint64(0xFFFFFF)
+        ln_c = self.quantile(self.ln_c, ((product >> np.uint64(32)) & top) | (fine >> np.uint64(40)), np.log)
+        r = self.quantile(self.r, ((product >> np.uint64(24)) & top) | ((fine >> np.uint64(16)) & byte), np.abs)
+        beta = ((fine & np.uint64(0xFFFF)).astype(np.float64) + 0.5) / 2**16
+        t = np.floor(ln_w / r + beta)
+        return ln_c - r * (t - beta + 1), t.astype(np.int64)
 
 
 MULTIPLIERS = np.random.default_rng(21).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLAIN_MULTIPLIERS = np.random.default_rng(22).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sample(s: np.ndarray, levels: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def sample(s: np.ndarray, weights: np.ndarray, starts: np.ndarray, draws: Draws) -> np.ndarray:
     """SAMPLES samples of each bag. Bags lie one after the other; ``starts`` has where, and none is empty."""
-    base, low = levels * POOL, s & np.uint64(0xFFFFFFFF)
-    result = np.empty((len(starts), SAMPLES), np.uint64)
-    shift = np.uint64(64 - POOL_BITS)
-    for k, by in enumerate(MULTIPLIERS):
-        at = ((s * by) >> shift).astype(np.int64) + base
-        result[:, k] = np.minimum.reduceat(keys[at] | low, starts)
-    return result
+    sizes = np.diff(np.append(starts, len(s)))
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    ln_w = np.log(weights)
+    reach = np.log(REACH) - np.log(np.add.reduceat(weights, starts))
+    bound = (reach[owner] + ln_w).astype(np.float32)
+    result = np.empty((SAMPLES, len(starts)), np.uint64)
+    product, cell = np.empty_like(s), np.empty_like(s)
+    least = np.empty(len(s), np.float32)
+
+    def smallest(at: np.ndarray, product: np.ndarray, bag: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Set the sample of each bag in question (``bag`` ascends); the smallest key of every bag."""
+        key, t = draws.keys(product, ln_w[at])
+        lowest = np.full(len(found), np.inf)
+        if len(at):
+            first = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
+            lowest[bag[first]] = np.minimum.reduceat(key, first)
+        won = np.flatnonzero(key == lowest[bag])
+        found[bag[won]] = mixed(s[at[won]] + t[won].view(np.uint64) * ODD)
+        return lowest
+
+    for block in range(0, SAMPLES, BLOCK):
+        places, products = [], []
+        for by in MULTIPLIERS[block : block + BLOCK]:
+            np.multiply(s, by, out=product)
+            np.right_shift(product, np.uint64(48), out=cell)
+            np.take(draws.least, cell.view(np.int64), out=least, mode="clip")
+            places.append(np.flatnonzero(least <= bound))
+            products.append(product[places[-1]])
+        at, turn = np.concatenate(places), np.repeat(np.arange(len(places)), [len(x) for x in places])
+        found = result[block : block + BLOCK].reshape(-1)
+        lowest = smallest(at, np.concatenate(products), turn * len(starts) + owner[at], found)
+        beyond = np.flatnonzero(lowest > np.tile(reach, len(places)))
+        if len(beyond):
+            bag = beyond % len(starts)
+            at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in bag])
+            again = np.repeat(beyond, sizes[bag])
+            smallest(at, s[at] * MULTIPLIERS[block + again // len(starts)], again, found)
+    return result.T
 
 
 def plain_sample(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -198,13 +261,14 @@ def looks(threshold: float) -> float:
 
 def share(docs: DataFrame, frequencies: tuple[np.ndarray, int]) -> Broadcast:
     """The packed sketch of document frequencies and the number of documents, sent to the workers once."""
-    table = np.minimum(frequencies[0], 2**31 - 1).astype(np.int32)
-    return docs.sparkSession.sparkContext.broadcast((zstandard.compress(table.tobytes(), 1), frequencies[1]))
+    table, documents = frequencies
+    excess = np.maximum(table - table.sum(axis=1, keepdims=True) / COUNTERS, 0).astype(np.float32)
+    return docs.sparkSession.sparkContext.broadcast((zstandard.compress(excess.tobytes(), 1), documents))
 
 
 def opened(packed: bytes, documents: int) -> Weights:
     """The weights from the shared sketch."""
-    return Weights(np.frombuffer(zstandard.decompress(packed), np.int32).reshape(2, COUNTERS), documents)
+    return Weights(np.frombuffer(zstandard.decompress(packed), np.float32).reshape(2, COUNTERS), documents)
 
 
 def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
@@ -215,7 +279,7 @@ def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = opened(*shared.value)
-        shingles, keys = Shingles(), draws()
+        shingles, draws = Shingles(), Draws()
         turn = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
         for batch in batches:
             ids = pd.array([None if pd.isna(d) else int(d) for d in batch["doc_id"]], dtype="Int64")
@@ -229,7 +293,7 @@ def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 s = np.concatenate([bags[i][0] for i in part])
                 counts = np.concatenate([bags[i][1] for i in part])
                 starts = np.cumsum([0] + [len(bags[i][0]) for i in part[:-1]])
-                drawn = np.hstack([sample(s, weights.levels(s, counts), starts, keys), plain_sample(s, starts)])
+                drawn = np.hstack([sample(s, weights.of(s, counts), starts, draws), plain_sample(s, starts)])
                 scrambled = mixed(drawn ^ turn)
                 grouped = mixed(scrambled.reshape(len(part), 2 * BANDS, DEPTH).sum(axis=2)).view(np.int64)
                 short = scrambled.astype(np.uint8)
@@ -246,7 +310,7 @@ def bagger(packed: bytes, documents: int):
 
     def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         s, counts = shingles.of(shingles.words(text))
-        return s, np.exp2(weights.levels(s, counts) / 8)
+        return s, weights.of(s, counts)
 
     return bag
 

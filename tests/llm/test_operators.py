@@ -84,11 +84,11 @@ def test_near_dedup_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     table, count = near_dedup.document_frequencies(docs)
     assert count == len(rows)
-    weights, shingles = near_dedup.Weights(table, count), near_dedup.Shingles()
+    weights, shingles = near_dedup.opened(*near_dedup.share(docs, (table, count)).value), near_dedup.Shingles()
     bags = []
     for text in rows:
         s, n = shingles.of(shingles.words(text))
-        bags.append(dict(zip(s.tolist(), np.exp2(weights.levels(s, n) / 8).tolist())))
+        bags.append(dict(zip(s.tolist(), weights.of(s, n).tolist())))
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -104,15 +104,47 @@ def test_near_dedup_against_all_pairs(spark):
     assert [found[i] for i in range(84, len(rows))] == list(range(84, len(rows)))
 
 
-def test_samples_agree_like_weighted_jaccard():
+@pytest.mark.parametrize("size, times", [(1, 40), (12, 40), (300, 80), (5_000, 60), (100_000, 40)])
+def test_samples_agree_like_weighted_jaccard(size, times):
+    """At any length, with weights of little spread and with counts up to a million."""
     rng = np.random.default_rng(3)
-    s = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
-    x, y = rng.integers(0, 30, len(s)), rng.integers(0, 30, len(s))
-    y[:300] = x[:300]
-    keys, start = near_dedup.draws(), np.array([0])
-    a, b = near_dedup.sample(s, x, start, keys)[0], near_dedup.sample(s, y, start, keys)[0]
-    wx, wy = np.exp2(x / 8), np.exp2(y / 8)
-    assert abs((a == b).mean() - np.minimum(wx, wy).sum() / np.maximum(wx, wy).sum()) < 0.13
+    draws, agreed, wanted = near_dedup.Draws(), [], []
+    for _ in range(times):
+        s = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        x = rng.uniform(1, 2, len(s)) * np.where(rng.random(len(s)) < 0.01, 10.0 ** rng.integers(0, 7, len(s)), 1)
+        y = np.where(rng.random(len(s)) < 0.6, x, rng.uniform(1, 3, len(s)))
+        both = near_dedup.sample(np.concatenate([s, s]), np.concatenate([x, y]), np.array([0, len(s)]), draws)
+        agreed.append((both[0] == both[1]).mean())
+        wanted.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    error = 0.02 if size >= 300 else 0.04
+    assert abs(np.mean(agreed) - np.mean(wanted)) < error
+
+
+def test_samples_of_a_bag_do_not_depend_on_its_neighbours():
+    """Shingles passed over by their bounds are those that could not win."""
+    rng = np.random.default_rng(4)
+    draws = near_dedup.Draws()
+    sizes = [1, 2, 700, 30, 5_000]
+    s = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64)
+    w = rng.uniform(1, 40, len(s))
+    starts = np.cumsum([0, *sizes[:-1]])
+    found = near_dedup.sample(s, w, starts, draws)
+    for k, (start, size) in enumerate(zip(starts, sizes)):
+        bag, weights = s[start : start + size], w[start : start + size]
+        assert (near_dedup.sample(bag, weights, np.array([0]), draws)[0] == found[k]).all()
+        for j, by in enumerate(near_dedup.MULTIPLIERS):
+            key, t = draws.keys(bag * by, np.log(weights))
+            best = int(key.argmin())
+            assert found[k][j] == near_dedup.mixed(bag[best : best + 1] + t[best : best + 1].view(np.uint64) * near_dedup.ODD)[0]
+
+
+def test_gamma_quantiles():
+    x = np.array([1e-4, 0.01, 0.5, 1, 3, 10, 20])
+    u = 1 - (1 + x) * np.exp(-x)
+    assert np.allclose(near_dedup.gamma_quantile(u), x, rtol=1e-6)
+    draws, places = near_dedup.Draws(), np.arange(0, 2**32, 2**32 // 9973, dtype=np.uint64)
+    found = draws.quantile(draws.r, places, np.abs)
+    assert np.allclose(found, near_dedup.gamma_quantile((places + 0.5) / 2**32), rtol=1e-5) and (np.diff(found) > 0).all()
 
 
 def test_buckets_are_compared_to_the_end(spark):
