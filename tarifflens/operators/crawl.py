@@ -15,12 +15,6 @@ from tarifflens.operators.extraction import extract_pricing
 from tarifflens.operators.history import newest
 from tarifflens.operators.insights import build_insights
 
-DELAY_BY_STATUS = {
-    "blocked": P.BLOCKED_DELAY_SECONDS,
-    "manual_needed": P.MANUAL_DELAY_SECONDS,
-    "error": P.ERROR_DELAY_SECONDS,
-}
-
 
 def batch_limit(
     limit: float | None = None, default: int = P.DEFAULT_CRAWL_LIMIT, most: int | None = P.MAX_CRAWL_LIMIT
@@ -49,23 +43,25 @@ def due_queue(companies: DataFrame, now: Column, limit: int | None) -> DataFrame
     return due.orderBy(F.asc_nulls_first("next_crawl_at"), F.asc_nulls_first("updated_at"), "company_id").limit(limit)
 
 
-def claim(companies: DataFrame, now: Column, limit: int | None) -> DataFrame:
+def claim(companies: DataFrame, now: Column, limit: int | None, crawls: P.CrawlPolicy = P.CRAWLS) -> DataFrame:
     """Companies with the lease of the claimed ones set."""
     taken = due_queue(companies, now, limit).select("company_id", F.lit(True).alias("claimed"))
     joined = companies.join(taken, "company_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
-    lease = seconds_after(now, P.CRAWL_LEASE_SECONDS)
+    lease = seconds_after(now, crawls.lease)
     return joined.withColumn(
         "crawl_lease_until", F.when(F.col("claimed"), lease).otherwise(F.col("crawl_lease_until"))
     )
 
 
-def next_crawl_at(status: Column, now: Column) -> Column:
+def next_crawl_at(status: Column, now: Column, crawls: P.CrawlPolicy = P.CRAWLS) -> Column:
     """When to look again."""
-    delay = first_true([(status == s, secs) for s, secs in DELAY_BY_STATUS.items()], P.OK_DELAY_SECONDS)
+    delay = first_true([(status == s, getattr(crawls, s)) for s in ("blocked", "manual_needed", "error")], crawls.ok)
     return seconds_after(now, delay)
 
 
-def with_discovered_source(companies: DataFrame, homepages: DataFrame | None) -> DataFrame:
+def with_discovered_source(
+    companies: DataFrame, homepages: DataFrame | None, links: P.LinkPolicy = P.LINKS
+) -> DataFrame:
     """Add ``source_url``; companies without one try their captured home page first.
 
     ``homepages``: ``company_id, html``.  Also adds what the search found, for storing.
@@ -76,7 +72,7 @@ def with_discovered_source(companies: DataFrame, homepages: DataFrame | None) ->
     wanted = companies.where(searching).select(
         "company_id", "homepage_url", F.col("domain").alias("allowed_domain")
     )
-    found = discover_pricing_urls(wanted.join(homepages.select("company_id", "html"), "company_id")).select(
+    found = discover_pricing_urls(wanted.join(homepages.select("company_id", "html"), "company_id"), links=links).select(
         "company_id", F.col("candidates").alias("_found"), F.col("recommended_primary_url").alias("found_primary")
     )
     joined = companies.join(found, "company_id", "left")
@@ -99,6 +95,11 @@ def crawl_outcomes(
     now: Column,
     homepages: DataFrame | None = None,
     max_chars: int | None = None,
+    *,
+    links: P.LinkPolicy = P.LINKS,
+    pages: P.PagePolicy = P.PAGES,
+    crawls: P.CrawlPolicy = P.CRAWLS,
+    tiers: P.TierPolicy = P.TIERS,
 ) -> DataFrame:
     """One row per crawled company with everything the cycle decided.
 
@@ -107,10 +108,10 @@ def crawl_outcomes(
     scanned and only the small facts travel to the company; downstream tables are filters of
     the result, so it is worth persisting once.
     """
-    owners = with_entitlements(users, plans, now).select(
+    owners = with_entitlements(users, plans, now, tiers).select(
         "user_id", F.lit(True).alias("owner_found"), "access_granted", "insight_gate", "allowed_severities"
     )
-    located = with_discovered_source(companies, homepages)
+    located = with_discovered_source(companies, homepages, links)
     extra = [c for c in ("found_candidates", "found_primary") if c in located.columns]
     owned = located.select("company_id", "user_id", "latest_content_hash", "source_url", *extra).join(
         owners, "user_id", "left"
@@ -119,7 +120,7 @@ def crawl_outcomes(
     no_access = ~F.coalesce(F.col("access_granted"), F.lit(False))
     # Gates come before parsing: only pages of companies that pass all of them are read.
     admitted = owned.where(~(no_url | no_owner | no_access)).select("company_id")
-    facts = extract_pricing(captures.join(admitted, "company_id", "left_semi"), max_chars).select(
+    facts = extract_pricing(captures.join(admitted, "company_id", "left_semi"), max_chars, pages).select(
         "company_id", "status", "error", "confidence", "content_hash", "payload", "is_verified"
     )
     base = owned.join(facts, "company_id", "left")
@@ -174,7 +175,7 @@ def crawl_outcomes(
         "allowed_severities",
         *extra,
         now.alias("crawled_at"),
-        next_crawl_at(F.col("final_status"), now).alias("next_crawl_at"),
+        next_crawl_at(F.col("final_status"), now, crawls).alias("next_crawl_at"),
     )
 
 

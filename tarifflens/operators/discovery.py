@@ -43,13 +43,13 @@ def pattern_score(value: Column, table: tuple[tuple[str, float], ...]) -> Column
     return reduce(lambda left, right: left + right, parts, F.lit(0.0))
 
 
-def link_confidence(path: Column, anchor_text: Column) -> Column:
+def link_confidence(path: Column, anchor_text: Column, links: P.LinkPolicy = P.LINKS) -> Column:
     """How likely a link leads to pricing."""
 
     def weigh(s: Column) -> Column:
-        base = F.lit(P.LINK_BASE_SCORE) + s["path_plus"] + s["text_plus"]
-        agree = F.when((s["path_plus"] > 0.5) & (s["text_plus"] > 0.2), F.lit(P.LINK_AGREEMENT_BONUS))
-        rootish = F.when((s["path"] == "/") & (s["text_plus"] < 0.2), F.lit(P.LINK_ROOT_PENALTY))
+        base = F.lit(links.base) + s["path_plus"] + s["text_plus"]
+        agree = F.when((s["path_plus"] > 0.5) & (s["text_plus"] > 0.2), F.lit(links.agreement_bonus))
+        rootish = F.when((s["path"] == "/") & (s["text_plus"] < 0.2), F.lit(links.root_penalty))
         return (
             base
             + F.coalesce(agree, F.lit(0.0))
@@ -60,10 +60,10 @@ def link_confidence(path: Column, anchor_text: Column) -> Column:
     def score(low: Column) -> Column:
         return F.struct(
             low["path"].alias("path"),
-            pattern_score(low["path"], P.PATH_PLUS).alias("path_plus"),
-            pattern_score(low["words"], P.TEXT_PLUS).alias("text_plus"),
-            pattern_score(low["path"], P.PATH_MINUS).alias("path_minus"),
-            pattern_score(low["words"], P.TEXT_MINUS).alias("text_minus"),
+            pattern_score(low["path"], links.path_plus).alias("path_plus"),
+            pattern_score(low["words"], links.text_plus).alias("text_plus"),
+            pattern_score(low["path"], links.path_minus).alias("path_minus"),
+            pattern_score(low["words"], links.text_minus).alias("text_minus"),
         )
 
     lowered = F.struct(F.lower(path).alias("path"), F.lower(anchor_text).alias("words"))
@@ -126,11 +126,11 @@ def merge_candidates(*lists: Column) -> Column:
     return ordered_candidates(bind(clean, fold))
 
 
-def recommended_primary(candidates: Column) -> Column:
+def recommended_primary(candidates: Column, links: P.LinkPolicy = P.LINKS) -> Column:
     """The clear winner of an ordered list, else NULL."""
     best, second = F.get(candidates, F.lit(0)), F.get(candidates, F.lit(1))
-    strong = best["confidence"] >= P.PRIMARY_MIN_CONFIDENCE
-    clear = second.isNull() | ((best["confidence"] - second["confidence"]) >= P.PRIMARY_MIN_GAP)
+    strong = best["confidence"] >= links.primary_confidence
+    clear = second.isNull() | ((best["confidence"] - second["confidence"]) >= links.primary_gap)
     return F.when(strong & clear, best["url"])
 
 
@@ -138,6 +138,7 @@ def discover_pricing_urls(
     homepages: DataFrame,
     max_candidates: int = P.DISCOVERY_MAX_CANDIDATES,
     min_confidence: float = P.DISCOVERY_MIN_CONFIDENCE,
+    links: P.LinkPolicy = P.LINKS,
 ) -> DataFrame:
     """Candidates and recommended address per home page.
 
@@ -171,7 +172,7 @@ def discover_pricing_urls(
             "inside",
             lambda a: F.struct(
                 a["url"].alias("url"),
-                (-link_confidence(urls.path_of(a["url"]), a["text"])).alias("rank"),
+                (-link_confidence(urls.path_of(a["url"]), a["text"], links)).alias("rank"),
             ),
         ),
         lambda c: c["rank"] <= -min_confidence,
@@ -193,7 +194,7 @@ def discover_pricing_urls(
     staged = computed_once(
         staged, candidates=F.coalesce(top, F.array().cast(CANDIDATE_TYPE))
     ).drop("inside")
-    return staged.withColumn("recommended_primary_url", recommended_primary(F.col("candidates")))
+    return staged.withColumn("recommended_primary_url", recommended_primary(F.col("candidates"), links))
 
 
 def candidate_rows(discovered: DataFrame, *keys: str) -> DataFrame:
@@ -203,7 +204,7 @@ def candidate_rows(discovered: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def rediscover(companies: DataFrame, homepages: DataFrame) -> DataFrame:
+def rediscover(companies: DataFrame, homepages: DataFrame, links: P.LinkPolicy = P.LINKS) -> DataFrame:
     """On-demand discovery for companies with a home page that was captured (D10); the others stay as they are.
 
     ``homepages``: ``company_id, html``. What is found is merged into what is known, and the primary address is
@@ -212,7 +213,7 @@ def rediscover(companies: DataFrame, homepages: DataFrame) -> DataFrame:
     pages = companies.where(F.col("homepage_url").isNotNull()).select(
         "company_id", "homepage_url", F.col("domain").alias("allowed_domain")
     )
-    found = discover_pricing_urls(pages.join(homepages.select("company_id", "html"), "company_id")).select(
+    found = discover_pricing_urls(pages.join(homepages.select("company_id", "html"), "company_id"), links=links).select(
         "company_id", F.col("candidates").alias("found"), "recommended_primary_url"
     )
     joined = companies.join(found, "company_id", "left")

@@ -37,22 +37,22 @@ def trial_is_active(now: Column) -> Column:
     return F.coalesce((F.col("trial_status") == "active") & (F.col("trial_ends_at") > now), F.lit(False))
 
 
-def with_entitlements(users: DataFrame, plans: Plans, now: Column) -> DataFrame:
+def with_entitlements(users: DataFrame, plans: Plans, now: Column, tiers: P.TierPolicy = P.TIERS) -> DataFrame:
     """Paid plan, else running trial, else nothing."""
     tiered = with_price_tier(users, plans)
     paid = F.coalesce(F.col("has_access"), F.lit(False))
     trial = trial_is_active(now)
     tiered = tiered.withColumn(
         "plan_tier",
-        F.when(paid, F.coalesce("price_tier", F.lit(P.PAID_FALLBACK_TIER))).when(trial, F.lit(P.TRIAL_TIER)),
+        F.when(paid, F.coalesce("price_tier", F.lit(tiers.fallback))).when(trial, F.lit(tiers.trial)),
     ).drop("price_tier")
 
     def per_tier(pick, default: Column) -> Column:  # noqa: ANN001
         return first_true(
-            [(F.col("plan_tier") == tier, pick(rule)) for tier, rule in P.PLAN_TIERS.items()], default
+            [(F.col("plan_tier") == tier, pick(rule)) for tier, rule in tiers.tiers.items()], default
         )
 
-    severities = lambda rule: F.array(*[F.lit(s) for s in P.SEVERITY_GATES[rule["gate"]]])
+    severities = lambda rule: F.array(*[F.lit(s) for s in tiers.gates[rule["gate"]]])
     return (
         tiered.withColumn("access_granted", F.col("plan_tier").isNotNull())
         .withColumn("access_source", first_true([(paid, "paid"), (trial, "trial")], "none"))

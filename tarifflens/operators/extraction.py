@@ -15,16 +15,16 @@ def capped_html(html: Column, max_chars: int | None = None) -> Column:
     return html if max_chars is None else F.substring(html, 1, max_chars)
 
 
-def fetch_failure_status(http_status: Column) -> Column:
+def fetch_failure_status(http_status: Column, pages: P.PagePolicy = P.PAGES) -> Column:
     """What a failed fetch means for the company."""
     return (
-        F.when(http_status.isin(*P.BLOCKED_HTTP_STATUSES), F.lit("blocked"))
+        F.when(http_status.isin(*pages.blocked_statuses), F.lit("blocked"))
         .when(http_status.between(400, 499), F.lit("manual_needed"))
         .otherwise(F.lit("error"))
     )
 
 
-def page_facts(captures: DataFrame, max_chars: int | None = None) -> DataFrame:
+def page_facts(captures: DataFrame, max_chars: int | None = None, pages: P.PagePolicy = P.PAGES) -> DataFrame:
     """Text-level facts of every capture; each long expression is evaluated once.
 
     Adds ``canonical_url``, ``page_text``, ``blocked_signals``, ``pricing_signals``,
@@ -42,9 +42,9 @@ def page_facts(captures: DataFrame, max_chars: int | None = None) -> DataFrame:
     staged = computed_once(staged, lowered=F.lower("page_text"))
     staged = computed_once(
         staged,
-        blocked_signals=text.phrases_in(F.col("lowered"), P.BLOCKED_SIGNALS),
-        pricing_signals=text.phrases_in(F.col("lowered"), P.PRICING_SIGNALS),
-        custom_hints=text.phrases_in(F.col("lowered"), P.CUSTOM_PRICING_SIGNALS),
+        blocked_signals=text.phrases_in(F.col("lowered"), pages.blocked),
+        pricing_signals=text.phrases_in(F.col("lowered"), pages.pricing),
+        custom_hints=text.phrases_in(F.col("lowered"), pages.custom),
         mentions=F.coalesce(
             prices.price_mentions(F.col("page_text")), F.array().cast(prices.PRICE_TYPE)
         ),
@@ -52,13 +52,13 @@ def page_facts(captures: DataFrame, max_chars: int | None = None) -> DataFrame:
     return staged.drop("lowered")
 
 
-def extract_pricing(captures: DataFrame, max_chars: int | None = None) -> DataFrame:
+def extract_pricing(captures: DataFrame, max_chars: int | None = None, pages: P.PagePolicy = P.PAGES) -> DataFrame:
     """Status, error, confidence, hash and payload of every capture.
 
     Input: ``source_url, http_status, content_type, html`` plus any key columns, and
     optionally ``fetch_error`` (text of a network failure).
     """
-    facts = page_facts(captures, max_chars)
+    facts = page_facts(captures, max_chars, pages)
     http = F.col("http_status")
     fetch_text = F.concat(F.lit("HTTP "), http.cast("string"))
     if "fetch_error" in captures.columns:
@@ -71,7 +71,7 @@ def extract_pricing(captures: DataFrame, max_chars: int | None = None) -> DataFr
     status = first_true(
         [
             (bad_url, "manual_needed"),
-            (failed, fetch_failure_status(http)),
+            (failed, fetch_failure_status(http, pages)),
             (not_html, "manual_needed"),
             (bots, "blocked"),
             (silent, "manual_needed"),

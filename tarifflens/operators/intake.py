@@ -138,7 +138,9 @@ def admit_companies(requests: DataFrame, entitled_users: DataFrame, companies: D
     return joined.withColumn("reject_reason", reason).select(*shown, "reject_reason")
 
 
-def new_companies(admitted: DataFrame, now: Column, homepages: DataFrame | None = None) -> DataFrame:
+def new_companies(
+    admitted: DataFrame, now: Column, homepages: DataFrame | None = None, links: P.LinkPolicy = P.LINKS
+) -> DataFrame:
     """Rows to append for admitted requests; competitors are due at once.
 
     A competitor without a pricing page gets the candidates of its home page, if that was captured. ``homepages``:
@@ -154,7 +156,7 @@ def new_companies(admitted: DataFrame, now: Column, homepages: DataFrame | None
         pages = sites.join(homepages.select(F.col("homepage").alias("_site"), "html"), "_site").select(
             F.col("_site").alias("homepage_url"), F.col("company_domain").alias("allowed_domain"), "html"
         )
-        found = discover_pricing_urls(pages).select(
+        found = discover_pricing_urls(pages, links=links).select(
             F.col("homepage_url").alias("_site"),
             F.col("allowed_domain").alias("company_domain"),
             F.col("candidates").alias("_found"),

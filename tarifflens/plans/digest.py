@@ -22,12 +22,12 @@ def digest_diffs(diffs: DataFrame, now: Column, days: int, per_user: int) -> Dat
 
 
 def digest_stages(
-    users: DataFrame, plans: Plans, kept: DataFrame, now: Column, days: int
+    users: DataFrame, plans: Plans, kept: DataFrame, now: Column, days: int, tiers: P.TierPolicy = P.TIERS
 ) -> DataFrame:
     """Where each user leaves the funnel; the first failing test wins."""
     since = seconds_after(now, -days * 86400)
     with_diffs = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("diff_count"))
-    candidates = with_entitlements(users.where(F.col("email").isNotNull()), plans, now)
+    candidates = with_entitlements(users.where(F.col("email").isNotNull()), plans, now, tiers)
     joined = candidates.join(with_diffs, "user_id", "left")
     stage = first_true(
         [

@@ -41,9 +41,17 @@ def recent_change_counts(diffs: DataFrame, now: Column, days: int = P.OVERVIEW_W
     return counted.withColumn("changes_total", sum((F.col("changes_" + s) for s in P.SEVERITIES), F.lit(0)).cast("bigint"))
 
 
-def overview(users: DataFrame, plans: Plans, companies: DataFrame, diffs: DataFrame, now: Column) -> DataFrame:
+def overview(
+    users: DataFrame,
+    plans: Plans,
+    companies: DataFrame,
+    diffs: DataFrame,
+    now: Column,
+    tiers: P.TierPolicy = P.TIERS,
+) -> DataFrame:
     """Everything the overview page shows, for all users."""
-    fresh = with_entitlements(refresh_trials(users, now), plans, now).withColumn("trial_active", trial_is_active(now))
+    fresh = with_entitlements(refresh_trials(users, now), plans, now, tiers)
+    fresh = fresh.withColumn("trial_active", trial_is_active(now))
     counts = company_counts(companies)
     changes = recent_change_counts(diffs, now)
     base = fresh.select(

@@ -2,12 +2,15 @@
 
 Everything here is a FIXED VALUE: results are only right when these equal the
 values of the system whose answers we reproduce.  They are kept together, in
-natural order, as plain text.  Operators take them as keyword arguments with
-these defaults, so a caller can pass another table.
+natural order, as plain text.  The tables that a caller may want to replace are
+bundled at the end (link weights, page signals, crawl delays, plan tiers), and
+operators take a bundle as a keyword argument with these values as its default.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 # --- fixed values: clocks (seconds) -------------------------------------------
 CRAWL_LEASE_SECONDS = 6 * 60
 OK_DELAY_SECONDS = 24 * 3600
@@ -182,3 +185,56 @@ REQUEST_BUDGETS = {
     "crawl-now": (10, 60),
     "retry-crawl": (10, 60),
 }
+
+
+# --- bundles that operators take as arguments ----------------------------------------------------------
+Weights = tuple[tuple[str, float], ...]
+
+
+@dataclass(frozen=True)
+class LinkPolicy:
+    """How links are scored and when one of them is the clear winner."""
+
+    path_plus: Weights = PATH_PLUS
+    text_plus: Weights = TEXT_PLUS
+    path_minus: Weights = PATH_MINUS
+    text_minus: Weights = TEXT_MINUS
+    base: float = LINK_BASE_SCORE
+    agreement_bonus: float = LINK_AGREEMENT_BONUS
+    root_penalty: float = LINK_ROOT_PENALTY
+    primary_confidence: float = PRIMARY_MIN_CONFIDENCE
+    primary_gap: float = PRIMARY_MIN_GAP
+
+
+@dataclass(frozen=True)
+class PagePolicy:
+    """Phrases looked for in page text, which the caller gives in lower case, and statuses that mean a block."""
+
+    blocked: tuple[str, ...] = BLOCKED_SIGNALS
+    pricing: tuple[str, ...] = PRICING_SIGNALS
+    custom: tuple[str, ...] = CUSTOM_PRICING_SIGNALS
+    blocked_statuses: tuple[int, ...] = BLOCKED_HTTP_STATUSES
+
+
+@dataclass(frozen=True)
+class CrawlPolicy:
+    """Seconds until the next look by outcome, and those of a lease."""
+
+    ok: int = OK_DELAY_SECONDS
+    blocked: int = BLOCKED_DELAY_SECONDS
+    manual_needed: int = MANUAL_DELAY_SECONDS
+    error: int = ERROR_DELAY_SECONDS
+    lease: int = CRAWL_LEASE_SECONDS
+
+
+@dataclass(frozen=True)
+class TierPolicy:
+    """What each plan tier allows, and the tiers of trials and of prices that no plan knows."""
+
+    tiers: dict[str, dict] = field(default_factory=lambda: PLAN_TIERS)
+    gates: dict[str, tuple[str, ...]] = field(default_factory=lambda: SEVERITY_GATES)
+    trial: str = TRIAL_TIER
+    fallback: str = PAID_FALLBACK_TIER
+
+
+LINKS, PAGES, CRAWLS, TIERS = LinkPolicy(), PagePolicy(), CrawlPolicy(), TierPolicy()

@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from tarifflens.functions import numbers, prices, text, urls
 from tarifflens.functions.cursor import decode_cursor, encode_cursor
 from tarifflens import policies as P
-from tarifflens.operators import audit, billing, crawl, delivery, diffing, discovery, entitlements, intake, intervals
+from tarifflens.operators import (
+    audit,
+    billing,
+    crawl,
+    delivery,
+    diffing,
+    discovery,
+    entitlements,
+    extraction,
+    intake,
+    intervals,
+)
 
 MENTIONS = [
     ("$49 per member", [(49.0, "USD", "month")]),
@@ -370,3 +381,43 @@ def test_least_cover_equals_brute_force(spark):
     )
     wanted = {(k, at): min((v for s, low, high, v in spans if s == k and low <= at < high), default=None) for k, at in points}
     assert {(r.k, r.at): r.least for r in found.collect()} == wanted
+
+
+def test_policies_of_the_caller(spark):
+    """Another table of weights, phrases, delays or tiers changes the answers; the default ones stay."""
+    homes = spark.createDataFrame([("https://a.com", '<a href="/tarife">Tarife</a>')], "homepage_url string, html string")
+    links = P.LinkPolicy(path_plus=((r"^/tarife(?:/|$)", 0.9),))
+    assert discovery.discover_pricing_urls(homes).first().candidates == []
+    found = discovery.discover_pricing_urls(homes, links=links).first()
+    assert found.candidates[0].url == found.recommended_primary_url == "https://a.com/tarife"
+    assert discovery.discover_pricing_urls(homes, links=P.LinkPolicy(links.path_plus, primary_confidence=0.99)).first()[-1] is None
+
+    captures = spark.createDataFrame(
+        [("https://a.com/t", 200, "text/html", "<p>Zugriff verweigert</p>"), ("https://a.com/t", 451, "text/html", "")],
+        "source_url string, http_status int, content_type string, html string",
+    )
+    pages = P.PagePolicy(blocked=("zugriff verweigert",), blocked_statuses=(451,))
+    assert [r.status for r in extraction.extract_pricing(captures).collect()] == ["manual_needed"] * 2
+    assert [r.status for r in extraction.extract_pricing(captures, pages=pages).collect()] == ["blocked"] * 2
+
+    states = spark.createDataFrame([("ok",), ("blocked",), ("manual_needed",), ("error",), ("idle",)], "status string")
+    now = F.expr("timestamp_ntz'2001-08-01 00:00:00'")
+    crawls = P.CrawlPolicy(ok=1, blocked=2, manual_needed=3, error=4)
+    after = states.select(crawl.next_crawl_at(F.col("status"), now, crawls).alias("at")).collect()
+    assert [r["at"].second for r in after] == [1, 2, 3, 4, 1]
+
+    users = spark.sql(
+        "select 1L user_id, true has_access, 'x' price_id, 'none' trial_status, timestamp_ntz'2001-08-02 00:00:00' trial_ends_at "
+        "union all select 2L, false, null, 'active', timestamp_ntz'2001-08-02 00:00:00'"
+    )
+    tiers = P.TierPolicy(
+        {"team": dict(competitor_limit=50, gate="all", digest=True), "taste": dict(competitor_limit=1, gate="none", digest=False)},
+        {"all": ("high", "medium", "low"), "none": ()},
+        trial="taste",
+        fallback="team",
+    )
+    granted = {r.user_id: r for r in entitlements.with_entitlements(users, [(1, "y", "team")], now, tiers).collect()}
+    assert (granted[1].competitor_limit, granted[1].allowed_severities) == (50, ["high", "medium", "low"])
+    assert (granted[2].plan_tier, granted[2].competitor_limit, granted[2].allowed_severities) == ("taste", 1, [])
+    usual = {r.user_id: r.plan_tier for r in entitlements.with_entitlements(users, [(1, "y", "pro")], now).collect()}
+    assert usual == {1: "starter", 2: "starter"}
