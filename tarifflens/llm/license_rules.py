@@ -2,8 +2,9 @@
 
 A text is cut into sentences, which are normalised (lower case, single blanks, no punctuation but inner dots). A known
 licence sentence has an identifier; the others are passed over. The sequence of identifiers is then matched against
-ordered rules: a rule names a licence and the identifiers that must follow one another. Rules that are part of a longer
-rule that matched too (the two-clause licence in the three-clause one) give way to it.
+ordered rules: a rule names a licence and the identifiers that must follow one another. Where a rule is a stretch of a
+longer one, identifiers that the longer one covers do not count for it; those elsewhere in the text do, so a text that
+holds two licences gives both.
 
 Everything happens inside the row, so the scan has no shuffle at any size, and a text of any length is one row. The
 tables of sentences and rules are parameters; they are literals of the plan (some dozen entries).
@@ -11,8 +12,9 @@ tables of sentences and rules are parameters; they are literals of the plan (som
 Edge cases: a null or empty text has no sentences and no licence. A sentence may be wrapped over lines; a line break
 ends a sentence unless the next line goes on in lower case or in capitals after capitals, or the line ends with a word
 such as "the" or inside the name of a licence. Marks of comments at line starts are left out before lines are joined.
-Semicolons and colons end a sentence, other than those inside a known one. Copyright lines are known by their first
-word. Repeated rows get equal results; the operator adds columns and replaces those of the same names.
+Semicolons and colons end a sentence, other than those inside a known one. Of an SPDX expression the first identifier
+counts. Copyright lines are known by their first word. Repeated rows get equal results; the operator adds columns and
+replaces those of the same names.
 """
 
 from __future__ import annotations
@@ -75,6 +77,20 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even "
     "the implied warranty of merchantability or fitness for a particular purpose",
     "mpl-terms": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+    "general public license as published by the free software foundation either version 2 of the license or at your "
+    "option any later version",
+    "lgpl-2.1-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+    "lesser general public license as published by the free software foundation either version 2.1 of the license or at "
+    "your option any later version",
+    "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+    "lesser general public license as published by the free software foundation either version 3 of the license or at "
+    "your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even "
+    "the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+    "affero general public license as published by the free software foundation either version 3 of the license or at "
+    "your option any later version",
     "unlicense-public": "this is free and unencumbered software released into the public domain",
 }
 
@@ -89,6 +105,10 @@ RULES = [
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["notice-apache-2"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-free", "lgpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope"]),
     ("GPL-3.0", ["notice-gpl-3"]),
     ("GPL-2.0", ["notice-gpl-2"]),
     ("MPL-2.0", ["mpl-terms"]),
@@ -104,11 +124,22 @@ RULES = [
     ("all-rights-reserved", ["notice-reserved"]),
 ]
 
+# Identifiers that stand alone on an SPDX line.
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+SENTENCES |= {f"spdx-{x}": "spdx license identifier " + x.lower().replace("-", " ") for x in SPDX}
+RULES += [(x, [f"spdx-{x}"]) for x in SPDX]
+
 # Identifiers of lines known by their start alone, and titles, which no rule needs, are skipped between sentences.
 SKIPPED = ("copyright", "mit-title", "mit-title-2")
 
 # The steps of normalisation: pattern and replacement (the dialects of Spark and DuckDB agree on these).
 STEPS = [
+    # An SPDX line is a sentence of its own, whatever stands around it.
+    (r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", ". SPDX-License-Identifier $1. "),
     # Marks of comments at line starts (a star at the margin is a list).
     (r"(\A|\n)[ \t]*(?://+|#+|/\*+|--+|;+|%+|<!--)!?[ \t]*", "$1"),
     (r"(\n)[ \t]+\*+/?[ \t]*", "$1"),
@@ -119,15 +150,15 @@ STEPS = [
     (r"([A-Z,]\"?,?) *\r?\n *(\"?[A-Z][A-Z]|A PARTICULAR)", "$1 $2"),
     (r"([ (\n](?:the|of|under|a|an|or|but|by|to|version)) *\r?\n *([(\"]?[A-Z0-9])", "$1 $2"),
     (
-        r"((?:Apache|GNU|General|Public|Mozilla|Creative|Commons|Free|Software|Source|Code|MIT|License,|Version|"
+        r"((?:Apache|GNU|Lesser|Affero|General|Public|Mozilla|Creative|Commons|Free|Software|Source|Code|MIT|License,|Version|"
         r"CC|CC0|BY|BY-SA|BY-NC|BY-ND|BY-NC-SA|Attribution|ShareAlike|International|[0-9]\.0)) *\r?\n *"
-        r"((?:License|General Public|Public License|Commons|Attribution|ShareAlike|Software Foundation|Foundation|Code Form|"
+        r"((?:License|Lesser General|Affero General|General Public|Public License|Commons|Attribution|ShareAlike|Software Foundation|Foundation|Code Form|"
         r"Form|Version|International|BY|[0-9]\.0)\b)",
         "$1 $2",
     ),
     # Marks that do not end the known sentence they stand in.
     (r"([ ,]v)\.[ \t\r\n]+([0-9])", "$1 $2"),
-    (r"[;:][ \t\r\n]+(you may not use|you can redistribute|without even the implied)", " $1"),
+    (r"[;:][ \t\r\n]+(you may not use|you can redistribute|either version|without even the implied)", " $1"),
     # A copyright line or an address that runs into the next sentence, where all stands on one line.
     (
         r" +(Licensed under the Apache License, Version 2\.0 \(the|Permission is hereby granted, free|"
@@ -162,6 +193,12 @@ def identifiers(found: Column, known: dict[str, str]) -> Column:
     return F.filter(named, lambda name: name.isNotNull())
 
 
+def longer_rules(needle: str, rules: list[tuple[str, list[str]]]) -> list[str]:
+    """The sequences of the rules of which this one is a stretch, longest first."""
+    every = {"|" + "||".join(rule) + "|" for _, rule in rules}
+    return sorted((x for x in every if needle in x and needle != x), key=lambda x: (-len(x), x))
+
+
 def licences(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Distinct licences whose rule matches the sequence, in the order of the rules.
 
@@ -170,13 +207,10 @@ def licences(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
     matched = []
     for licence, rule in rules:
         needle = "|" + "||".join(rule) + "|"
-        longer = [
-            "|" + "||".join(other) + "|" for _, other in rules if len(other) > len(rule) and set(rule) < set(other)
-        ]
-        hit = F.contains(sequence, F.lit(needle))
-        for other in longer:
-            hit = hit & ~F.contains(sequence, F.lit(other))
-        matched.append(F.when(hit, F.lit(licence)))
+        rest = sequence
+        for other in longer_rules(needle, rules):
+            rest = F.replace(rest, F.lit(other), F.lit("/"))
+        matched.append(F.when(F.contains(rest, F.lit(needle)), F.lit(licence)))
     return F.array_distinct(F.filter(F.array(*matched), lambda x: x.isNotNull()))
 
 
@@ -216,11 +250,10 @@ def scan_sql() -> str:
     known = ", ".join(f"({quoted(s)}, {quoted(n)})" for n, s in SENTENCES.items())
     cases = []
     for licence, rule in RULES:
-        hit = [f"contains(sequence, {quoted('|' + '||'.join(rule) + '|')})"]
-        for _, other in RULES:
-            if len(other) > len(rule) and set(rule) < set(other):
-                hit.append(f"not contains(sequence, {quoted('|' + '||'.join(other) + '|')})")
-        cases.append(f"case when {' and '.join(hit)} then {quoted(licence)} end")
+        needle, rest = "|" + "||".join(rule) + "|", "sequence"
+        for other in longer_rules(needle, RULES):
+            rest = f"replace({rest}, {quoted(other)}, '/')"
+        cases.append(f"case when contains({rest}, {quoted(needle)}) then {quoted(licence)} end")
     skipped = ", ".join(map(quoted, SKIPPED))
     order = [x for i, (x, _) in enumerate(RULES) if x not in [y for y, _ in RULES[:i]]]
     listed = ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(order))

@@ -348,6 +348,63 @@ def test_standard_texts_as_published(spark):
     assert [r[:2] for r in license_rules.scan(docs).collect() if r.licences != [r.licence]] == []
 
 
+GNU = {
+    "GPL-2.0-or-later": ("program", "General", "2", ";"),
+    "LGPL-2.1-or-later": ("library", "Lesser General", "2.1", ";"),
+    "LGPL-3.0-or-later": ("library", "Lesser General", "3", ","),
+    "AGPL-3.0-or-later": ("program", "Affero General", "3", ","),
+}
+
+
+def test_gnu_notices(spark):
+    rows = []
+    for licence, (work, name, version, mark) in GNU.items():
+        paragraphs = [
+            f"This {work} is free software{':' if mark == ',' else ';'} you can redistribute it and/or modify it under the "
+            f"terms of the GNU {name} Public License as published by the Free Software Foundation{mark} either version "
+            f"{version} of the License, or (at your option) any later version.",
+            f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License "
+            "for more details.",
+        ]
+        for width in (*range(34, 100, 5), 10_000):
+            filled = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in paragraphs)
+            rows += [(licence, f"{m}{width}", "\n".join((m + x).rstrip() for x in filled.split("\n"))) for m in ("", "# ", "// ")]
+    docs = spark.createDataFrame(rows, "licence string, form string, text string")
+    assert [r[:2] for r in license_rules.scan(docs).collect() if r.licences != [r.licence]] == []
+
+
+def test_several_licences_in_one_text(spark):
+    two = STANDARD["BSD-2-Clause"]
+    endorse = (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    )
+    three = [*two[:3], endorse, two[3]]
+    texts = [[*two, *three], [*three, *two], three, [*three, *STANDARD["Apache-2.0"]], [*two, *two]]
+    wanted = [["BSD-3-Clause", "BSD-2-Clause"]] * 2 + [["BSD-3-Clause"], ["BSD-3-Clause", "Apache-2.0"], ["BSD-2-Clause"]]
+    docs = spark.createDataFrame([(i, "\n\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert [r.licences for r in license_rules.scan(docs).orderBy("doc_id").collect()] == wanted
+
+
+def test_a_rule_inside_a_longer_one(spark):
+    known = {"a": "one", "b": "two", "c": "three"}
+    rules = [("long", ["a", "b", "c"]), ("short", ["b"])]
+    texts = ["One. Two. Three.", "Two. One. Two. Three.", "Two.", "One. Two. One. Two. Three."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.licences for r in license_rules.scan(docs, known, rules).orderBy("doc_id").collect()]
+    assert found == [["long"], ["long", "short"], ["short"], ["long", "short"]]
+
+
+def test_spdx_lines(spark):
+    lines = ["// SPDX-License-Identifier: {}\npackage main", "/* SPDX-License-Identifier: {} */\n#include <a.h>", "# SPDX-License-Identifier: {}"]
+    rows = [(x, line.format(x)) for x in license_rules.SPDX for line in lines]
+    docs = spark.createDataFrame(rows, "licence string, text string")
+    assert [r.text for r in license_rules.scan(docs).collect() if r.licences != [r.licence]] == []
+    unknown = spark.createDataFrame([("SPDX-License-Identifier: Nothing-1.0",), ("the MIT people said: MIT.",)], "text string")
+    assert [r.licences for r in license_rules.scan(unknown).collect()] == [[], []]
+
+
 def test_list_items_stay_apart(spark):
     docs = spark.createDataFrame([("* released under the mit license\n* all rights reserved",)], "text string")
     assert license_rules.scan(docs).first().licences == ["MIT", "all-rights-reserved"]
