@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifflens.llm.common import stored
+from tarifflens.llm.common import few, stored
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,30 +18,26 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
     pairs = stored(pairs.where(F.col(a) != F.col(b)).select(low, high).distinct())
-    state = None
+    state, rows = None, 2 * pairs.count()
     while True:
         both = pairs.select(F.col("low").alias("of"), F.col("high").alias("with")).unionByName(
             pairs.select(F.col("high").alias("of"), F.col("low").alias("with"))
         )
-        least = stored(both.groupBy("of").agg(F.least(F.min("with"), F.min("of")).alias("least")))
-        large = stored(
-            both.where(F.col("with") > F.col("of"))
-            .join(least, "of")
-            .select(F.col("least").alias("low"), F.col("with").alias("high"))
-            .distinct()
-        )
-        least = stored(large.groupBy("high").agg(F.min("low").alias("least")))
-        small = large.join(least, "high")
-        moved = small.select("high", "low", "least")
-        pairs = stored(
-            moved.where(F.col("low") != F.col("least"))
-            .select(F.col("least").alias("low"), F.col("low").alias("high"))
-            .unionByName(least.select(F.col("least").alias("low"), "high"))
-            .distinct()
+        least = few(both.groupBy("of").agg(F.least(F.min("with"), F.min("of")).alias("least")), rows)
+        handed = both.where(F.col("with") > F.col("of")).join(least, "of")
+        handed = few(handed.select(F.col("least").alias("low"), F.col("with").alias("high")), rows)
+        large = stored(few(handed.distinct(), rows))
+        least = few(large.groupBy("high").agg(F.min("low").alias("least")), rows)
+        # The row of the smallest neighbour is the pair of the node itself, the others are handed on.
+        moved = large.join(least, "high").select(
+            F.col("least").alias("low"),
+            F.when(F.col("low") != F.col("least"), F.col("low")).otherwise(F.col("high")).alias("high"),
         )
+        pairs = stored(few(few(moved, rows).distinct(), rows))
         total = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if tuple(total) == state:
             break
-        state = tuple(total)
+        state, rows = tuple(total), 2 * total[0]
+    pairs = few(pairs, rows)
     roots = pairs.select(F.col("low").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return pairs.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(roots)
+    return pairs.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(few(roots, rows))

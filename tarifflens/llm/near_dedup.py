@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarifflens.llm.bloom import filter_of, maybe_in
-from tarifflens.llm.common import boxed, prepare, stored, whole
+from tarifflens.llm.common import boxed, few, prepare, stored, whole
 from tarifflens.llm.components import components
 
 SPAN = 5
@@ -326,7 +326,8 @@ def similarities(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np
 def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents that may have one of the ids (one column); a filter of bounded size sorts the others out."""
     ids = stored(ids.distinct())
-    known = filter_of(ids.select(F.xxhash64(ids.columns[0]).alias("h")), ids.count())
+    count = ids.count()
+    known = filter_of(few(ids.select(F.xxhash64(ids.columns[0]).alias("h")), count), count)
     return docs.where(maybe_in(F.col("doc_id"), known, docs))
 
 
@@ -336,13 +337,13 @@ def verify(
     """a, b, weighted, plain: the pairs (a, b) of doc_ids of which either similarity reaches the threshold."""
     spark = docs.sparkSession
     pairs = stored(pairs)
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("parts"))
-    dealt = stored(
-        pairs.join(stored(parts), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-    )
+    rows = pairs.count()
+    parts = few(pairs, rows).groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("parts"))
+    joined = few(pairs, rows).join(stored(few(parts, rows)), "b")
+    dealt = stored(few(joined, rows).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")))
     partners = dealt.select(F.col("a").alias("__id"), "b", "part", F.lit(True).alias("partner"))
     centres = dealt.select(F.col("b").alias("__id"), "b", "part", F.lit(False).alias("partner")).distinct()
-    needed = stored(centres.unionByName(partners))
+    needed = stored(few(centres.unionByName(partners), 2 * rows))
     asked = needed_texts(docs, needed.select("__id"))
     texts = asked.join(needed, asked["doc_id"] == needed["__id"]).select("b", "part", "partner", "doc_id", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -476,7 +477,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         )
     )
     nodes = digests.where("node is not null")
-    banded = stored(nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key")))
+    # Exploded twice rather than stored: the keys take more room than the digests they come from.
+    banded = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key"))
     buckets = stored(
         banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     )

@@ -216,3 +216,26 @@ def test_edges(spark):
     check(spark, rows)
     empty = jaccard_join.linked_components(spark.createDataFrame([], SCHEMA))
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_components_of_few_pairs_take_few_tasks(spark):
+    """Small graphs leave few files and task logs, however many shuffle partitions there are."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1001 + i) for i in range(50)]
+    least = {n: n for pair in pairs for n in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = jaccard_join.components(spark.createDataFrame(pairs, "a long, b long"))
+        assert found.rdd.getNumPartitions() <= 16
+        rows = [tuple(r) for r in found.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert sorted(rows) == sorted((n, least[n]) for n in linked)

@@ -1,5 +1,6 @@
 """One key with most rows gives the same answers as a plain replay."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tarifflens.operators import delivery, ratelimit
 from tarifflens.operators.claims import NEVER, mark_claims
 from tarifflens.operators.history import carry_forward, running_total, with_previous
 from tarifflens.functions.columns import floor_div
+from tarifflens.plans import record_queries
 
 
 def replay(rows):
@@ -110,3 +112,22 @@ def test_sliced_order_equals_plain_order(spark):
     assert {r.i: r.w for r in last} == expected_last
     total = running_total(df, ["k"], ["i"], "one", part, into="n").collect()
     assert {r.i: r.n for r in total} == expected_sum
+
+
+def test_a_crawl_parses_the_old_pages_once(spark, tmp_path):
+    pages = [(i, f"https://c{i}.example.com/pricing", f"<h2>Pro plan</h2><p>$ {i + 1} per month</p>") for i in range(1, 49)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    owners = [(i, f"n{i}", 1, 0.0, "BUILDING") for i in range(60)]
+    names = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(owners, names).write.parquet(f"{tmp_path}/customer.parquet")
+    updated = record_queries.company_update(spark, str(tmp_path))
+    # What is left to parse are the new captures; the facts of the old pages are stored.
+    assert updated._jdf.queryExecution().optimizedPlan().toString().count("Generate inline(array(struct(page_text,") == 1
+    found = {r.company_id: r for r in updated.collect()}
+    assert sorted(found) == list(range(1, 49))
+    # Number 24 is not crawled and keeps the hash of its old page, 16 gets that of its new one.
+    kept = "Pro plan $ 25 per month Starter plan $33/month Pro EUR 1,299.50 per year Team &pound; 5"
+    new = "Pro plan $ 17 per month Starter plan $25/month Pro EUR 1,299.50 per year Team &pound; 5"
+    assert [found[i].last_crawl_at is None for i in (24, 16)] == [True, False]
+    for i, text in ((24, kept), (16, new)):
+        assert found[i].latest_content_hash == hashlib.sha256(text.lower().encode()).hexdigest()
